@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_rules, mixing, simhash_dedup, token_counts, warc
+from . import chat_tools, compression_rules, decontaminate, license_scan, mixing, secret_scan, simhash_dedup, suffix_dedup, token_counts, warc
+from .license_texts import SPELLINGS, TEXTS
 from .shared import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spans_text(column: str):
+    return F.array_join(F.transform(column, lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
+
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_repeated", "n_removable", spans_text("repeated").alias("repeated_spans"), spans_text("removable").alias("removable_spans"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,6 +39,23 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > OVER_LIMIT).alias("over_limit"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
+
+
+def op4_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_tools.link_tools(*chat_tools.turns_as_tools(table(spark, sf_dir, "conversations")), (chat_tools.REPLY,))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_counts(table(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -42,18 +69,74 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_token_counts": op2_token_counts,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_chat_tools": op4_chat_tools,
+    "op5_secret_scan": op5_secret_scan,
     "op6_mix_sources": op6_mix_sources,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op9_license_scan": op9_license_scan,
     "op10_warc": op10_warc,
 }
 
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+phrases AS (
+  SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[k : k + least(len(w), 13) - 1], ' ') AS phrase
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS k FROM b WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT n FROM phrases),
+grams AS (
+  SELECT r, n, k, array_to_string(w[k : k + n - 1], ' ') AS phrase
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, lengths WHERE len(w) >= n)),
+met AS (SELECT r, n, k, item FROM grams JOIN phrases USING (n, phrase)),
+hit AS (SELECT r, count(DISTINCT word) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS word FROM met) GROUP BY r),
+found AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM met GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN found USING (r)
+"""
+
+OP4_SQL = r"""
+WITH calls AS (
+  SELECT conv_id, turn, concat(CAST(conv_id AS VARCHAR), ':', CAST(turn AS VARCHAR)) AS call_id, text FROM conversations WHERE role = 'user'),
+results AS (
+  SELECT conv_id, turn, concat(CAST(conv_id AS VARCHAR), ':', CAST(turn - 1 AS VARCHAR)) AS call_id, text FROM conversations WHERE role = 'assistant'),
+firsts AS (SELECT conv_id, call_id, min(turn) AS linked_turn FROM calls GROUP BY ALL),
+answers AS (SELECT conv_id, call_id, min(turn) AS linked_turn FROM results GROUP BY ALL),
+rows AS (
+  SELECT conv_id, turn, 'call' AS kind, call_id, linked_turn, text IS NOT NULL AS args_valid, turn AS since, 0 AS level,
+         concat('{"arguments":{"text":', CAST(to_json(text) AS VARCHAR), ',"turn":', turn, '},"id":', CAST(to_json(call_id) AS VARCHAR), ',"name":"reply","type":"call"}') AS canonical
+  FROM calls LEFT JOIN answers USING (conv_id, call_id)
+  UNION ALL
+  SELECT conv_id, turn, 'result', call_id, linked_turn, NULL, greatest(turn, linked_turn), CASE WHEN linked_turn IS NULL THEN 0 ELSE 1 END,
+         concat('{"content":', CAST(to_json(text) AS VARCHAR), ',"id":', CAST(to_json(call_id) AS VARCHAR), ',"type":"result"}')
+  FROM results LEFT JOIN firsts USING (conv_id, call_id)
+  UNION ALL
+  SELECT conv_id, turn, 'message', NULL, NULL, NULL, turn, 0, concat('{"role":', CAST(to_json(role) AS VARCHAR), ',"text":', CAST(to_json(text) AS VARCHAR), ',"type":"message"}')
+  FROM conversations WHERE role NOT IN ('user', 'assistant', 'tool'))
+SELECT conv_id, turn, kind, call_id, linked_turn, args_valid, FALSE AS in_cycle,
+       row_number() OVER (PARTITION BY conv_id ORDER BY since, level, turn, kind, canonical) AS position, canonical
+FROM rows
+"""
+
 OP6_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -82,4 +165,27 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
-ORACLES: dict[str, str] = {"op6_mix_sources": OP6_SQL}
+
+
+def _canonical_sql(column: str) -> str:
+    """The canonical form of a text, in DuckDB's SQL."""
+    lower = f"regexp_replace(lower(coalesce({column}, '')), '{license_scan.COPYRIGHT_LINE}', '', 'g')"
+    words = f"' ' || regexp_replace({lower}, '{license_scan.PUNCTUATION}', '  ', 'g') || ' '"
+    for variant, word in SPELLINGS:
+        words = f"replace({words}, ' {variant} ', ' {word} ')"
+    return f"sha256(trim(replace({words}, '  ', ' ')))"
+
+
+def op9_sql() -> str:
+    known = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in TEXTS)
+    return f"""
+WITH known AS (SELECT digest, min(licence) AS licence FROM (SELECT licence, {_canonical_sql("licence_text")} AS digest FROM (VALUES {known}) AS t(licence, licence_text)) GROUP BY digest),
+texts AS (SELECT doc_id, row_number() OVER () AS r, text, {_canonical_sql("text")} AS digest FROM documents),
+lines AS (SELECT r, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM texts),
+stated AS (SELECT r, {_canonical_sql("line")} AS digest FROM lines WHERE trim(line) <> ''),
+notices AS (SELECT r, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices FROM stated JOIN known USING (digest) GROUP BY r)
+SELECT doc_id, digest, licence, coalesce(notices, '') AS notices FROM texts LEFT JOIN known USING (digest) LEFT JOIN notices USING (r)
+"""
+
+
+ORACLES: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op4_chat_tools": OP4_SQL, "op6_mix_sources": OP6_SQL, "op9_license_scan": op9_sql()}

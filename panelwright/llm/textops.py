@@ -19,7 +19,16 @@ _SEED = np.random.default_rng(20240229)
 _CODES = _SEED.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+
+
+class _Powers(dict):
+    """Tables of powers by base; they are made anew where they are sent."""
+
+    def __reduce__(self):
+        return _Powers, ()
+
+
+_powers = _Powers()
 
 
 def powers(base: int, n: int) -> np.ndarray:
