@@ -1,8 +1,58 @@
-"""Corpus pipeline: stages that each take the documents the stage before kept."""
+"""Corpus pipeline: stages that each take the documents the stage before kept.
 
-STAGES = []
+Every stage but the last returns the columns of documents; the last returns the mix, a row for each document with the
+words taken of it. What a stage returns is written as Parquet and read again for the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from panelwright.llm import compression_rules, decontaminate, mixing, secret_scan, simhash_dedup
+from panelwright.llm.queries import table
+from panelwright.llm.shared import materialise
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return compression_rules.quality_rules(docs).filter("kept").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates."""
+    return simhash_dedup.one_per_component(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth is benchmark text."""
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets masked."""
+    return secret_scan.mask_secrets(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document, and its training positions."""
+    return mixing.mixed(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("simhash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secrets),
+    ("mixing to target weights", mix),
+]
+
+#: Compression ratios, fingerprints and the forest are beyond SQL; tests/llm/test_pipeline.py has a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table of documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)
