@@ -1,4 +1,237 @@
-"""Queries over the panel adapter, and their SQL."""
+"""Queries over the panel adapter, one or more for each operator, with the SQL of those that SQL can express."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.panel import is_after
+from ..functions.xsec import with_buckets, with_percentile_rank, zscore
+from ..operators import dataset, exposures, features, forecast_eval, inference, linear, performance, portfolios, ranking, rolling, tree_models
+from ..operators.trees import RandomForest
+from ..sources.readers import Adapter, factors_from_panel, numbers, sample_tickers, tail_rows
+from . import reports
+from .panel_sql import ORACLES, TRAIN_MAX, TRAIN_MIN
+
+Query = Callable[[SparkSession, str], DataFrame]
+MODELS = ("momentum", "value")
+FEATURES = list(features.FEATURES)
+WINDOWS = linear.WindowConfig(TRAIN_MIN, TRAIN_MAX)
+EXPOSURES = exposures.ExposureConfig(TRAIN_MIN, TRAIN_MAX)
+ONE_FACTOR = exposures.ExposureConfig(TRAIN_MIN, TRAIN_MAX, factor_cols=("MKT",))
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*(F.round(f.name, digits).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema.fields))
+
+
+class Panel:
+    """Frames of one folder; each is a plan, computed when a query runs."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.source = spark, Adapter(folder)
+        self.daily = self.source.daily(spark)
+
+    def months(self, **config) -> DataFrame:
+        cfg = features.FeatureConfig(**config)
+        return features.with_lags(features.monthly(features.with_daily_volatility(self.daily, cfg), cfg))
+
+    def features(self, **config) -> DataFrame:
+        return features.compute_features(self.daily, config=features.FeatureConfig(**config))
+
+    def returns(self) -> DataFrame:
+        return features.monthly_returns(self.daily)
+
+    def factors(self) -> DataFrame:
+        return factors_from_panel(self.returns(), self.features())
+
+    def signals(self) -> DataFrame:
+        """Two characteristics as signals, with next month's return."""
+        nexts = dataset.next_return(self.returns(), out="realized_return")
+        return self.features().join(nexts, ["ticker", "date"], "left").select("ticker", "date", *MODELS, "volatility", "dollar_volume", "realized_return")
+
+    def model_panel(self) -> DataFrame:
+        return self.features().join(dataset.next_return(self.returns()), ["ticker", "date"], "left")
+
+    def full_panel(self) -> DataFrame:
+        """The modelling panel with all characteristics and loadings."""
+        loadings = exposures.compute_factor_exposures(self.returns(), self.factors(), config=EXPOSURES)
+        return dataset.assemble_modeling_dataset(self.returns(), self.features(), loadings)
+
+    def deciles(self, **kw) -> DataFrame:
+        return portfolios.compute_decile_portfolio_returns(self.signals(), model_cols=MODELS, **kw)
+
+    def weights(self, **kw) -> DataFrame:
+        return portfolios.compute_decile_portfolio_weights(self.signals(), model_cols=MODELS, **kw)
+
+    def spreads(self) -> DataFrame:
+        return portfolios.compute_long_short_returns(self.deciles())
+
+
+def _feature(name: str, out: str, **config) -> Callable[[Panel], DataFrame]:
+    return lambda p: p.features(**config).select("ticker", "date", F.col(name).alias(out)).filter(F.col(out).isNotNull())
+
+
+def _ranks(method: str) -> Callable[[Panel], DataFrame]:
+    return lambda p: with_percentile_rank(p.features(), "momentum", "momentum_rank", method=method).select("ticker", "date", "momentum_rank")
+
+
+def _buckets(n: int) -> Callable[[Panel], DataFrame]:
+    return lambda p: with_buckets(portfolios.long_signals(p.signals(), MODELS, {}), "signal", buckets=n, by=("date", "model")).select("ticker", "date", "model", "decile")
+
+
+def _net(mode: str) -> Callable[[Panel], DataFrame]:
+    def made(p: Panel) -> DataFrame:
+        returns = p.deciles()
+        if mode != "reference_precomputed":
+            returns = returns.filter(~portfolios.is_spread())
+        net = performance.net_returns(performance.long_returns(returns), portfolios.compute_turnover_from_weights(p.weights()), 25.0, ls_cost_mode=mode)
+        return net if mode == "reference_precomputed" else net.filter(portfolios.is_spread())
+
+    return made
+
+
+def _summary(p: Panel) -> performance.Performance:
+    return performance.summarize_portfolio_performance(p.deciles(), turnover_weights=p.weights(), transaction_cost_bps=25, ls_cost_mode="reference_precomputed")
+
+
+def _gross(p: Panel) -> performance.Performance:
+    return performance.summarize_portfolio_performance(p.deciles(), ls_cost_mode="reference_precomputed")
+
+
+def _modeling(p: Panel) -> DataFrame:
+    loadings = p.features().select("ticker", "date", F.col("volatility").alias("beta_MKT"))
+    return dataset.assemble_modeling_dataset(p.returns(), p.features().select("ticker", "date", *MODELS), loadings)
+
+
+def _regularized(kind: str, **kw) -> Callable[[Panel], DataFrame]:
+    how = rolling.RegularizedModelConfig(model_type=kind, cv_folds=3, **kw)
+    return lambda p: rolling.rolling_regularized_predictions(p.full_panel(), FEATURES, window_config=WINDOWS, model_config=how)
+
+
+def _candidates() -> list[rolling.CandidateModel]:
+    ridge = lambda a: rolling.Regularized(rolling.RegularizedModelConfig(alphas=(a,), cv_folds=3))
+    return [rolling.CandidateModel("light", lambda: ridge(0.1)), rolling.CandidateModel("heavy", lambda: ridge(1000.0))]
+
+
+def _all_models(p: Panel) -> DataFrame:
+    few = rolling.AllModels(trees=20)
+    return rolling.generate_oos_predictions_all_models(p.full_panel(), FEATURES, window_config=WINDOWS, models=few)
+
+
+def _rank_vs_raw(p: Panel) -> DataFrame:
+    signals = p.signals()
+    ranks = ranking.convert_predictions_to_rankings(signals, config=ranking.RankingConfig(prediction_col="momentum", output_col="momentum_rank", basis="zscore"))
+    both = signals.join(ranks, ["ticker", "date"], "left")
+    raw, rank = (portfolios.compute_decile_portfolio_returns(both, model_cols=[m]) for m in ("momentum", "momentum_rank"))
+    return reports.long_short_rank_vs_raw(decile_returns_raw=raw, decile_returns_rank=rank, raw_model="momentum", rank_model="momentum_rank")
+
+
+def _accuracy(p: Panel) -> DataFrame:
+    panel = p.signals().select("ticker", "date", *MODELS, "realized_return")
+    return forecast_eval.evaluate_forecasting_accuracy(panel)[0].drop("spearman_rank_corr")
+
+
+def _decile_pivot(p: Panel) -> DataFrame:
+    wide = portfolios.pivoted(p.deciles()).drop("long_short")
+    return wide.select("date", "model", *(F.col(f"`{c}`").alias(f"b_{c}") for c in wide.columns[2:]))
+
+
+def _report(p: Panel, part: str) -> DataFrame:
+    return reports.generate_comparison_report(decile_returns=p.deciles(), prediction_panel=p.signals().select("ticker", "date", *MODELS, "realized_return"))[part]
+
+
+PANEL: dict[str, Callable[[Panel], DataFrame]] = {
+    "daily_panel": lambda p: p.daily,
+    "ticker_sample": lambda p: sample_tickers(p.daily, 0.5),
+    "tail_rows": lambda p: tail_rows(p.daily, 100).select("ticker", "date", "adj_close"),
+    "daily_return": lambda p: features.with_daily_volatility(p.daily, features.FeatureConfig()).select("ticker", "date", "ret"),
+    "realized_vol": lambda p: features.with_daily_volatility(p.daily, features.FeatureConfig()).select("ticker", "date", F.col("realized_vol").alias("rvol")),
+    "monthly_resample_last": lambda p: p.months().filter("price IS NOT NULL").select("ticker", "date", "price", "volume", "vol"),
+    "month_spine": lambda p: p.months().select("ticker", "date", F.col("price").isNull().alias("is_gap")),
+    "monthly_return": lambda p: p.returns().withColumnRenamed("RET", "ret"),
+    "dollar_volume": _feature("dollar_volume", "dollar_volume"),
+    "value_ma": _feature("value", "value_ma"),
+    "value_reversal": _feature("value", "value_reversal", value_method="long_term_reversal"),
+    "momentum_reference": _feature("momentum", "momentum_reference"),
+    "momentum_standard": _feature("momentum", "momentum_standard", compounding="standard"),
+    "volatility": _feature("volatility", "volatility"),
+    "investment": _feature("investment", "investment"),
+    "profitability_sharpe": _feature("profitability", "profitability_sharpe"),
+    "profitability_rov": _feature("profitability", "profitability_rov", profitability_method="return_over_volatility"),
+    "features_all": lambda p: p.features(),
+    "factor_series": lambda p: p.factors(),
+    "next_return": lambda p: dataset.next_return(p.returns()),
+    "zscore_char": lambda p: p.features().select("ticker", "date", zscore("momentum").alias("momentum")),
+    **{f"pct_rank_{m}": _ranks(m) for m in ("average", "min", "max", "first", "dense")},
+    "modeling_panel": _modeling,
+    "modeling_panel_ranks": lambda p: dataset.assemble_modeling_dataset(p.returns(), p.features(), p.features().select("ticker", "date", F.col("volatility").alias("beta_MKT")), standardize="rank"),
+    "decile_qcut": _buckets(10),
+    "decile_cut_fallback": _buckets(2000),
+    "decile_returns_ew": lambda p: p.deciles(),
+    "decile_returns_vw": lambda p: p.deciles(weight_col="dollar_volume").filter(~portfolios.is_spread()),
+    "decile_pivot": _decile_pivot,
+    "long_short": lambda p: p.spreads(),
+    "long_short_capped": lambda p: portfolios.compute_long_short_returns(p.deciles(), cap=0.05),
+    "decile_weights_ew": lambda p: p.weights(),
+    "decile_weights_vw": lambda p: p.weights(weight_col="dollar_volume"),
+    "turnover": lambda p: portfolios.compute_turnover_from_weights(p.weights()),
+    "net_returns": _net("reference_precomputed"),
+    "ls_cost_correct": _net("correct"),
+    "ls_cost_derived": _net("reference_derived"),
+    "perf_summary": lambda p: _summary(p).metrics,
+    "basic_summary": lambda p: performance.summarize_returns_basic(p.deciles()).metrics,
+    "cumulative": lambda p: _gross(p).cumulative,
+    "drawdown": lambda p: _gross(p).drawdowns,
+    "tc_stress": lambda p: reports.transaction_cost_stress_test(p.deciles(), p.weights(), ls_cost_mode="reference_precomputed")["tc_summary"],
+    "clip_realized": lambda p: reports.clip_realized_returns(p.signals(), lower=-0.1, upper=0.2).select("ticker", "date", "realized_return"),
+    "oos_r2": lambda p: forecast_eval.compute_oos_r2(p.signals(), "realized_return", "momentum"),
+    "forecast_accuracy": _accuracy,
+    "spearman_by_date": lambda p: forecast_eval.evaluate_forecasting_accuracy(p.signals().select("ticker", "date", *MODELS, "realized_return"))[1],
+    "dm_stat": lambda p: inference.diebold_mariano_test(p.signals().select("ticker", "date", *MODELS, "realized_return"), horizon=3).drop("p_value"),
+    "jk_stat": lambda p: inference.jobson_korkie_test(p.spreads(), model_1="momentum", model_2="value").drop("model_1", "model_2", "p_value"),
+    "pred_rank_riskadj": lambda p: ranking.convert_predictions_to_rankings(p.features(), config=ranking.RankingConfig(prediction_col="momentum", risk_adjust="volatility", volatility_col="volatility")),
+    "pred_rank_zscore": lambda p: ranking.convert_predictions_to_rankings(p.features(), config=ranking.RankingConfig(prediction_col="momentum", basis="zscore")),
+    "exposures_1factor": lambda p: exposures.compute_factor_exposures(p.returns(), p.factors(), config=ONE_FACTOR),
+    "xs_ols_1feature": lambda p: linear.cross_sectional_ols(p.model_panel(), ["momentum"]),
+    "rolling_ols_1feature": lambda p: linear.rolling_ols(p.model_panel(), ["momentum"], window_config=WINDOWS),
+    "ridge_1feature": lambda p: rolling.rolling_regularized_predictions(p.model_panel(), ["momentum"], window_config=WINDOWS, model_config=rolling.RegularizedModelConfig(alphas=(10.0,))),
+    "exposures_ff3": lambda p: exposures.compute_factor_exposures(p.returns(), p.factors(), config=EXPOSURES),
+    "exposures_ff3_exact": lambda p: exposures.compute_factor_exposures(p.returns(), p.factors(), config=EXPOSURES, mode="exact"),
+    "xs_ols": lambda p: linear.cross_sectional_ols(p.full_panel(), FEATURES),
+    "xs_ols_ranks": lambda p: linear.cross_sectional_ols(p.full_panel(), FEATURES, config=linear.CrossSectionalOLSConfig(prediction_type="rank")),
+    "rolling_ols": lambda p: linear.rolling_ols(p.full_panel(), FEATURES, window_config=WINDOWS),
+    "expanding_ols": lambda p: linear.rolling_ols(p.full_panel(), FEATURES, window_config=linear.WindowConfig(TRAIN_MIN, expanding=True)),
+    "rolling_ridge": _regularized("ridge"),
+    "rolling_lasso": _regularized("lasso"),
+    "rolling_elasticnet": _regularized("elasticnet", l1_ratios=(0.5, 0.9)),
+    "rolling_forest": lambda p: rolling.rolling_oos_predictions(p.full_panel(), FEATURES, window_config=WINDOWS, model_factory=lambda: RandomForest(10, 4, 20, "sqrt")),
+    "rolling_tuning": lambda p: rolling.rolling_time_series_tuning(p.full_panel(), FEATURES, candidates=_candidates(), window_config=WINDOWS).best_models,
+    "all_models_oos": _all_models,
+    "xs_forest": lambda p: tree_models.cross_sectional_random_forest(p.full_panel(), FEATURES, config=tree_models.RandomForestConfig(n_estimators=10, max_depth=4)),
+    "xs_boosting": lambda p: tree_models.cross_sectional_gradient_boosting(p.full_panel(), FEATURES, config=tree_models.GradientBoostingConfig(n_estimators=20)),
+    "bootstrap_sharpe": lambda p: inference.bootstrap_sharpe_ratio_difference(p.spreads(), model_1="momentum", model_2="value", n_bootstrap=200, random_state=123),
+    "sharpe_table": lambda p: _report(p, "sharpe_table"),
+    "dm_table": lambda p: _report(p, "dm_table"),
+    "decile_growth": lambda p: reports.decile_cumulative_for_model(p.deciles(), model="momentum"),
+    "long_short_growth": lambda p: reports.long_short_cumulative(p.deciles()),
+    "rank_vs_raw": _rank_vs_raw,
+    "plot_suite_costs": lambda p: reports.run_plot_suite(predictions=p.signals(), decile_returns=p.deciles(), decile_weights=p.weights(), model_cols=MODELS, plot_ls_models=MODELS)["tc_plot"],
+    "user_day_ranks": lambda p: with_percentile_rank(p.source.user_days(p.spark), "value", "value_rank").select("ticker", "date", "value_rank"),
+    "late_rows": lambda p: p.returns().filter(is_after("date", "2000-01-31")).withColumnRenamed("RET", "ret"),
+}
+
+
+def _over_panel(make: Callable[[Panel], DataFrame]) -> Query:
+    return lambda spark, folder: rounded(make(Panel(spark, folder)))
+
+
+def safe_cast(spark: SparkSession, folder: str) -> DataFrame:
+    """Text that is no number becomes null."""
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    return orders.select("o_orderkey", numbers(F.col("o_orderstatus").cast("string")).alias("x"))
+
+
+QUERIES: dict[str, Query] = {name: _over_panel(make) for name, make in PANEL.items()} | {"safe_cast": safe_cast}
