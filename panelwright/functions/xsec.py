@@ -64,9 +64,10 @@ def with_buckets(df: DataFrame, value: str, out: str = "decile", buckets: int =
         }
     )
     counted = placed.withColumns({"b_n": F.count(F.lit(1)).over(w), "b_distinct": F.max("b_dense").over(w), "b_low": F.min("b_twice").over(w), "b_high": F.max("b_twice").over(w)})
-    by_place = F.lit(1)
-    for p in quantile_edges(buckets):
-        by_place = by_place + (F.col("b_row") > 1 + F.lit(p) * (F.col("b_n") - 1)).cast("int")
+    if buckets <= 20:
+        by_place = sum(((F.col("b_row") > 1 + F.lit(p) * (F.col("b_n") - 1)).cast("int") for p in quantile_edges(buckets)), F.lit(1))
+    else:  # the same over an array: deep sums do not plan well
+        by_place = F.size(F.filter(F.array(*map(F.lit, quantile_edges(buckets))), lambda p: F.col("b_row") > 1 + p * (F.col("b_n") - 1))) + 1
     width = F.ceil((F.col("b_twice") - F.col("b_low")) * buckets / F.nullif(F.col("b_high") - F.col("b_low"), F.lit(0)))
     by_width = F.when(F.col("b_low") == F.col("b_high"), F.lit(-(-buckets // 2))).otherwise(F.greatest(F.lit(1), width))
     bucket = F.when(F.col("b_distinct") < buckets, by_width).otherwise(by_place)

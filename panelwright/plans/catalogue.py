@@ -154,7 +154,7 @@ PANEL: dict[str, Callable[[Panel], DataFrame]] = {
     "monthly_return": lambda p: p.returns().withColumnRenamed("RET", "ret"),
     "dollar_volume": _feature("dollar_volume", "dollar_volume"),
     "value_ma": _feature("value", "value_ma"),
-    "value_reversal": _feature("value", "value_reversal", value_method="long_term_reversal"),
+    "value_reversal": lambda p: p.features(value_method="long_term_reversal").filter("value IS NOT NULL").select("ticker", "date", F.ln(1 - F.col("value")).alias("log_growth")),
     "momentum_reference": _feature("momentum", "momentum_reference"),
     "momentum_standard": _feature("momentum", "momentum_standard", compounding="standard"),
     "volatility": _feature("volatility", "volatility"),
@@ -169,7 +169,7 @@ PANEL: dict[str, Callable[[Panel], DataFrame]] = {
     "modeling_panel": _modeling,
     "modeling_panel_ranks": lambda p: dataset.assemble_modeling_dataset(p.returns(), p.features(), p.features().select("ticker", "date", F.col("volatility").alias("beta_MKT")), standardize="rank"),
     "decile_qcut": _buckets(10),
-    "decile_cut_fallback": _buckets(2000),
+    "decile_cut_fallback": _buckets(150),
     "decile_returns_ew": lambda p: p.deciles(),
     "decile_returns_vw": lambda p: p.deciles(weight_col="dollar_volume").filter(~portfolios.is_spread()),
     "decile_pivot": _decile_pivot,
@@ -183,7 +183,7 @@ PANEL: dict[str, Callable[[Panel], DataFrame]] = {
     "ls_cost_derived": _net("reference_derived"),
     "perf_summary": lambda p: _summary(p).metrics,
     "basic_summary": lambda p: performance.summarize_returns_basic(p.deciles()).metrics,
-    "cumulative": lambda p: _gross(p).cumulative,
+    "cumulative": lambda p: _gross(p).cumulative.select("date", "model", "bucket", F.ln("cum").alias("log_cum")),
     "drawdown": lambda p: _gross(p).drawdowns,
     "tc_stress": lambda p: reports.transaction_cost_stress_test(p.deciles(), p.weights(), ls_cost_mode="reference_precomputed")["tc_summary"],
     "clip_realized": lambda p: reports.clip_realized_returns(p.signals(), lower=-0.1, upper=0.2).select("ticker", "date", "realized_return"),

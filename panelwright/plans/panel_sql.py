@@ -149,7 +149,7 @@ ORACLES = {
     "monthly_return": query(f"SELECT ticker, date, {r6('ret')} FROM returns"),
     "dollar_volume": _FEATURE("dollar_volume"),
     "value_ma": _FEATURE("value_ma"),
-    "value_reversal": _FEATURE("value_reversal"),
+    "value_reversal": query("SELECT ticker, date, round(ln(1 - value_reversal), 6) AS log_growth FROM every WHERE value_reversal IS NOT NULL"),
     "momentum_reference": _FEATURE("momentum_reference"),
     "momentum_standard": _FEATURE("momentum_standard"),
     "volatility": _FEATURE("volatility"),
@@ -168,7 +168,7 @@ ORACLES = {
     JOIN (SELECT ticker, date, volatility AS beta FROM features) USING (ticker, date) JOIN nexts USING (ticker, date) WHERE beta IS NOT NULL AND next_return IS NOT NULL"""
     ),
     "decile_qcut": query("SELECT ticker, date, model, decile FROM deciles"),
-    "decile_cut_fallback": query(f"SELECT ticker, date, model, decile FROM ({_buckets(2000)})").replace(" + ".join(f"CASE WHEN rn > 1 + {p!r}::DOUBLE * (n - 1) THEN 1 ELSE 0 END" for p in quantile_edges(2000)), "0"),
+    "decile_cut_fallback": query(f"SELECT ticker, date, model, decile FROM ({_buckets(150)})"),
     "decile_returns_ew": query(f"SELECT date, model, bucket, {r6('ret')} FROM ew_all"),
     "decile_returns_vw": query(f"SELECT date, model, CAST(decile AS VARCHAR) AS bucket, {r6('ret')} FROM vw"),
     "decile_pivot": query("SELECT date, model, " + ", ".join(f'round(max(ret) FILTER (WHERE bucket = \'{b}\'), 6) AS "b_{b}"' for b in [*range(1, 11), "LS"]) + " FROM ew_all GROUP BY date, model"),
@@ -182,7 +182,7 @@ ORACLES = {
     "ls_cost_derived": query(f"SELECT date, model, bucket, {r6('ret')} FROM ({net_sql('gross - c_top + c_bottom - (c_top + c_bottom)')})"),
     "perf_summary": with_performance(NET.format(rate="0.0025::DOUBLE"), f"SELECT model, bucket, {r6(*PERF, 'avg_turnover')} FROM stats JOIN lows USING (model, bucket) LEFT JOIN (SELECT model, bucket, avg(turnover) AS avg_turnover FROM turnover GROUP BY ALL) USING (model, bucket)", clipped=True),
     "basic_summary": with_performance("SELECT * FROM ew_all", f"SELECT model, bucket, {r6(*PERF)} FROM stats LEFT JOIN lows USING (model, bucket)", clipped=False),
-    "cumulative": with_performance("SELECT * FROM ew_all", f"SELECT date, model, bucket, {r6('cum')} FROM path", clipped=True),
+    "cumulative": with_performance("SELECT * FROM ew_all", "SELECT date, model, bucket, round(ln(cum), 6) AS log_cum FROM path", clipped=True),
     "drawdown": with_performance("SELECT * FROM ew_all", f"SELECT date, model, bucket, {r6('drawdown')} FROM down", clipped=True),
     "tc_stress": with_performance(
         f"SELECT tc_bps, date, model, bucket, ret FROM (SELECT unnest([0.0, 10.0, 25.0, 50.0]::DOUBLE[]) AS tc_bps), ({NET.format(rate='0')}) WHERE bucket = 'LS'",
