@@ -4,17 +4,23 @@ Reading plans one partition per file. Filters on record type and on the other he
 a record's header block is parsed first, and the payload of a record that fails them, or whose payload nobody asked for,
 is sought past and never decoded. Writing makes one file per task under a name of its own attempt; only files of tasks
 that Spark commits are given their final names, so lost executors leave no records behind.
+
+Records are gzip members of their own, as is usual, and each says its length in an extra field of the gzip header ("sl"),
+so that compressed records can be sought past too. Files without that field, and plain ones, are read as well.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import struct
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
-from io import BufferedReader
+from io import BufferedReader, BytesIO
 
 import pyarrow as pa
 from pyarrow import fs
@@ -87,6 +93,71 @@ def payload_of(fields: dict[str, str], block: bytes) -> bytes:
     return block
 
 
+def gzip_member(record: bytes, level: int = 6) -> bytes:
+    """The record as a gzip member whose header has the member's and the record's length."""
+    packer = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = packer.compress(record) + packer.flush()
+    head = struct.pack("<4BI2BH2sHII", 0x1F, 0x8B, 8, 4, 0, 0, 255, 12, b"sl", 8, 24 + len(body) + 8, len(record))
+    return head + body + struct.pack("<II", zlib.crc32(record), len(record))
+
+
+def _member_length(head: bytes) -> int | None:
+    """Length of the gzip member that begins with these 24 bytes, where it has the extra field."""
+    return struct.unpack_from("<I", head, 16)[0] if len(head) == 24 and head[:4] == b"\x1f\x8b\x08\x04" and head[10:16] == b"\x0c\x00sl\x08\x00" else None
+
+
+Wanted = Callable[[dict[str, str]], bool]
+
+
+def scan_plain(stream: BufferedReader, wanted: Wanted) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Header fields of each record, and its block where it is wanted."""
+    while (fields := read_header(stream)) is not None:
+        size = int(fields["content-length"])
+        if wanted(fields):
+            yield fields, stream.read(size)
+        else:
+            _skip(stream, size)
+            yield fields, None
+
+
+def scan_members(stream: BufferedReader, wanted: Wanted) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """The same from gzip members with lengths: of an unwanted record only the beginning is inflated."""
+    while head := stream.read(24):
+        length = _member_length(head)
+        if length is None:
+            raise ValueError("a gzip member without its length among members with it")
+        left, inflate, text = length - len(head), zlib.decompressobj(-15), b""
+        while b"\r\n\r\n" not in text:
+            chunk = inflate.unconsumed_tail
+            if not chunk:
+                chunk = stream.read(min(left, 1024))
+                left -= len(chunk)
+            if not chunk:
+                raise ValueError("a WARC record that ends in its header")
+            text += inflate.decompress(chunk, 4096)
+        top = BufferedReader(BytesIO(text))
+        fields = read_header(top)
+        at = top.tell()
+        if wanted(fields):
+            rest = stream.read(left)
+            text += inflate.decompress(inflate.unconsumed_tail + rest)
+            if zlib.crc32(text) != struct.unpack("<I", inflate.unused_data[:4])[0]:
+                raise ValueError(f"a damaged record: {fields.get('warc-record-id')}")
+            yield fields, text[at : at + int(fields["content-length"])]
+        else:
+            _skip(stream, left)
+            yield fields, None
+
+
+def scan(stream: BufferedReader, wanted: Wanted) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    head = stream.peek(24)[:24]
+    if head[:2] != b"\x1f\x8b":
+        return scan_plain(stream, wanted)
+    if _member_length(head) is None:
+        return scan_plain(BufferedReader(gzip.GzipFile(fileobj=stream)), wanted)
+    return scan_members(stream, wanted)
+
+
 @dataclass
 class WarcFile(InputPartition):
     path: str
@@ -116,24 +187,18 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         system, root = fs.FileSystem.from_uri(self.path)
         found = system.get_file_info(fs.FileSelector(root, allow_not_found=True))
-        files = sorted(i.path for i in found if i.type == fs.FileType.File and i.path.endswith(".warc"))
+        files = sorted(i.path for i in found if i.type == fs.FileType.File and i.path.endswith((".warc", ".warc.gz")))
         return [WarcFile(p, tuple(self.tests), self.payloads) for p in files]
 
     def read(self, partition: WarcFile) -> Iterator[tuple]:
         system, _ = fs.FileSystem.from_uri(self.path)
         with system.open_input_file(partition.path) as raw, BufferedReader(raw, 1 << 18) as stream:
-            while (fields := read_header(stream)) is not None:
-                size = int(fields["content-length"])
+            passes = lambda row: all(row[c] in v if how == "in" else row[c] is not None for c, how, v in partition.tests)
+            for fields, block in scan(stream, lambda f: partition.payloads and passes(column_values(f))):
                 row = column_values(fields)
-                passes = all(row[c] in v if how == "in" else row[c] is not None for c, how, v in partition.tests)
-                if passes and partition.payloads:
-                    payload = payload_of(fields, stream.read(size))
-                else:
-                    payload = None
-                    _skip(stream, size)
-                if not passes:
-                    continue
-                yield tuple(payload if c == "payload" else row[c] for c in self.names)
+                if block is not None or passes(row):
+                    payload = None if block is None else payload_of(fields, block)
+                    yield tuple(payload if c == "payload" else row[c] for c in self.names)
 
 
 def _skip(stream: BufferedReader, size: int) -> None:
@@ -153,7 +218,7 @@ class WarcWriter(DataSourceWriter):
     """Rows of SCHEMA's columns, of which payload, record_id, record_type, target_uri, refers_to_id are used."""
 
     def __init__(self, options: dict):
-        self.path = options["path"]
+        self.path, self.packed = options["path"], options.get("compression", "gzip").lower() == "gzip"
 
     def write(self, iterator: Iterator[Row]) -> Written:
         from pyspark import TaskContext
@@ -161,11 +226,11 @@ class WarcWriter(DataSourceWriter):
         system, root = fs.FileSystem.from_uri(self.path)
         system.create_dir(root, recursive=True)
         part = TaskContext.get().partitionId()
-        name = f"part-{part:06d}-{uuid.uuid4().hex[:8]}.warc"
+        name = f"part-{part:06d}-{uuid.uuid4().hex[:8]}.warc{'.gz' * self.packed}"
         got = Written(f"{root}/_{name}.tmp", f"{root}/{name}")
         with system.open_output_stream(got.temporary) as out:
             for row in iterator:
-                out.write(self.record(row))
+                out.write(gzip_member(self.record(row)) if self.packed else self.record(row))
         return got
 
     def record(self, row: Row) -> bytes:
@@ -191,7 +256,8 @@ class WarcWriter(DataSourceWriter):
 
 
 class WarcDataSource(DataSource):
-    """spark.read.format("warc").load(folder); option payloads=false leaves payloads null and unread."""
+    """spark.read.format("warc").load(folder); option payloads=false leaves payloads null and unread, and for writing
+    compression=none leaves records plain."""
 
     @classmethod
     def name(cls) -> str:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import collections
+import gzip
 import hashlib
+import io
 import random
 import re
 
@@ -211,14 +213,34 @@ def test_warc_round_trip(spark, tmp_path):
     assert {r.record_type for r in large} == {"response"}
 
 
-def test_warc_filters_skip_payloads():
-    import io
-
-    stream = warc.BufferedReader(io.BytesIO(warc.record_bytes({"WARC-Type": "response"}, warc.http_block(b"a" * 200_000)) + warc.record_bytes({"WARC-Type": "revisit"}, b"")))
-    assert warc.read_header(stream)["warc-type"] == "response"
-    warc._skip(stream, 200_000)
+class Counted(io.BytesIO):
+    read_bytes = 0
+
+    def readinto(self, b):
+        n = super().readinto(b)
+        self.read_bytes += n
+        return n
+
+
+@pytest.mark.parametrize("form", ["plain", "members", "foreign gzip"])
+def test_warc_records_are_skipped_unread(form):
+    rng = random.Random(1)
+    payloads = [rng.randbytes(300_000), b"", b"x\r\n\r\ny", rng.randbytes(10)]
+    records = [warc.record_bytes({"WARC-Type": t, "WARC-Record-ID": str(i)}, p) for i, (t, p) in enumerate(zip(["a", "b", "a", "b"], payloads, strict=True))]
+    pack = {"plain": lambda r: r, "members": warc.gzip_member, "foreign gzip": gzip.compress}[form]
+    raw = b"".join(map(pack, records))
+    assert form == "plain" or gzip.decompress(raw) == b"".join(records)
+    for kind in "ab":
+        source = Counted(raw)
+        got = list(warc.scan(warc.BufferedReader(source), lambda f, kind=kind: f["warc-type"] == kind))
+        assert [f["warc-record-id"] for f, _ in got] == list("0123")
+        assert [b for _, b in got] == [p if t == kind else None for t, p in zip("abab", payloads, strict=True)]
+        assert kind == "a" or form == "foreign gzip" or source.read_bytes < 100_000
     with pytest.raises(ValueError):
-        warc.read_header(stream)
+        list(warc.scan(warc.BufferedReader(io.BytesIO(warc.gzip_member(records[2])[:-8] + b"12345678")), lambda f: True))
+
+
+def test_warc_filters_are_taken_over():
     left = [warc.EqualTo(("record_type",), "revisit"), warc.EqualTo(("payload",), b"")]
     reader = warc.WarcReader({"path": "file:///none"}, warc.StructType.fromDDL(warc.SCHEMA))
     assert list(reader.pushFilters(left)) == left[1:] and reader.tests == [("record_type", "in", ("revisit",))]
