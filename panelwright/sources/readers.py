@@ -41,8 +41,8 @@ def numbers(text: Column) -> Column:
 def read_daily_csv(spark: SparkSession, folder: str, *, columns: Sequence[str] = ("adj_close", "volume"), date_col: str = "date") -> DataFrame:
     """Panel from a folder with a CSV file for each ticker, named after it: ticker, date, columns.
 
-    Only the named columns are parsed; files may have others, in any order. Rows without a date are dropped, values that
-    are no numbers are null, broken lines are skipped.
+    Only the named columns are parsed; files may have others, but share one header, and one that differs is an error. Rows
+    without a date are dropped, values that are no numbers are null.
     """
     raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False)
     found = raw.csv(folder, pathGlobFilter="*.csv")
