@@ -6,7 +6,7 @@ digest is joined to those of known licence texts. The same is done for each line
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .license_texts import SPELLINGS, TEXTS
@@ -17,24 +17,39 @@ COPYRIGHT_LINE = r"(?m)^[ \t#*/;-]*(copyright[ \t]+(\(c\)|©|[0-9]{4}|\[|<)|\(c\
 PUNCTUATION = r"[^\p{L}\p{N}]+"
 
 
-def canonical(text: Column) -> Column:
-    """Words in lower case with one space between them; copyright lines are dropped, spellings evened out. Null is empty."""
-    lower = F.lower(F.coalesce(text, F.lit("")))
-    lower = F.when(F.contains(lower, F.lit("copyright")) | F.contains(lower, F.lit("(c)")) | F.contains(lower, F.lit("©")) | F.contains(lower, F.lit("rights reserved")), F.regexp_replace(lower, COPYRIGHT_LINE, "")).otherwise(lower)
-    words = F.concat(F.lit(" "), F.regexp_replace(lower, PUNCTUATION, "  "), F.lit(" "))  # a space of its own on each side
+#: Cheap test for words that have another spelling; texts without any skip the replacements.
+VARIANT = " (?:" + "|".join(variant for variant, _ in SPELLINGS) + ") "
+
+
+def with_canonical(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with the text's words in lower case, one space between them; copyright lines are dropped, spellings evened out.
+
+    Null is empty. It is made in steps of a column each, so that no step is computed twice.
+    """
+    step = [f"{out}_{i}" for i in range(3)]
+    lower = F.col(step[0])
+    marked = F.contains(lower, F.lit("copyright")) | F.contains(lower, F.lit("(c)")) | F.contains(lower, F.lit("©")) | F.contains(lower, F.lit("rights reserved"))
+    replaced = F.col(step[2])
     for variant, word in SPELLINGS:
-        words = F.replace(words, F.lit(f" {variant} "), F.lit(f" {word} "))
-    return F.trim(F.replace(words, F.lit("  "), F.lit(" ")))
+        replaced = F.replace(replaced, F.lit(f" {variant} "), F.lit(f" {word} "))
+    return (
+        df.withColumn(step[0], F.lower(F.coalesce(F.col(text), F.lit(""))))
+        .withColumn(step[1], F.when(marked, F.regexp_replace(lower, COPYRIGHT_LINE, "")).otherwise(lower))
+        .withColumn(step[2], F.concat(F.lit(" "), F.regexp_replace(step[1], PUNCTUATION, "  "), F.lit(" ")))  # each word has a space of its own on each side
+        .withColumn(out, F.trim(F.replace(F.when(F.col(step[2]).rlike(VARIANT), replaced).otherwise(F.col(step[2])), F.lit("  "), F.lit(" "))))
+        .drop(*step)
+    )
 
 
-def canonical_digest(text: Column) -> Column:
-    return F.sha2(canonical(text), 256)
+def with_digest(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with the digest of the text's canonical form."""
+    return with_canonical(df, text, f"{out}_words").withColumn(out, F.sha2(f"{out}_words", 256)).drop(f"{out}_words")
 
 
 def known_licences(spark: SparkSession, texts: tuple[tuple[str, str], ...] = TEXTS) -> DataFrame:
     """(digest, licence) of known texts; of licences with the same canonical text the first by name."""
     rows = spark.createDataFrame(list(texts), "licence string, licence_text string")
-    return rows.select(canonical_digest(F.col("licence_text")).alias("digest"), "licence").groupBy("digest").agg(F.min("licence").alias("licence"))
+    return with_digest(rows, "licence_text", "digest").groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
 def scan_licences(docs: DataFrame, known: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -47,10 +62,10 @@ def scan_licences(docs: DataFrame, known: DataFrame | None = None, *, id_col: st
     known = known_licences(docs.sparkSession) if known is None else known.select("digest", "licence")
     known = materialise(known, "licences")  # so that Spark knows its size when it chooses the join
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
-    texts = read.select("id", canonical_digest(F.col("body")).alias("digest"))
-    whole = texts.join(known, "digest", "left")
+    whole = with_digest(read, "body", "digest").select("id", "digest").join(known, "digest", "left")
     lines = read.select("id", "body", F.explode(F.split(F.coalesce("body", F.lit("")), "\n")).alias("line")).filter(F.trim("line") != "")
-    stated = lines.select("id", "body", canonical_digest(F.col("line")).alias("digest")).join(known, "digest").select("id", canonical_digest(F.col("body")).alias("of"), "licence")
+    stated = with_digest(lines, "line", "digest").select("id", "body", "digest").join(known, "digest")
+    stated = with_digest(stated, "body", "of").select("id", "of", "licence")
     notices = stated.groupBy(F.col("id").alias("of_id"), "of").agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("notices"))
     both = whole.join(notices, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("digest") == F.col("of")), "left")
     return both.select(F.col("id").alias(id_col), "digest", "licence", F.coalesce("notices", F.lit("")).alias("notices"))

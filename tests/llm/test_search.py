@@ -186,7 +186,7 @@ def test_licences(spark):
 def test_canonical_keeps_clauses_that_name_copyright(spark):
     texts = [("The above copyright notice\n(C) 2001 me\nEND",), ("whilst LICENCE licence",)]
     df = spark.createDataFrame(texts, "t string")
-    assert [r[0] for r in df.select(license_scan.canonical(df.t)).collect()] == ["the above copyright notice end", "while license license"]
+    assert [r.c for r in license_scan.with_canonical(df, "t", "c").collect()] == ["the above copyright notice end", "while license license"]
 
 
 TOOLS = (chat_tools.Tool("add", (chat_tools.Field("a", "integer"), chat_tools.Field("b", "number"), chat_tools.Field("note", "string", required=False))), chat_tools.Tool("any", (), closed=False))
