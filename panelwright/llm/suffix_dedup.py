@@ -7,8 +7,8 @@ The others are sorted, neighbours are compared, and matches are extended: right
 by the words before the anchor. Where that makes min_words words, the window is repeated; covered windows are merged.
 
 Suffixes are told by their next min_words words and the words before the anchor: what is kept of one is bounded however
-long its document is. Runs of neighbours too large for one task are not compared there: their windows are hashed one by
-one and counted with partial aggregation, which finds the same.
+long its document is. Runs of neighbours too large for one task are not compared there: suffixes with the
+same words around them are collapsed, and the windows of the rest are hashed one by one and counted, which finds the same.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from .shared import materialise
 class Repeats:
     """min_words: least length of a repeat. log_window: the k-grams that an anchor is chosen from, as a power of two.
 
-    large_run: suffixes with equal beginnings that one task compares.
+    large_run: documents with suffixes of equal beginnings that one task compares.
     """
 
     min_words: int = 50
@@ -82,8 +82,10 @@ def _anchor_keys(how: Repeats) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
         for batch in batches:
             for part in X.slices(batch.column(1)):
                 found = Anchors(part, how)
-                ids = batch.column(0).take(pa.array(found.doc_of(found.anchors) + part.first))
-                yield pa.RecordBatch.from_arrays([pa.array(found.keys.astype(np.uint64).view(np.int64)), ids], names=["key", "id"])
+                keys, of = found.keys.astype(np.uint64), found.doc_of(found.anchors)
+                _, once = np.unique(keys ^ X.mix(of.astype(np.uint64) + np.uint64(1)), return_index=True)  # a document counts once
+                ids = batch.column(0).take(pa.array(of[once] + part.first))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[once].view(np.int64)), ids], names=["key", "id"])
 
     return run
 
@@ -115,9 +117,13 @@ def _suffixes(how: Repeats) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 left = at[:, None] - 1 - np.arange(how.window - 1)
                 left = np.where(left >= begin[:, None], short[np.maximum(left, 0)], 0).astype(np.uint32)
                 binary = lambda a: pa.Array.from_buffers(pa.binary(a.shape[1] * 4), len(a), [None, pa.py_buffer(np.ascontiguousarray(a).tobytes())]).cast(pa.binary())
-                sizes = wanted.field("n").take(pa.array(order[slot[keep]])) if len(order) else pa.array([], pa.int64())
+                # Suffixes of a document with the same words around them are one row with several places.
+                kind = left_digests(right)[:, -1] ^ X.mix(left_digests(left)[:, -1]) ^ X.mix(mine[keep] + (at - low).astype(np.uint64) * np.uint64(64) + (at - high).astype(np.uint64))
+                _, once, which = np.unique(kind, return_index=True, return_inverse=True)
+                places = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(which, minlength=len(once)))].astype(np.int32)), pa.array((at - begin)[np.argsort(which, kind="stable")].astype(np.int64)))
+                sizes = wanted.field("n").take(pa.array(order[slot[keep[once]]])) if len(order) else pa.array([], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.keys[keep].astype(np.uint64).view(np.int64)), sizes, batch.column(0).take(pa.array(of + part.first)), pa.array((at - begin).astype(np.int64)), pa.array((at - high).astype(np.int32)), pa.array((at - low).astype(np.int32)), binary(right), binary(left)],
+                    [pa.array(found.keys[keep[once]].astype(np.uint64).view(np.int64)), sizes, batch.column(0).take(pa.array(of[once] + part.first)), places, pa.array((at - high)[once].astype(np.int32)), pa.array((at - low)[once].astype(np.int32)), binary(right[once]), binary(left[once])],
                     names=["key", "n", "id", "at", "least", "most", "right", "left"],
                 )
 
@@ -178,10 +184,13 @@ def compare_neighbours(key: np.ndarray, doc: np.ndarray, least: np.ndarray, most
     return several[back], later[back]
 
 
-def _spans(ids: pa.Array, at: np.ndarray, flags: np.ndarray, removable: bool, how: Repeats) -> pa.RecordBatch:
+def _spans(ids: pa.Array, places: pa.Array, flags: np.ndarray, removable: bool, how: Repeats) -> pa.RecordBatch:
+    """The covered words of each row's places."""
     row, first, last = runs(flags)
-    start, end = at[row] - last, at[row] - first + how.min_words
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(start), pa.array(end), pa.array(np.full(len(row), removable))], names=["id", "start", "end", "removable"])
+    number = places.value_lengths().to_numpy(zero_copy_only=False)[row]
+    at = places.take(pa.array(row)).flatten().to_numpy()
+    row, first, last = (np.repeat(x, number) for x in (row, first, last))
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(at - last), pa.array(at - first + how.min_words), pa.array(np.full(len(row), removable))], names=["id", "start", "end", "removable"])
 
 
 def _neighbours(how: Repeats) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -200,8 +209,8 @@ def _neighbours(how: Repeats) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
         rank[-1] = len(names)  # null ids: one document, the last
         doc = rank[ids.indices.fill_null(len(names)).to_numpy(zero_copy_only=False)]
         several, later = compare_neighbours(num("key"), doc, num("least"), num("most"), _matrix(col["right"], how.min_words), _matrix(col["left"], how.window - 1), how)
-        yield _spans(col["id"], num("at"), several, False, how)
-        yield _spans(col["id"], num("at"), later, True, how)
+        yield _spans(col["id"], col["at"], several, False, how)
+        yield _spans(col["id"], col["at"], later, True, how)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -225,7 +234,7 @@ def _neighbours(how: Repeats) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 def _windows(how: Repeats) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each window of each suffix, with a digest of its words."""
+    """Each window of each kind of suffix, with a digest of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,11 +247,49 @@ def _windows(how: Repeats) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 digest = X.mix(left[:, : how.window] + X.mix(right[:, how.min_words - d] + d.astype(np.uint64)))
                 least, most = (col[n].to_numpy(zero_copy_only=False)[:, None] for n in ("least", "most"))
                 row, shift = np.nonzero((least <= d) & (d <= most))
-                yield pa.RecordBatch.from_arrays([pa.array(digest[row, shift].view(np.int64)), col["id"].take(pa.array(row)), pa.array(col["at"].to_numpy()[row] - shift)], names=["digest", "id", "start"])
+                rows = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(digest[row, shift].view(np.int64)), *(col[n].take(rows) for n in ("key", "kind", "low", "high")), pa.array(shift.astype(np.int32))], names=["digest", "key", "kind", "low", "high", "shift"])
 
     return run
 
 
+def _members(how: Repeats) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Spans of suffixes (id, at, met) by the repeated windows of their kind; met: shift and the document that keeps it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, len(whole), 1024):
+                batch = whole.slice(begin, 1024)
+                ids, met = batch.column(0), batch.column(2)
+                flat, row = met.flatten(), np.repeat(np.arange(len(batch)), met.value_lengths().to_numpy(zero_copy_only=False))
+                shift, keeper = flat.field("shift").to_numpy(zero_copy_only=False), flat.field("keeper").to_pylist()
+                own = ids.take(pa.array(row)).to_pylist()
+                several, later = np.zeros((len(batch), how.window), bool), np.zeros((len(batch), how.window), bool)
+                several[row, shift] = True
+                later[row, shift] = [a != b for a, b in zip(own, keeper, strict=True)]
+                yield _spans(ids, batch.column(1), several, False, how)
+                yield _spans(ids, batch.column(1), later, True, how)
+
+    return run
+
+
+def _large_runs(large: DataFrame, kind: T.DataType, found: T.StructType, how: Repeats) -> DataFrame:
+    """Spans of suffixes in runs too large to compare in one task.
+
+    Suffixes with the same words around them are one kind: copies of a document are collapsed before windows are made. A
+    kind's repeated windows, at most `window` of them, then go to each of its members.
+    """
+    named = large.withColumn("kind", F.xxhash64("right", "left", "least", "most"))
+    document = F.struct(F.col("id").isNull().alias("none"), "id")
+    kinds = named.groupBy("key", "kind").agg(*(F.first(c).alias(c) for c in ("right", "left", "least", "most")), F.min(document).alias("low"), F.max(document).alias("high"))
+    pair = T.StructType([T.StructField("none", T.BooleanType()), T.StructField("id", kind)])
+    fields = [T.StructField(c, T.LongType()) for c in ("digest", "key", "kind")] + [T.StructField("low", pair), T.StructField("high", pair), T.StructField("shift", T.IntegerType())]
+    windows = materialise(kinds.mapInArrow(_windows(how), T.StructType(fields)), "suffix-windows")
+    often = windows.groupBy("digest").agg(F.min("low").alias("keeper"), F.max("high").alias("last")).filter("NOT (keeper <=> last)").select("digest", "keeper")
+    met = windows.join(often, "digest").groupBy("key", "kind").agg(F.collect_list(F.struct("shift", F.col("keeper.id").alias("keeper"))).alias("met"))
+    return named.select("key", "kind", "id", "at").join(met, ["key", "kind"]).select("id", "at", "met").mapInArrow(_members(how), found)
+
+
 def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     """Union of half-open spans; touching spans are joined."""
     order = np.argsort(starts, kind="stable")
@@ -283,19 +330,17 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     kind = docs.schema[id_col].dataType
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     keys = materialise(read.mapInArrow(_anchor_keys(how), T.StructType([T.StructField("key", T.LongType()), T.StructField("id", kind)])), "suffix-keys")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    wanted = keys.join(shared, "key").distinct().groupBy("id").agg(F.collect_list(F.struct("key", "n")).alias("keys"))
+    document = F.struct(F.col("id").isNull().alias("none"), "id")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(document).alias("low"), F.max(document).alias("high")).filter("NOT (low <=> high)").select("key", "n")
+    wanted = keys.join(shared, "key").groupBy("id").agg(F.collect_list(F.struct("key", "n")).alias("keys"))
     wanted = wanted.withColumnRenamed("id", "of")
     texts = read.join(wanted, F.col("id").eqNullSafe(F.col("of"))).select("id", "text", "keys")
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("id", kind), T.StructField("at", T.LongType()), *(T.StructField(c, T.IntegerType()) for c in ("least", "most")), *(T.StructField(c, T.BinaryType()) for c in ("right", "left"))])
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("id", kind), T.StructField("at", T.ArrayType(T.LongType())), *(T.StructField(c, T.IntegerType()) for c in ("least", "most")), *(T.StructField(c, T.BinaryType()) for c in ("right", "left"))])
     suffixes = materialise(texts.mapInArrow(_suffixes(how), schema), "suffixes")
 
     found = T.StructType([T.StructField("id", kind), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("removable", T.BooleanType())])
     small = suffixes.filter(F.col("n") <= how.large_run).repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_neighbours(how), found)
-    windows = suffixes.filter(F.col("n") > how.large_run).mapInArrow(_windows(how), T.StructType([T.StructField("digest", T.LongType()), T.StructField("id", kind), T.StructField("start", T.LongType())]))
-    last = F.max(F.struct(F.col("id").isNull().alias("none"), "id"))
-    often = windows.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("low"), last.alias("high")).filter("NOT (low <=> high)")
-    met = windows.join(often, "digest").select("id", "start", (F.col("start") + how.min_words).alias("end"), (~F.col("id").eqNullSafe(F.col("low.id"))).alias("removable"))
+    met = _large_runs(suffixes.filter(F.col("n") > how.large_run), kind, found, how)
     spans = small.unionByName(met).groupBy("id").agg(F.collect_set(F.struct("start", "end", "removable")).alias("spans"))
     counts = [T.StructField(n, T.LongType()) for n in ("n_repeated", "n_removable")]
     return spans.withColumnRenamed("id", id_col).mapInArrow(_merge, T.StructType([T.StructField(id_col, kind), *counts, T.StructField("repeated", SPANS), T.StructField("removable", SPANS)]))

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are held as arrays at a time; one longer document makes a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _SEED = np.random.default_rng(20240229)
 _CODES = _SEED.integers(1, 1 << 63, 256, dtype=np.uint64)
