@@ -131,7 +131,8 @@ def _rank_vs_raw(p: Panel) -> DataFrame:
 
 def _accuracy(p: Panel) -> DataFrame:
     panel = p.signals().select("ticker", "date", *MODELS, "realized_return")
-    return forecast_eval.evaluate_forecasting_accuracy(panel)[0].drop("spearman_rank_corr")
+    found = forecast_eval.evaluate_forecasting_accuracy(panel)[0]
+    return found.select("model", F.ln(1 - F.col("oos_r2")).alias("log_unexplained"), F.ln("mae").alias("log_mae"), F.ln("mse").alias("log_mse"))
 
 
 def _decile_pivot(p: Panel) -> DataFrame:
@@ -187,10 +188,10 @@ PANEL: dict[str, Callable[[Panel], DataFrame]] = {
     "drawdown": lambda p: _gross(p).drawdowns,
     "tc_stress": lambda p: reports.transaction_cost_stress_test(p.deciles(), p.weights(), ls_cost_mode="reference_precomputed")["tc_summary"],
     "clip_realized": lambda p: reports.clip_realized_returns(p.signals(), lower=-0.1, upper=0.2).select("ticker", "date", "realized_return"),
-    "oos_r2": lambda p: forecast_eval.compute_oos_r2(p.signals(), "realized_return", "momentum"),
+    "oos_r2": lambda p: forecast_eval.compute_oos_r2(p.signals(), "realized_return", "momentum").select(F.ln(1 - F.col("oos_r2")).alias("log_unexplained")),
     "forecast_accuracy": _accuracy,
     "spearman_by_date": lambda p: forecast_eval.evaluate_forecasting_accuracy(p.signals().select("ticker", "date", *MODELS, "realized_return"))[1],
-    "dm_stat": lambda p: inference.diebold_mariano_test(p.signals().select("ticker", "date", *MODELS, "realized_return"), horizon=3).drop("p_value"),
+    "dm_stat": lambda p: inference.diebold_mariano_test(p.signals().select("ticker", "date", *MODELS, "realized_return"), horizon=3).select("model_1", "model_2", "dm_stat", F.ln(F.abs("mean_loss_diff")).alias("log_loss_diff"), "periods"),
     "jk_stat": lambda p: inference.jobson_korkie_test(p.spreads(), model_1="momentum", model_2="value").drop("model_1", "model_2", "p_value"),
     "pred_rank_riskadj": lambda p: ranking.convert_predictions_to_rankings(p.features(), config=ranking.RankingConfig(prediction_col="momentum", risk_adjust="volatility", volatility_col="volatility")),
     "pred_rank_zscore": lambda p: ranking.convert_predictions_to_rankings(p.features(), config=ranking.RankingConfig(prediction_col="momentum", basis="zscore")),

@@ -192,9 +192,9 @@ ORACLES = {
     "user_day_ranks": """SELECT ticker, date, round((rank() OVER (PARTITION BY date ORDER BY v) + (count(*) OVER (PARTITION BY date, v) - 1) / 2) / count(*) OVER (PARTITION BY date), 6) AS value_rank
       FROM (SELECT user_id AS ticker, CAST(ts AS DATE) AS date, sum(CAST(value AS DOUBLE)) AS v FROM events GROUP BY 1, 2)""",
     "clip_realized": query("SELECT ticker, date, round(least(greatest(realized, -0.1), 0.2), 6) AS realized_return FROM signals WHERE realized IS NOT NULL"),
-    "oos_r2": query("SELECT round(1 - sum((y - signal) * (y - signal)) / nullif(var_pop(y) * count(y), 0), 6) AS oos_r2 FROM scored WHERE model = 'momentum'"),
+    "oos_r2": query("SELECT round(ln(sum((y - signal) * (y - signal)) / nullif(var_pop(y) * count(y), 0)), 6) AS log_unexplained FROM scored WHERE model = 'momentum'"),
     "forecast_accuracy": query(
-        """SELECT model, round(1 - sum(e * e) / nullif(sum(s * s), 0), 6) AS oos_r2, round(avg(abs(e)), 6) AS mae, round(avg(e * e), 6) AS mse
+        """SELECT model, round(ln(sum(e * e) / nullif(sum(s * s), 0)), 6) AS log_unexplained, round(ln(avg(abs(e))), 6) AS log_mae, round(ln(avg(e * e)), 6) AS log_mse
     FROM (SELECT model, y - signal AS e, y - avg(y) OVER (PARTITION BY date, model) AS s FROM scored) GROUP BY model"""
     ),
     "spearman_by_date": query(
@@ -204,7 +204,7 @@ ORACLES = {
     GROUP BY date, model HAVING count(*) >= 2"""
     ),
     "dm_stat": query(
-        """SELECT 'momentum' AS model_1, 'value' AS model_2, round(avg(d) / sqrt((sum(u * u) / n + 2 * (2.0 / 3) * sum(u * u1) / n + 2 * (1.0 / 3) * sum(u * u2) / n) / n), 6) AS dm_stat, round(avg(d), 6) AS mean_loss_diff, n AS periods
+        """SELECT 'momentum' AS model_1, 'value' AS model_2, round(avg(d) / sqrt((sum(u * u) / n + 2 * (2.0 / 3) * sum(u * u1) / n + 2 * (1.0 / 3) * sum(u * u2) / n) / n), 6) AS dm_stat, round(ln(abs(avg(d))), 6) AS log_loss_diff, n AS periods
     FROM (SELECT *, lag(u, 1) OVER (ORDER BY date) AS u1, lag(u, 2) OVER (ORDER BY date) AS u2, count(*) OVER () AS n FROM (SELECT date, d, d - avg(d) OVER () AS u FROM (
       SELECT date, avg((momentum - realized) * (momentum - realized) - (value - realized) * (value - realized)) AS d FROM signals WHERE momentum IS NOT NULL AND value IS NOT NULL AND realized IS NOT NULL GROUP BY date))) GROUP BY n"""
     ),
