@@ -9,7 +9,7 @@ searched backward at once; occurrences are located by walking to a sampled posit
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +21,9 @@ from . import textops as X
 
 WINDOW = 13
 SAMPLED_EVERY = 16
-#: Bytes of benchmark text that are searched for in one pass; a larger benchmark takes several.
-BENCHMARK_BYTES = 32 << 20
+#: Bytes of benchmark text that are searched for in one pass; a larger benchmark takes several. A pass holds about 80
+#: bytes for each word on the driver and on every worker.
+BENCHMARK_BYTES = 8 << 20
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
@@ -88,8 +89,8 @@ class FMIndex:
         order = suffix_order(symbols)
         self.bwt = symbols[order - 1]
         self.tree = WaveletTree(self.bwt, n_symbols)
-        counts = np.bincount(symbols, minlength=n_symbols)
-        self.before = np.cumsum(counts) - counts
+        self.counts = np.bincount(symbols, minlength=n_symbols)
+        self.before = np.cumsum(self.counts) - self.counts
         begins = np.r_[True, symbols[:-1] == 0]
         start = np.maximum.accumulate(np.where(begins, np.arange(len(symbols)), 0))
         kept = ((np.arange(len(symbols)) - start) % every == 0)[order]
@@ -97,8 +98,9 @@ class FMIndex:
 
     def search(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranges of suffixes that begin with each phrase (a row, padded at the right)."""
-        low, high = np.zeros(len(phrases), np.int64), np.full(len(phrases), len(self.bwt), np.int64)
-        for back in range(phrases.shape[1]):
+        last = phrases[np.arange(len(phrases)), lengths - 1]
+        low, high = self.before[last], self.before[last] + self.counts[last]
+        for back in range(1, phrases.shape[1]):
             at = np.flatnonzero((lengths > back) & (low < high))
             if not len(at):
                 break
@@ -119,31 +121,42 @@ class FMIndex:
 
 @dataclass
 class Phrases:
-    """Windows of the benchmark over a vocabulary of word digests; items[k] lists the items of phrase k."""
+    """Windows of the benchmark over a vocabulary of word digests.
+
+    Phrase k is rows[k, :lengths[k]]; its items are names[owners[first[k] : first[k + 1]]], sorted.
+    """
 
     vocabulary: np.ndarray
     rows: np.ndarray
     lengths: np.ndarray
-    items: list[list[str]] = field(default_factory=list)
+    names: np.ndarray
+    owners: np.ndarray
+    first: np.ndarray
 
     @classmethod
     def of(cls, benchmark: list[tuple[str, str]], window: int = WINDOW) -> Phrases:
-        found: dict[tuple, set[str]] = {}
-        if benchmark:
-            ids, texts = zip(*benchmark, strict=True)
-            for part in X.slices(pa.array(texts, pa.string())):
-                begins, ends, first = part.words(X.ALNUM)
-                words = part.hashes(begins, ends, lower=True).tolist()
-                for i in range(len(part)):
-                    own = words[first[i] : first[i + 1]]
-                    for k in range(max(1, len(own) - window + 1)) if own else ():
-                        found.setdefault(tuple(own[k : k + window]), set()).add(ids[part.first + i])
-        vocabulary = np.unique(np.array([w for p in found for w in p], np.uint64))
-        rows = np.zeros((len(found), window), np.int64)
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        for k, p in enumerate(found):
-            rows[k, : len(p)] = np.searchsorted(vocabulary, np.array(p, np.uint64)) + 1
-        return cls(vocabulary, rows, lengths, [sorted(s) for s in found.values()])
+        names, owner = np.unique(np.array([i for i, _ in benchmark], object), return_inverse=True)
+        digests, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for part in X.slices(pa.array([t for _, t in benchmark], pa.string())):
+            begins, ends, bounds = part.words(X.ALNUM)
+            digests.append(part.hashes(begins, ends, lower=True))
+            counts.append(np.diff(bounds))
+        vocabulary, symbol = np.unique(np.concatenate(digests), return_inverse=True)
+        words = np.concatenate(counts)
+        windows = np.where(words > 0, np.maximum(words - window + 1, 1), 0)
+        start = np.repeat(np.cumsum(words) - words - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
+        size = np.repeat(np.minimum(words, window), windows)
+        rows = np.zeros((len(start), window), np.int32)
+        for k in range(window):
+            long = size > k
+            rows[long, k] = symbol[start[long] + k] + 1
+        _, at, phrase = np.unique(rows.view(f"V{rows.itemsize * window}").ravel(), return_index=True, return_inverse=True)
+        pairs = np.unique(phrase * max(1, len(names)) + np.repeat(owner, windows))
+        phrase, owners = np.divmod(pairs, max(1, len(names)))
+        return cls(vocabulary, rows[at], size[at], names, owners, np.searchsorted(phrase, np.arange(len(at) + 1)))
+
+    def items(self, phrase: int) -> list[str]:
+        return self.names[self.owners[self.first[phrase] : self.first[phrase + 1]]].tolist()
 
     def hits(self, part: X.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
         """First word and length of each occurrence in a slice, its phrase, and the slice's words."""
@@ -203,7 +216,7 @@ def _searched(text_col: str, load: Callable[[], Phrases]) -> Callable[[Iterator[
                 hit = np.cumsum(edges[:-1]) > 0
                 doc = np.searchsorted(first, start, side="right") - 1
                 for d, p in set(zip(doc.tolist(), phrase.tolist(), strict=True)):
-                    items[d].update(phrases.items[p])
+                    items[d].update(phrases.items(p))
                 if "removal_spans" in batch.schema.names:
                     for d, (old, spans) in enumerate(zip(rows.column("items").to_pylist(), rows.column("removal_spans").to_pylist(), strict=True)):
                         items[d].update(old)
@@ -225,13 +238,19 @@ def _searched(text_col: str, load: Callable[[], Phrases]) -> Callable[[Iterator[
     return run
 
 
-def benchmark_blocks(benchmark: DataFrame, *, id_col: str, text_col: str, limit: int) -> list[list[tuple[str, str]]]:
-    """The items in blocks of about limit bytes, each small enough for the driver and for every worker."""
-    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("item_text"))
-    size = items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
-    number = max(1, -(-int(size) // limit))
-    own = F.pmod(F.xxhash64("item", "item_text"), F.lit(number))
-    return [[tuple(r) for r in items.filter(own == b).collect()] for b in range(number)]
+def benchmark_blocks(benchmark: DataFrame, *, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str, str]]]:
+    """The items in blocks that reach limit bytes of text with their last item; one block is on the driver at a time."""
+    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit("")))
+    block: list[tuple[str, str]] = []
+    size = number = 0
+    for item, text in items.toLocalIterator():
+        block.append((item, text))
+        size += len(text.encode())
+        if size >= limit:
+            yield block
+            block, size, number = [], 0, number + 1
+    if block or not number:
+        yield block
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, benchmark_bytes: int = BENCHMARK_BYTES) -> DataFrame:
@@ -249,7 +268,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
     schema = T.StructType([*out.schema.fields, *HIT_FIELDS])
     for block in benchmark_blocks(benchmark, id_col=item_col, text_col=item_text_col, limit=benchmark_bytes):
         found = Phrases.of(block, window)
-        sent = spark.sparkContext.broadcast((found.vocabulary, found.rows, found.lengths, found.items))
+        sent = spark.sparkContext.broadcast(tuple(vars(found).values()))
         out = out.mapInArrow(_searched(text_col, lambda sent=sent: Phrases(*sent.value)), schema)
     return out
 

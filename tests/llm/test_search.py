@@ -134,6 +134,22 @@ def test_decontamination(spark, limit):
     assert decontaminate.find_contamination(docs.limit(0), bench).count() == 0
 
 
+def test_benchmark_blocks_are_bounded(spark):
+    items = [(i, "w" * (i % 7) + "é") for i in range(50)] + [(None, None)]
+    blocks = list(decontaminate.benchmark_blocks(spark.createDataFrame(items, "item_id long, text string"), id_col="item_id", text_col="text", limit=20))
+    assert sorted(i for b in blocks for i, _ in b) == sorted("" if i is None else str(i) for i, _ in items)
+    assert all(sum(len(t.encode()) for _, t in b[:-1]) < 20 for b in blocks) and len(blocks) > 5
+    assert list(decontaminate.benchmark_blocks(spark.createDataFrame([], "item_id long, text string"), id_col="item_id", text_col="text", limit=20)) == [[]]
+
+
+def test_phrases_of_no_items():
+    for benchmark in ([], [("a", ""), ("b", "...")]):
+        found = decontaminate.Phrases.of(benchmark)
+        assert found.rows.shape == (0, 13) and not len(found.lengths) and found.first.tolist() == [0]
+    both = decontaminate.Phrases.of([("b", "One two"), ("a", "one TWO"), ("c", "two")])
+    assert sorted(both.items(k) for k in range(len(both.rows))) == [["a", "b"], ["c"]]
+
+
 def test_secret_model_on_held_out_findings():
     model = secret_scan.train()
     held = secret_scan.labelled_findings(1000, seed=99)
