@@ -47,13 +47,15 @@ def sharpe_ratio(mean: Column, deviation: Column, risk_free_rate: float, periods
     return F.try_divide(mean - F.lit(risk_free_rate / periods_per_year), F.nullif(deviation, F.lit(0.0))) * F.sqrt(F.lit(float(periods_per_year)))
 
 
-def _statistics(returns: DataFrame, by: Sequence[str], risk_free_rate: float, periods_per_year: int) -> DataFrame:
+def _statistics(returns: DataFrame, by: Sequence[str], risk_free_rate: float, periods_per_year: int, *more: Column) -> DataFrame:
+    """Statistics of the rows with a return, and more aggregates of these rows."""
     mean, dev, n = F.avg("ret"), F.stddev_samp("ret"), F.count("ret")
     return returns.filter("ret IS NOT NULL").groupBy(*by).agg(
         (mean * periods_per_year).alias("mean_return"),
         (dev * F.sqrt(F.lit(float(periods_per_year)))).alias("volatility"),
         sharpe_ratio(mean, dev, risk_free_rate, periods_per_year).alias("sharpe_ratio"),
         F.when(n > 1, F.try_divide(mean, F.nullif(dev / F.sqrt(n), F.lit(0.0)))).alias("t_stat_mean"),
+        *more,
     )
 
 
@@ -67,9 +69,9 @@ def net_returns(returns: DataFrame, turnover: DataFrame | None, bps: Column | fl
     else:
         charged = returns.join(turnover.select("date", *KEY, "turnover"), ["date", *KEY], "left").withColumn("cost", F.coalesce("turnover", F.lit(0.0)) * rate).drop("turnover")
     more = [c for c in returns.columns if c not in ("date", *KEY, "ret")]
-    net = charged.filter(~is_spread()).withColumn("ret", F.col("ret") - F.col("cost"))
     if ls_cost_mode == "reference_precomputed":
-        return net.drop("cost").unionByName(charged.filter(is_spread()).drop("cost"))
+        return charged.withColumn("ret", F.when(is_spread(), F.col("ret")).otherwise(F.col("ret") - F.col("cost"))).drop("cost")
+    net = charged.filter(~is_spread()).withColumn("ret", F.col("ret") - F.col("cost"))
     ends = charged.filter(~is_spread()).withColumn("q", quantile())
     which = ends.groupBy("model").agg(F.min("q").alias("bottom"), F.max("q").alias("top"))
     at = lambda c, end: F.max(F.when(F.col("q") == F.col(end), F.col(c)))
@@ -98,7 +100,7 @@ def summarize_portfolio_performance(decile_returns: DataFrame, *, turnover_weigh
 def _performance(net: DataFrame, turnover: DataFrame | None, by: Sequence[str], risk_free_rate: float, periods_per_year: int, plot_path: str | None = None) -> Performance:
     clipped = net.withColumn("ret", clip("ret", *RETURN_BOUNDS)).filter("ret IS NOT NULL")
     paths = wealth(clipped, by)
-    metrics = _statistics(clipped, by, risk_free_rate, periods_per_year).join(paths.groupBy(*by).agg(F.min("drawdown").alias("max_drawdown")), list(by))
+    metrics = _statistics(paths, by, risk_free_rate, periods_per_year, F.min("drawdown").alias("max_drawdown"))
     if turnover is None:
         metrics = metrics.withColumn("avg_turnover", F.lit(None).cast("double"))
     else:
@@ -112,9 +114,9 @@ def _performance(net: DataFrame, turnover: DataFrame | None, by: Sequence[str],
 def summarize_returns_basic(returns: DataFrame, *, risk_free_rate: float = 0.0, periods_per_year: int = 12) -> Performance:
     """The same without costs and without clipping; returns of ruin or worse are left out of wealth only."""
     rows = long_returns(returns).filter("ret IS NOT NULL")
-    paths = wealth(rows.filter(F.col("ret") > RUIN))
-    lows = paths.groupBy(*KEY).agg(F.min("drawdown").alias("max_drawdown"))
-    metrics = _statistics(rows, KEY, risk_free_rate, periods_per_year).join(lows, list(KEY), "left")
+    kept = wealth(rows.withColumn("all_ret", F.col("ret")).withColumn("ret", F.when(F.col("ret") > RUIN, F.col("ret"))))
+    metrics = _statistics(kept.withColumn("ret", F.col("all_ret")), KEY, risk_free_rate, periods_per_year, F.min("drawdown").alias("max_drawdown"))
+    paths = kept.filter("ret IS NOT NULL")
     return Performance(metrics, paths.select("date", *KEY, "cum"), paths.select("date", *KEY, "drawdown"))
 
 

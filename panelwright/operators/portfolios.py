@@ -69,8 +69,10 @@ def compute_decile_portfolio_returns(panel: DataFrame, *, model_cols: Sequence[s
     mean = F.try_divide(F.sum(F.col("w") * F.col("ret")), F.nullif(F.sum("w"), F.lit(0.0))) if weight_col else F.avg("ret")
     deciles = rows.groupBy("date", "model", "decile").agg(mean.alias("ret"))
     ends = [F.max(F.when(F.col("decile") == d, F.col("ret"))) for d in (n_deciles, 1)]
-    spread = deciles.groupBy("date", "model").agg((ends[0] - ends[1]).alias("ret"))
-    return deciles.select("date", "model", F.col("decile").cast("string").alias("bucket"), "ret").unionByName(spread.select("date", "model", F.lit("LS").alias("bucket"), "ret"))
+    row = lambda bucket, ret: F.struct(bucket.alias("bucket"), ret.alias("ret"))
+    # One pass gives both: a date has n_deciles rows of a model at most, so they and their spread are made together.
+    dates = deciles.groupBy("date", "model").agg(F.collect_list(row(F.col("decile").cast("string"), F.col("ret"))).alias("rows"), (ends[0] - ends[1]).alias("spread"))
+    return dates.select("date", "model", F.inline(F.concat("rows", F.array(row(F.lit("LS"), F.col("spread"))))))
 
 
 def compute_decile_portfolio_weights(panel: DataFrame, *, model_cols: Sequence[str] | None = None, weight_col: str | None = None, n_deciles: int = 10) -> DataFrame:
@@ -101,11 +103,12 @@ def compute_long_short_returns(decile_returns: DataFrame, *, bottom_decile: int
     """
     require_columns(decile_returns, ("date", "model", "bucket", "ret"))
     d = decile_returns.withColumn("q", quantile()).filter("q IS NOT NULL")
-    has = lambda k: F.max((F.col("q") == k).cast("int")) == 1
-    bottom = F.when(has(bottom_decile), F.lit(bottom_decile)).otherwise(F.min("q"))
-    top = F.max("q") if top_decile is None else F.when(has(top_decile), F.lit(top_decile)).otherwise(F.max("q"))
-    ends = d.groupBy("model").agg(bottom.alias("bottom"), top.alias("top"))
-    legs = d.join(ends, "model").groupBy("date", "model").agg((F.max(F.when(F.col("q") == F.col("top"), F.col("ret"))) - F.max(F.when(F.col("q") == F.col("bottom"), F.col("ret")))).alias("ret"))
+    of_model = Window.partitionBy("model")  # a row for each date and quantile
+    has = lambda k: F.max((F.col("q") == k).cast("int")).over(of_model) == 1
+    first, last = F.min("q").over(of_model), F.max("q").over(of_model)
+    bottom = F.when(has(bottom_decile), F.lit(bottom_decile)).otherwise(first)
+    top = last if top_decile is None else F.when(has(top_decile), F.lit(top_decile)).otherwise(last)
+    legs = d.withColumns({"bottom": bottom, "top": top}).groupBy("date", "model").agg((F.max(F.when(F.col("q") == F.col("top"), F.col("ret"))) - F.max(F.when(F.col("q") == F.col("bottom"), F.col("ret")))).alias("ret"))
     ret = F.col("ret") if cap is None else clip("ret", -cap, cap)
     return legs.select("date", "model", F.lit("long_short").alias("bucket"), ret.alias("ret"))
 
