@@ -32,8 +32,10 @@ def paired(returns: DataFrame, models: Sequence[str], value: str = "ret") -> Dat
     require_columns(returns, ("date", "model", value))
     rank = F.array_position(F.array(*map(F.lit, models)), F.col("model"))
     rows = returns.select(F.to_date("date").alias("date"), "model", finite(value).alias("x"), rank.alias("r")).filter("x IS NOT NULL AND r > 0")
-    left, right = (rows.select("date", F.col("model").alias(f"model_{i}"), F.col("x").alias(v), F.col("r").alias(f"r{i}")) for i, v in ((1, "a"), (2, "b")))
-    return left.join(right, "date").filter("r1 < r2").select("date", "model_1", "model_2", "a", "b")
+    # A date has a row for each of the models, so its pairs are made from one list, without joining returns to themselves.
+    dates = rows.groupBy("date").agg(F.collect_list(F.struct("model", "x", "r")).alias("all"))
+    pairs = dates.select("date", "all", F.explode("all").alias("l")).select("date", "l", F.explode("all").alias("m")).filter("l.r < m.r")
+    return pairs.select("date", F.col("l.model").alias("model_1"), F.col("m.model").alias("model_2"), F.col("l.x").alias("a"), F.col("m.x").alias("b"))
 
 
 def sharpe_tests(returns: DataFrame, models: Sequence[str], *, risk_free_rate: float = 0.0, periods_per_year: int = 12, memmel_correction: bool = True) -> DataFrame:
