@@ -34,8 +34,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of each document, and its training positions."""
-    return mixing.mixed(docs)
+    """Words that the mix takes of each document, and its training positions; in the order of the first of them."""
+    return mixing.in_order(mixing.mixed(docs))
 
 
 STAGES = [

@@ -118,3 +118,16 @@ def by_position(taken: DataFrame) -> DataFrame:
     rows = taken.select("*", F.explode("positions").alias("position")).drop("positions")
     parts = int(taken.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartitionByRange(parts, "position").sortWithinPartitions("position")
+
+
+def in_order(taken: DataFrame) -> DataFrame:
+    """What mixed() returns, a row for each document, range-sorted by its first training position.
+
+    positions has the later epochs; by_position() gives them rows of their own. Documents that the mix leaves out come
+    last, dealt by a hash of their columns, so that they don't meet in one range.
+    """
+    taken = materialise(taken, "mix-taken")  # the range sort reads it twice
+    parts = int(taken.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = F.try_element_at("positions", F.lit(1)).asc_nulls_last()
+    tie = F.xxhash64(*[c for c in taken.columns if c != "positions"])
+    return taken.repartitionByRange(parts, first, tie).sortWithinPartitions(first, tie)

@@ -57,7 +57,8 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    ordered = mixing.in_order(mixing.mixed(table(spark, sf_dir, "documents")))
+    return ordered.select("doc_id", "size", "source_size", "target", "taken", "positions")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
