@@ -15,7 +15,10 @@ from .shared import materialise
 #: A line that states a copyright: the word with a sign or a year, or a sign at the line's beginning; rights reserved.
 COPYRIGHT_LINE = r"(?m)^[ \t#*/;-]*(copyright[ \t]+(\(c\)|©|[0-9]{4}|\[|<)|\(c\)[ \t]|©|all rights reserved)[^\n]*$"
 PUNCTUATION = r"[^\p{L}\p{N}]+"
+FIRST_WORD = r"^[^\p{L}\p{N}]*+([\p{L}\p{N}]++)"
 
+#: So many digests at most (about 100 bytes each) are sent to every executor whatever the session's limit.
+SENT_LICENCES = 100_000
 
 #: Cheap test for words that have another spelling; texts without any skip the replacements.
 VARIANT = " (?:" + "|".join(variant for variant, _ in SPELLINGS) + ") "
@@ -52,6 +55,16 @@ def known_licences(spark: SparkSession, texts: tuple[tuple[str, str], ...] = TEX
     return with_digest(rows, "licence_text", "digest").groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
+def first_words(spark: SparkSession, texts: tuple[tuple[str, str], ...] = TEXTS) -> list[str]:
+    """Words that the canonical form of a known text begins with, in each of their spellings."""
+    rows = with_canonical(spark.createDataFrame(list(texts), "licence string, licence_text string"), "licence_text", "words")
+    found = {r[0] for r in rows.select(F.substring_index("words", " ", 1)).distinct().collect()}
+    for variant, word in reversed(SPELLINGS):  # the replacements are made in order
+        if word in found:
+            found.add(variant)
+    return sorted(found)
+
+
 def scan_licences(docs: DataFrame, known: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, digest (of the canonical text), licence (whose text it is, or null), notices.
 
@@ -59,11 +72,16 @@ def scan_licences(docs: DataFrame, known: DataFrame | None = None, *, id_col: st
     texts have the digest of the empty text, which is no licence's. Repeated rows each get a row, null ids stay. An empty
     table gives an empty one. Only the two named columns are read. known: (digest, licence), one row for each digest.
     """
+    begin = first_words(docs.sparkSession) if known is None else None
     known = known_licences(docs.sparkSession) if known is None else known.select("digest", "licence")
     known = materialise(known, "licences")  # so that Spark knows its size when it chooses the join
+    if known.count() <= SENT_LICENCES:
+        known = F.broadcast(known)
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
     whole = with_digest(read, "body", "digest").select("id", "digest").join(known, "digest", "left")
     lines = read.select("id", "body", F.explode(F.split(F.coalesce("body", F.lit("")), "\n")).alias("line")).filter(F.trim("line") != "")
+    if begin:  # lines that begin with another word have no known digest; this spares most of them the canonical form
+        lines = lines.filter(F.regexp_extract(F.lower("line"), FIRST_WORD, 1).isin(begin))
     stated = with_digest(lines, "line", "digest").select("id", "body", "digest").join(known, "digest")
     stated = with_digest(stated, "body", "of").select("id", "of", "licence")
     notices = stated.groupBy(F.col("id").alias("of_id"), "of").agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("notices"))
