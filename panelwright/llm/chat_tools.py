@@ -43,10 +43,17 @@ def json_text(value: Column) -> Column:
     return listed.substr(F.lit(2), F.length(listed) - 2)
 
 
+def _embedded(messages: DataFrame) -> DataFrame:
+    """messages with parsed: tool_calls and content of the assistant messages whose JSON has a call; null for others."""
+    looks = (F.col("role") == "assistant") & F.col("text").rlike(r'(?s)^\s*\{.*"tool_calls".*\}\s*$')
+    parsed = F.when(looks, F.from_json("text", "struct<tool_calls: array<struct<id: string, name: string, arguments: string>>, content: string>"))
+    has_call = F.exists(parsed["tool_calls"], lambda c: c.isNotNull())
+    return messages.select("conv_id", "turn", "role", "text", F.when(has_call, parsed).alias("parsed"))
+
+
 def embedded_calls(messages: DataFrame) -> DataFrame:
-    """Calls in assistant messages whose text is {"tool_calls": [{"id", "name", "arguments"}, ...]}."""
-    calls = F.from_json("text", "struct<tool_calls: array<struct<id: string, name: string, arguments: string>>>")
-    found = messages.filter((F.col("role") == "assistant") & F.col("text").rlike(r'^\s*\{.*"tool_calls"')).select("conv_id", "turn", F.posexplode(calls["tool_calls"]).alias("pos", "call"))
+    """Calls in assistant messages whose text is {"tool_calls": [{"id", "name", "arguments"}, ...]}, with one at least."""
+    found = _embedded(messages).filter("parsed IS NOT NULL").select("conv_id", "turn", F.posexplode("parsed.tool_calls").alias("pos", "call"))
     return found.select("conv_id", "turn", "pos", F.col("call.id").alias("call_id"), F.col("call.name").alias("name"), F.col("call.arguments").alias("arguments"))
 
 
@@ -150,12 +157,17 @@ REPLY = Tool("reply", (Field("text", "string"), Field("turn", "integer")))
 
 
 def turns_as_tools(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Calls, results and other messages: those embedded as JSON, and user turns as calls that the next turn answers."""
-    embedded = F.coalesce((F.col("role") == "assistant") & F.col("text").rlike(r'^\s*\{.*"tool_calls"'), F.lit(False))
+    """Calls, results and other messages: those embedded as JSON, and user turns as calls that the next turn answers.
+
+    An assistant message without embedded calls is an answer as it is, whatever its text; one with calls has its content,
+    if any, as answer beside them.
+    """
     call_id = lambda turn: F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.lit(":"), turn.cast("string"))
     users = messages.filter("role = 'user'").select(
         "conv_id", "turn", F.lit(0).alias("pos"), call_id(F.col("turn")).alias("call_id"), F.lit(REPLY.name).alias("name"), F.to_json(F.struct("turn", "text"), {"ignoreNullFields": "false"}).alias("arguments")
     )
-    answers = messages.filter((F.col("role") == "assistant") & ~embedded).select("conv_id", "turn", F.lit(0).alias("pos"), call_id(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    said = _embedded(messages).filter("role = 'assistant' AND (parsed IS NULL OR parsed.content IS NOT NULL)")
+    content = F.when(F.col("parsed").isNull(), F.col("text")).otherwise(F.col("parsed.content"))
+    answers = said.select("conv_id", "turn", F.lit(0).alias("pos"), call_id(F.col("turn") - 1).alias("call_id"), content.alias("content"))
     others = messages.filter(F.coalesce(~F.col("role").isin("user", "assistant", "tool"), F.lit(True))).select("conv_id", "turn", "role", "text")
     return users.unionByName(embedded_calls(messages)), answers.unionByName(embedded_results(messages)), others
