@@ -60,10 +60,12 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The second column, text, becomes its fingerprint; other columns stay."""
     for batch in batches:
         texts = batch.column(1).cast(pa.binary()).to_pylist()
         found = np.array([fingerprint(t or b"") for t in texts], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=[batch.schema.names[0], "fp"])
+        names = batch.schema.names
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), *batch.columns[2:]], names=[names[0], "fp", *names[2:]])
 
 
 def _turned(fp: np.ndarray, start: np.ndarray | int) -> np.ndarray:
@@ -191,6 +193,12 @@ def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
+def _rooted(nodes: DataFrame, paired_bucket: int) -> DataFrame:
+    """nodes (one row for each fingerprint fp) with the root of its component."""
+    stars = components(fingerprint_links(nodes, paired_bucket=paired_bucket))
+    return nodes.join(stars, nodes["fp"] == stars["u"], "left").select(nodes["*"], F.coalesce("v", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", paired_bucket: int = PAIRED_BUCKET) -> DataFrame:
     """One row per row of docs: id, fingerprint (hex), component_id (smallest id of its component).
 
@@ -200,23 +208,27 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     prints = materialise(docs.select(id_col, text_col).mapInArrow(_fingerprints, T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])), "simhash-fp")
     nodes = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("first_id")), "simhash-nodes")
-    stars = components(fingerprint_links(nodes, paired_bucket=paired_bucket))
-    rooted = nodes.join(stars, nodes["fp"] == stars["u"], "left").select("fp", "first_id", F.coalesce("v", "fp").alias("root"))
+    rooted = _rooted(nodes, paired_bucket)
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = rooted.join(named, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select(id_col, hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def one_per_component(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row left of each component: that with the smallest id; of repeated ids, one row. Columns unchanged.
+def one_per_component(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", paired_bucket: int = PAIRED_BUCKET) -> DataFrame:
+    """docs with one row left of each component: that with the smallest id, nulls last. Columns unchanged.
 
-    Rows without id can't be told apart by it, and stay.
+    Rows are told apart by digests of id and text and of all columns, not by id: an id that occurs with several texts
+    counts in the component of each. Of several rows with the smallest id the one with the smallest digest stays, of
+    equal rows any. Rows without id take part like any other; a component without any id keeps one of them.
     """
-    named = docs.filter(F.col(id_col).isNotNull())
-    first = near_duplicates(named, id_col=id_col, text_col=text_col).filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    chosen = named.join(first, id_col, "left_semi")
-    pick = Window.partitionBy(id_col).orderBy(F.xxhash64(*docs.columns))
-    rank = "row_of_id"
-    while rank in docs.columns:
-        rank += "_"
-    return chosen.withColumn(rank, F.row_number().over(pick)).filter(F.col(rank) == 1).select(docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
+    text = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\n"), F.coalesce(F.col(text_col), F.lit("")))
+    row, digest = F.xxhash64(*docs.columns).alias("row"), F.md5(text).alias("digest")
+    fields = [T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType()), T.StructField("row", T.LongType()), T.StructField("digest", T.StringType())]
+    prints = docs.select(F.col(id_col).alias("id"), text_col, row, digest).mapInArrow(_fingerprints, T.StructType(fields))
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "digest"))
+    nodes = materialise(prints.groupBy("fp").agg(first.alias("first")), "simhash-nodes")
+    chosen = _rooted(nodes, paired_bucket).groupBy("root").agg(F.min("first").alias("first")).select("first.row", "first.digest")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # texts are sorted in so many tasks, not fewer larger ones
+    whole = docs.select(F.struct("*").alias("doc"), row, digest).repartition(parts, "row", "digest").join(chosen, ["row", "digest"], "left_semi")
+    pick = Window.partitionBy("row", "digest").orderBy("row")
+    return whole.withColumn("place", F.row_number().over(pick)).filter("place = 1").select("doc.*")
