@@ -1,21 +1,30 @@
-"""Lineage cuts in the folder that driver and executors share."""
+"""Work that several operators share: lineage cuts in the shared folder, names that don't clash, joins on hot keys."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Used only where the session names no checkpoint folder, as in tests on one machine.
+#: Used only where the session names no checkpoint folder and driver and executors are one machine, as in tests.
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/panelwright"
+#: A key is hot if it has more than one in so many of all rows; there are fewer hot keys than this.
+HOT_SHARE = 1000
+_SPREAD = 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one is set where that is unset."""
+    """The folder of spark.checkpoint.dir; unset, a local one on a single machine, and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder there that driver and executors share")
         folder = LOCAL_CHECKPOINTS
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -25,8 +34,64 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: later stages and lost executors start from the files."""
-    path = fresh_path(df.sparkSession, name)
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, at = _hadoop(spark, path)
+    return system.exists(at)
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written once to the shared folder and read back, and where: later stages and lost executors start from the files.
+
+    The files are removed when the driver's process ends, or before by remove().
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    system, at = _hadoop(spark, path)
+    system.deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    return written(df, name)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete written files that nothing reads any more."""
+    system, at = _hadoop(spark, path)
+    system.delete(at, True)
+
+
+def apart(docs: DataFrame) -> tuple[DataFrame, Callable[[str], str], Callable[[DataFrame], DataFrame]]:
+    """docs under names that no operator uses, the new name of a column, and the way back to docs' columns."""
+    names = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names.__getitem__, lambda df: df.select(*(F.col(new).alias(old) for old, new in names.items()))
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: Sequence[str], size: str, *, trim: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """left joined (left outer) to right, which has one row for each key, and in size the number of left's rows with it.
+
+    A key with more than a thousandth of all rows would send these to one task. There are fewer than a thousand such keys:
+    their rows of right are broadcast, and left's rows with them are dealt by row instead. trim: for columns of left what
+    they become with a hot key, given right's values, before they are dealt. Keys are not null. right is read three times:
+    pass a written frame. left comes from files, so that a task that is run again deals alike. size is not returned.
+    """
+    total = right.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    values = [c for c in right.columns if c not in (*keys, size)]
+    hot = F.col(size) * HOT_SHARE > total
+    few = right.filter(hot).select(*(F.col(k).alias(f"hot_{k}") for k in keys), F.struct(F.lit(True).alias("hot_there"), *values).alias("hot_values"))
+    many = right.filter(~hot).select(*(F.col(k).alias(f"cold_{k}") for k in keys), F.lit(0).alias("cold_deal"), F.struct(F.lit(True).alias("hot_there"), *values).alias("cold_values"))
+    met = left.join(F.broadcast(few), reduce(and_, (F.col(k) == F.col(f"hot_{k}") for k in keys)), "left")
+    cold = F.col("hot_values").isNull()
+    for name, less in (trim or {}).items():
+        met = met.withColumn(name, F.when(cold, F.col(name)).otherwise(less(F.col("hot_values"))))
+    # Rows with a hot key look for a partner that does not exist, each in a place of its own.
+    met = met.withColumn("deal", F.when(cold, F.lit(0)).otherwise((F.monotonically_increasing_id() % _SPREAD).cast("int") + 1))
+    met = met.join(many, reduce(and_, (F.col(k) == F.col(f"cold_{k}") for k in keys)) & (F.col("deal") == F.col("cold_deal")), "left")
+    got = F.coalesce("hot_values", "cold_values")
+    return met.select(*left.columns, *(got[c].alias(c) for c in values))

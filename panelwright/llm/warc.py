@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import base64
 import gzip
-import hashlib
+import re
 import struct
 import uuid
 import zlib
@@ -22,14 +22,13 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 from io import BufferedReader, BytesIO
 
-import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 from pyspark.sql.types import Row, StructType
 
-from .shared import fresh_path
+from .shared import fresh_path, hot_join, written
 
 #: Column and the header field it is read from.
 HEADERS = {
@@ -48,8 +47,25 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 _SKIP_BYTES = 1 << 16
 
 
+#: Values that a header line can't hold as they are go as encoded words (RFC 2047), as do those that look like one.
+_ENCODED = re.compile(r"=\?utf-8\?[bB]\?([A-Za-z0-9+/=]*)\?=")
+_CONTROL = re.compile(r"[\x00-\x1f\x7f-\x9f\u2028\u2029]")
+
+
+def header_text(value: str) -> str:
+    """A value on one line: control characters and white space at the ends would break the line or be lost."""
+    if _CONTROL.search(value) or value != value.strip() or _ENCODED.fullmatch(value):
+        return f"=?utf-8?B?{base64.b64encode(value.encode()).decode()}?="
+    return value
+
+
+def header_value(text: str) -> str:
+    found = _ENCODED.fullmatch(text)
+    return base64.b64decode(found[1]).decode("utf-8", "replace") if found else text
+
+
 def record_bytes(headers: dict[str, str], block: bytes) -> bytes:
-    fields = "".join(f"{k}: {v}\r\n" for k, v in headers.items())
+    fields = "".join(f"{k}: {header_text(v)}\r\n" for k, v in headers.items())
     return b"WARC/1.1\r\n" + fields.encode() + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
 
 
@@ -82,7 +98,7 @@ def read_header(stream: BufferedReader) -> dict[str, str] | None:
 
 
 def column_values(fields: dict[str, str]) -> dict[str, str | int | None]:
-    got = {c: fields.get(h.lower()) for c, h in HEADERS.items()}
+    got = {c: header_value(fields[h.lower()]) if h.lower() in fields else None for c, h in HEADERS.items()}
     return got | {c: int(got[c]) if got[c] is not None else None for c in LENGTHS}
 
 
@@ -278,40 +294,53 @@ def register(spark) -> None:
     spark.dataSource.register(WarcDataSource)
 
 
-def base32_sha1(payload: bytes) -> str:
-    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+_DIGITS = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+
 
+def base32_sha1(payload: Column) -> Column:
+    """Base32 of the SHA-1: every five of its hex digits make four digits of base 32."""
+    five = lambda at: F.lpad(F.conv(F.substring(F.sha1(payload), at, 5), 16, 32), 4, "0")
+    return F.translate(F.concat(*(five(at) for at in range(1, 41, 5))), *_DIGITS)
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw = [p or b"" for p in batch.column(0).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([base32_sha1(p) for p in raw], pa.string()), pa.array(map(len, raw), pa.int64()), *batch.columns], names=["payload_digest", "payload_length", *batch.schema.names])
 
+def _payload(html_col: str) -> Column:
+    return F.coalesce(F.col(html_col).cast("binary"), F.lit(b""))
 
-def record_id(page_id):
+
+_NO_ID = "<urn:page>"
+
+
+def record_id(page_id: Column) -> Column:
     """URN of the record of a page; null ids share one."""
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">"))
+    return F.when(page_id.isNull(), F.lit(_NO_ID)).otherwise(F.concat(F.lit("<urn:page:"), page_id.cast("string"), F.lit(">")))
 
 
 def write_pages(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 0, date: datetime | None = None) -> None:
     """Archive pages: of equal payloads of at least min_revisit_bytes the one with the largest id is a response record and
     the others revisit it; smaller payloads are all responses.
 
-    Null html is an empty payload, a null url leaves out WARC-Target-URI. Rows that repeat the largest id are all
-    responses. Of equal payloads without any id all are responses. Only the three named columns are read.
+    Null html is an empty payload, a null url leaves out WARC-Target-URI; urls and ids may hold any characters. Rows that
+    repeat the largest id are all responses. Of equal payloads without any id all are responses. Ids are compared in
+    their own type. An empty table writes no records. Only the three named columns are read.
+
+    What decides is settled on digests and ids alone. Payloads then travel once, to the tasks that write; those of a very
+    common page stay where they are, but for the one that is written.
     """
-    register(pages.sparkSession)
+    spark = pages.sparkSession
+    register(spark)
     when = (date or datetime.now(timezone.utc)).strftime("%Y-%m-%dT%H:%M:%SZ")
-    read = pages.select(F.col(html_col).alias("html"), F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"))
-    hashed = read.mapInArrow(_digests, "payload_digest string, payload_length long, html string, id long, url string")
-    slim = pages.select(F.col(html_col).alias("html"), F.col(id_col).cast("long").alias("id")).mapInArrow(_digests, "payload_digest string, payload_length long, html string, id long")
-    keepers = slim.groupBy("payload_digest", "payload_length").agg(F.max("id").alias("keeper")).filter(F.col("payload_length") >= min_revisit_bytes)
-    joined = hashed.join(keepers, ["payload_digest", "payload_length"], "left")
-    revisit = F.col("id").isNull() & F.col("keeper").isNotNull() | (F.col("id") < F.col("keeper"))
+    html = _payload(html_col)
+    marks = pages.select(base32_sha1(html).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_length"), F.col(id_col).alias("id"))
+    found = marks.filter(F.col("payload_length") >= min_revisit_bytes).groupBy("payload_digest", "payload_length").agg(F.max("id").alias("keeper"), F.count("*").alias("copies"))
+    keepers, _ = written(found, "warc-keepers")
+    read = pages.select(base32_sha1(html).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_length"), F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("payload"))
+    revisits = lambda keeper: F.coalesce((F.col("id").isNull() & keeper.isNotNull()) | (F.col("id") < keeper), F.lit(False))
+    joined = hot_join(read, keepers, ["payload_digest", "payload_length"], "copies", trim={"payload": lambda of: F.when(~revisits(of["keeper"]), F.col("payload"))})
+    revisit = revisits(F.col("keeper"))
     records = joined.select(
         F.when(revisit, "revisit").otherwise("response").alias("record_type"), record_id(F.col("id")).alias("record_id"), F.col("url").alias("target_uri"),
         F.lit(when).alias("record_date"), "payload_digest", F.when(revisit, record_id(F.col("keeper"))).alias("refers_to_id"), "payload_length",
-        F.lit(0).cast("long").alias("content_length"), F.when(~F.coalesce(revisit, F.lit(False)), F.col("html").cast("binary")).alias("payload"),
+        F.lit(0).cast("long").alias("content_length"), F.when(~revisit, F.col("payload")).alias("payload"),
     )
     records.write.format("warc").mode("append").save(path)
 
@@ -321,19 +350,21 @@ def read_warc(spark, path: str, *, payloads: bool = True) -> DataFrame:
     return spark.read.format("warc").option("payloads", str(payloads).lower()).load(path)
 
 
-def page_records(pages: DataFrame, path: str | None = None, **kw) -> DataFrame:
+def page_records(pages: DataFrame, path: str | None = None, *, id_col: str = "page_id", **kw) -> DataFrame:
     """Write pages as an archive and read it back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Responses are read with their payloads, and size and digest are taken from these; revisits have neither payload nor
-    need for one: their header has both, and nothing but headers is parsed.
+    need for one: their header has both, and nothing but headers is parsed. Ids have the type of id_col. For nulls, ties
+    and repeated rows see write_pages; an empty table gives an empty one.
     """
     spark = pages.sparkSession
     path = path or fresh_path(spark, "warc")
-    write_pages(pages, path, **kw)
-    number = lambda c: F.expr(f"try_cast(substring({c}, 11, length({c}) - 11) AS BIGINT)")
-    responses = read_warc(spark, path).filter("record_type = 'response'").select(F.coalesce("payload", F.lit(b"")).alias("payload"), "record_id")
-    full = responses.mapInArrow(_digests, "payload_digest string, payload_length long, payload binary, record_id string")
-    full = full.select(number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    write_pages(pages, path, id_col=id_col, **kw)
+    kind = pages.schema[id_col].dataType.simpleString()
+    own = lambda c: F.when(F.col(c) != _NO_ID, F.expr(f"try_cast(substring({c}, 11, length({c}) - 11) AS {kind})"))
+    responses = read_warc(spark, path).filter("record_type = 'response'")
+    payload = F.coalesce("payload", F.lit(b""))
+    full = responses.select(own("record_id").alias("page_id"), F.octet_length(payload).cast("long").alias("payload_bytes"), base32_sha1(payload).alias("payload_digest"), "record_type", F.lit(None).cast(kind).alias("refers_to"))
     revisits = read_warc(spark, path, payloads=False).filter("record_type = 'revisit'")
-    seen = revisits.select(number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), F.expr("substring(payload_digest, 6)").alias("payload_digest"), "record_type", number("refers_to_id").alias("refers_to"))
+    seen = revisits.select(own("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), F.expr("substring(payload_digest, 6)").alias("payload_digest"), "record_type", own("refers_to_id").alias("refers_to"))
     return full.unionByName(seen)
