@@ -8,15 +8,16 @@ serialised one by one as canonical JSON, so a conversation of any length is neve
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import materialise
+from .shared import HOT_SHARE, hot_join, materialise
 
 #: Turns of a conversation that are numbered by one window.
-TURNS_PER_BUCKET = 1024
+TURNS_PER_PART = 1024
 #: JSON types and the names of them that schema_of_variant gives.
 JSON_TYPES = {"string": "STRING", "integer": "(?:BIGINT)", "number": "(?:BIGINT|DOUBLE|FLOAT|DECIMAL.*)", "boolean": "BOOLEAN", "array": "ARRAY<.*", "object": "OBJECT<.*"}
 
@@ -78,32 +79,69 @@ def arguments_valid(name: Column, arguments: Column, tools: tuple[Tool, ...]) ->
     return verdict
 
 
-def _levels(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """(conv_id, call_id, at, level) of the first call of each identifier, resolved in topological rounds.
+def _key(call_id: str) -> Column:
+    """Conversation and identifier as one key; null without an identifier."""
+    whole = F.struct(F.col("conv_id").isNull().alias("none"), F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"), F.col(call_id).alias("call"))
+    return F.when(F.col(call_id).isNotNull(), whole)
+
+
+def _levels(nodes: DataFrame) -> DataFrame:
+    """(key, at, level) of calls, from (key, turn, arguments, answer, answers, calls), resolved in topological rounds.
 
     at is the latest turn of a call and all it waits for; level counts the calls and results it waits for in a chain.
-    A call that waits for itself, directly or not, has neither. References to results that do not exist are not waited for.
+    A call that waits for itself, directly or not, has neither. References to results that do not exist are not waited
+    for; a result without a call is there from the start. A round reads what is open and what the round before settled,
+    and writes only that; rounds number as the longest chain of references.
     """
     refs = F.array_distinct(F.regexp_extract_all(F.coalesce("arguments", F.lit("")), F.lit(r'"\$ref"\s*:\s*"([^"]+)"'), F.lit(1)))
-    first = calls.filter("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "pos", "arguments")).alias("c"))
-    nodes = first.select("conv_id", "call_id", F.col("c.turn").alias("turn"), F.col("c.arguments").alias("arguments")).select("conv_id", "call_id", "turn", refs.alias("refs"))
-    free = nodes.filter("size(refs) = 0").select("conv_id", "call_id", F.col("turn").alias("at"), F.lit(0).alias("level"))
-    waiting = materialise(nodes.filter("size(refs) > 0").select("conv_id", "call_id", "turn", F.explode("refs").alias("ref")), "tool-refs")
-    if waiting.isEmpty():
+    called = nodes.filter("calls > 0").select("key", "turn", refs.alias("refs"))
+    free = called.filter("size(refs) = 0").select("key", F.col("turn").alias("at"), F.lit(0).alias("level"))
+    edges = called.filter("size(refs) > 0").select("key", "turn", F.explode("refs").alias("ref")).withColumn("ref", F.struct("key.none", "key.conv", F.col("ref").alias("call")))
+    if edges.isEmpty():
         return free
-    answered = results.groupBy("conv_id", F.col("call_id").alias("ref")).agg(F.min("turn").alias("answer"))
-    waiting = materialise(waiting.join(answered, ["conv_id", "ref"], "left"), "tool-refs")
-    known = materialise(free, "tool-levels")
-    while True:
-        of = known.select("conv_id", F.col("call_id").alias("ref"), F.col("at").alias("ref_at"), F.col("level").alias("ref_level"))
-        met = waiting.join(of, ["conv_id", "ref"], "left").groupBy("conv_id", "call_id").agg(
-            F.max("turn").alias("turn"), F.max(F.greatest("ref_at", "answer")).alias("ref_at"), F.max("ref_level").alias("ref_level"), F.bool_and(F.col("ref_level").isNotNull() | F.col("answer").isNull()).alias("ready")
+    targets = nodes.filter("answers > 0").select(F.col("key").alias("ref"), "answer", (F.col("calls") > 0).alias("waits"))
+    met = edges.join(targets, "ref", "left")
+    state = met.groupBy("key").agg(
+        F.max(F.greatest("turn", "answer")).alias("at"), F.max(F.when(~F.col("waits"), F.lit(-1))).alias("before"), F.collect_list(F.when(F.col("waits"), F.struct("ref", "answer"))).alias("open")
+    )
+    state = materialise(state, "tool-rounds")
+    done = [materialise(free, "tool-levels")]
+    settled = lambda df: df.filter("size(open) = 0").select("key", "at", F.coalesce(F.col("before") + 2, F.lit(0)).alias("level"))
+    done.append(settled(state))
+    fresh = done[0].unionByName(done[1])
+    while not fresh.isEmpty():
+        of = fresh.select(F.col("key").alias("ref"), F.col("at").alias("got_at"), F.col("level").alias("got_level"))
+        rows = state.filter("size(open) > 0").select("key", "at", "before", F.explode("open").alias("o")).withColumn("ref", F.col("o.ref")).join(of, "ref", "left")
+        got = F.col("got_level").isNotNull()
+        after = rows.groupBy("key").agg(
+            F.max(F.greatest("at", F.when(got, F.greatest("got_at", "o.answer")))).alias("at"), F.max(F.greatest("before", "got_level")).alias("before"), F.collect_list(F.when(~got, F.col("o"))).alias("open")
         )
-        fresh = met.filter("ready").join(known, ["conv_id", "call_id"], "left_anti")
-        fresh = materialise(fresh.select("conv_id", "call_id", F.greatest("turn", "ref_at").alias("at"), F.coalesce(F.col("ref_level") + 2, F.lit(0)).cast("int").alias("level")), "tool-levels")
-        if fresh.isEmpty():
-            return known
-        known = materialise(known.unionByName(fresh), "tool-levels")
+        state = materialise(after, "tool-rounds")
+        fresh = settled(state)
+        done.append(fresh)
+    return reduce(DataFrame.unionByName, done)
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Written rows with position, from 1 within the conversation, in order of at, level, turn, pos, kind and a digest.
+
+    A conversation is numbered in parts of TURNS_PER_PART turns. Parts with more than a thousandth of all rows (there are
+    fewer than a thousand; rows without conversation may make one) are cut finer, down to 256th shares of one place.
+    """
+    part = F.when(F.col("in_cycle"), F.lit(1 << 40)).otherwise(F.coalesce(F.floor(F.col("at") / TURNS_PER_PART), F.lit(-1 << 40))).alias("part")
+    order = ("at", "level", "turn", "pos", "kind")
+    rows = rows.select("*", part, F.struct(F.col("conv_id").isNull().alias("none"), F.coalesce("conv_id", F.lit(0).cast(rows.schema["conv_id"].dataType)).alias("conv")).alias("of"), F.md5("canonical").alias("digest"))
+    sums = rows.groupBy("of", "part").agg(F.count("*").alias("n"))
+    total = sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(sums.filter(F.col("n") * HOT_SHARE > total).select("of", "part", F.lit(True).alias("hot")))
+    fine = F.when(F.col("hot"), F.struct(*order, F.substring("digest", 1, 2).alias("share")))
+    rows = rows.join(hot, ["of", "part"], "left").withColumn("fine", fine).drop("hot")
+    pieces = rows.groupBy("of", "part", "fine").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("of").orderBy("part", "fine").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = pieces.select(F.col("of").alias("k_of"), F.col("part").alias("k_part"), F.col("fine").alias("k_fine"), before.alias("before"))
+    numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy("of", "part", "fine").orderBy(*order, "digest", "canonical")))
+    placed = numbered.join(starts, (F.col("of") == F.col("k_of")) & (F.col("part") == F.col("k_part")) & F.col("fine").eqNullSafe(F.col("k_fine")))
+    return placed.withColumn("position", F.col("before") + F.col("n"))
 
 
 def link_tools(calls: DataFrame, results: DataFrame, others: DataFrame, tools: tuple[Tool, ...]) -> DataFrame:
@@ -119,37 +157,30 @@ def link_tools(calls: DataFrame, results: DataFrame, others: DataFrame, tools: t
     keep their turns, the latter after all that can be ordered. A null conversation is one like any other; null turns come
     first. Equal rows are all kept. Empty tables give empty ones; columns beyond those named are not read.
     """
-    calls = calls.select("conv_id", "turn", "pos", "call_id", "name", "arguments")
-    results = results.select("conv_id", "turn", "pos", "call_id", "content")
-    same = lambda a, b: a["conv_id"].eqNullSafe(b["k_conv"]) & (a["call_id"] == b["k_call"])
-    levels = _levels(calls, results).select(F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_call"), "at", "level")
-    firsts = calls.filter("call_id IS NOT NULL").groupBy(F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_call")).agg(F.min("turn").alias("linked_turn"))
-    answers = results.filter("call_id IS NOT NULL").groupBy(F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_call")).agg(F.min("turn").alias("linked_turn"))
-
-    c = calls.join(answers, same(calls, answers), "left").drop("k_conv", "k_call")
-    c = c.join(levels, same(c, levels), "left").drop("k_conv", "k_call")
-    cycle = F.col("call_id").isNotNull() & F.col("level").isNull()
+    calls = calls.select("conv_id", "turn", "pos", "call_id", "name", "arguments").withColumn("key", _key("call_id"))
+    results = results.select("conv_id", "turn", "pos", "call_id", "content").withColumn("key", _key("call_id"))
+    of_calls = calls.select("key", F.struct("turn", "pos", "arguments").alias("call"), F.lit(None).cast("bigint").alias("answer"), F.lit(0).alias("answers"), F.lit(1).alias("calls"))
+    of_results = results.select("key", F.lit(None).cast(of_calls.schema["call"].dataType).alias("call"), F.col("turn").cast("bigint").alias("answer"), F.lit(1).alias("answers"), F.lit(0).alias("calls"))
+    nodes = of_calls.unionByName(of_results).filter("key IS NOT NULL").groupBy("key").agg(F.min("call").alias("call"), F.min("answer").alias("answer"), F.sum("answers").alias("answers"), F.sum("calls").alias("calls"))
+    nodes = materialise(nodes.select("key", "call.turn", "call.arguments", "answer", "answers", "calls"), "tool-nodes")
+    known = nodes.drop("arguments").join(_levels(nodes), "key", "left")
+    known = materialise(known.select("key", F.col("turn").alias("first_turn"), "answer", "calls", "at", "level", (F.col("answers") + F.col("calls")).alias("uses")), "tool-links")
+
+    linked = lambda df: hot_join(df, known, ["key"], "uses")
     arguments = F.coalesce(F.to_json(F.try_parse_json("arguments")), json_text(F.col("arguments")))
     canonical = F.concat(F.lit('{"arguments":'), arguments, F.lit(',"id":'), json_text(F.col("call_id")), F.lit(',"name":'), json_text(F.col("name")), F.lit(',"type":"call"}'))
-    c = c.select("conv_id", "turn", "pos", F.lit("call").alias("kind"), "call_id", "linked_turn", arguments_valid(F.col("name"), F.col("arguments"), tools).alias("args_valid"), cycle.alias("in_cycle"), F.greatest("turn", "at").alias("at"), F.coalesce("level", F.lit(0)).alias("level"), canonical.alias("canonical"))
+    cycle = F.col("key").isNotNull() & F.col("level").isNull()
+    c = linked(calls).select("conv_id", "turn", "pos", F.lit("call").alias("kind"), "call_id", F.col("answer").alias("linked_turn"), arguments_valid(F.col("name"), F.col("arguments"), tools).alias("args_valid"), cycle.alias("in_cycle"), F.greatest("turn", "at").alias("at"), F.coalesce("level", F.lit(0)).alias("level"), canonical.alias("canonical"))
 
-    r = results.join(firsts, same(results, firsts), "left").drop("k_conv", "k_call")
-    r = r.join(levels, same(r, levels), "left").drop("k_conv", "k_call")
     canonical = F.concat(F.lit('{"content":'), json_text(F.col("content")), F.lit(',"id":'), json_text(F.col("call_id")), F.lit(',"type":"result"}'))
-    cycle = F.col("linked_turn").isNotNull() & F.col("level").isNull()
-    r = r.select("conv_id", "turn", "pos", F.lit("result").alias("kind"), "call_id", "linked_turn", F.lit(None).cast("boolean").alias("args_valid"), cycle.alias("in_cycle"), F.greatest("turn", "at").alias("at"), F.coalesce(F.col("level") + 1, F.lit(0)).alias("level"), canonical.alias("canonical"))
+    called = F.coalesce(F.col("calls") > 0, F.lit(False))
+    r = linked(results).select("conv_id", "turn", "pos", F.lit("result").alias("kind"), "call_id", F.when(called, F.col("first_turn")).alias("linked_turn"), F.lit(None).cast("boolean").alias("args_valid"), (called & F.col("level").isNull()).alias("in_cycle"), F.greatest("turn", "at").alias("at"), F.coalesce(F.col("level") + 1, F.lit(0)).alias("level"), canonical.alias("canonical"))
 
     canonical = F.concat(F.lit('{"role":'), json_text(F.col("role")), F.lit(',"text":'), json_text(F.col("text")), F.lit(',"type":"message"}'))
     none = F.lit(None)
     m = others.select("conv_id", "turn", F.lit(0).alias("pos"), F.lit("message").alias("kind"), none.cast("string").alias("call_id"), none.cast("bigint").alias("linked_turn"), none.cast("boolean").alias("args_valid"), F.lit(False).alias("in_cycle"), F.col("turn").alias("at"), F.lit(0).alias("level"), canonical.alias("canonical"))
-
-    rows = c.unionByName(r).unionByName(m).withColumn("bucket", F.when(F.col("in_cycle"), F.lit(1 << 40)).otherwise(F.coalesce(F.floor(F.col("at") / TURNS_PER_BUCKET), F.lit(-1 << 40))))
-    sums = rows.groupBy("conv_id", "bucket").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.select(F.col("conv_id").alias("k_conv"), F.col("bucket").alias("k_bucket"), before.alias("before"))
-    order = Window.partitionBy("conv_id", "bucket").orderBy("at", "level", "turn", "pos", "kind", "canonical")
-    placed = rows.withColumn("n", F.row_number().over(order)).join(starts, F.col("conv_id").eqNullSafe(F.col("k_conv")) & (F.col("bucket") == F.col("k_bucket")))
-    return placed.select("conv_id", "turn", "kind", "call_id", "linked_turn", "args_valid", "in_cycle", (F.col("before") + F.col("n")).alias("position"), "canonical")
+    placed = _placed(materialise(c.unionByName(r).unionByName(m), "tool-messages"))
+    return placed.select("conv_id", "turn", "kind", "call_id", "linked_turn", "args_valid", "in_cycle", "position", "canonical")
 
 
 #: The table of conversations has no tools: a user's message is taken as a call of this one, the answer as its result.

@@ -132,9 +132,9 @@ rows AS (
   FROM results LEFT JOIN firsts USING (conv_id, call_id)
   UNION ALL
   SELECT conv_id, turn, 'message', NULL, NULL, NULL, turn, 0, concat('{"role":', CAST(to_json(role) AS VARCHAR), ',"text":', CAST(to_json(text) AS VARCHAR), ',"type":"message"}')
-  FROM conversations WHERE role NOT IN ('user', 'assistant', 'tool'))
+  FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant', 'tool'))
 SELECT conv_id, turn, kind, call_id, linked_turn, args_valid, FALSE AS in_cycle,
-       row_number() OVER (PARTITION BY conv_id ORDER BY since, level, turn, kind, canonical) AS position, canonical
+       row_number() OVER (PARTITION BY conv_id ORDER BY since, level, turn, kind, md5(canonical), canonical) AS position, canonical
 FROM rows
 """
 

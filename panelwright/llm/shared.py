@@ -78,8 +78,9 @@ def hot_join(left: DataFrame, right: DataFrame, keys: Sequence[str], size: str,
 
     A key with more than a thousandth of all rows would send these to one task. There are fewer than a thousand such keys:
     their rows of right are broadcast, and left's rows with them are dealt by row instead. trim: for columns of left what
-    they become with a hot key, given right's values, before they are dealt. Keys are not null. right is read three times:
-    pass a written frame. left comes from files, so that a task that is run again deals alike. size is not returned.
+    they become with a hot key, given right's values, before they are dealt. Null keys join nothing and are dealt by row
+    too. right is read three times: pass a written frame. left comes from files, so that a task that is run again deals
+    alike. size is not returned.
     """
     total = right.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     values = [c for c in right.columns if c not in (*keys, size)]
@@ -87,9 +88,9 @@ def hot_join(left: DataFrame, right: DataFrame, keys: Sequence[str], size: str,
     few = right.filter(hot).select(*(F.col(k).alias(f"hot_{k}") for k in keys), F.struct(F.lit(True).alias("hot_there"), *values).alias("hot_values"))
     many = right.filter(~hot).select(*(F.col(k).alias(f"cold_{k}") for k in keys), F.lit(0).alias("cold_deal"), F.struct(F.lit(True).alias("hot_there"), *values).alias("cold_values"))
     met = left.join(F.broadcast(few), reduce(and_, (F.col(k) == F.col(f"hot_{k}") for k in keys)), "left")
-    cold = F.col("hot_values").isNull()
+    cold = reduce(and_, (F.col(k).isNotNull() for k in keys)) & F.col("hot_values").isNull()
     for name, less in (trim or {}).items():
-        met = met.withColumn(name, F.when(cold, F.col(name)).otherwise(less(F.col("hot_values"))))
+        met = met.withColumn(name, F.when(F.col("hot_values").isNull(), F.col(name)).otherwise(less(F.col("hot_values"))))
     # Rows with a hot key look for a partner that does not exist, each in a place of its own.
     met = met.withColumn("deal", F.when(cold, F.lit(0)).otherwise((F.monotonically_increasing_id() % _SPREAD).cast("int") + 1))
     met = met.join(many, reduce(and_, (F.col(k) == F.col(f"cold_{k}") for k in keys)) & (F.col("deal") == F.col("cold_deal")), "left")
