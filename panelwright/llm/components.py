@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import remove, written
 
 EDGE = "u long, v long"
 
@@ -47,7 +47,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each batch of edges is first contracted to a forest. The rounds then number about the logarithm of the longest path;
     each is written to the shared folder, so a lost executor costs one round at most. No edges give no rows.
     """
-    edges = materialise(edges.mapInArrow(_contract, EDGE).distinct(), "cc-edges")
+    spark = edges.sparkSession
+    edges, path = written(edges.mapInArrow(_contract, EDGE).distinct(), "cc-edges")
     before = _state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -55,7 +56,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
-        edges = materialise(small.distinct(), "cc-edges")
+        last = path
+        edges, path = written(small.distinct(), "cc-edges")
+        remove(spark, last)
         now = _state(edges)
         if now == before:
             break

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as X
+from .shared import apart, remove, written
 
 WINDOW = 13
 SAMPLED_EVERY = 16
@@ -261,12 +262,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
     words are never found, those without id have the empty id. Repeated rows are each searched. Empty tables give empty
     ones; an empty benchmark hits nothing. Columns of docs with the names of the added ones are replaced. One narrow pass
     for each block of the benchmark: a block's phrases are sent to the workers, and no block exceeds benchmark_bytes by
-    more than an item.
+    more than an item. Between blocks rows are written with what was found so far, so that a worker holds one block.
     """
     spark = docs.sparkSession
     out = docs.select([c for c in docs.columns if c not in _HIT_NAMES])
     schema = T.StructType([*out.schema.fields, *HIT_FIELDS])
+    path = sent = None
     for block in benchmark_blocks(benchmark, id_col=item_col, text_col=item_text_col, limit=benchmark_bytes):
+        if sent is not None:  # what the block before found is written, and that block given up
+            last = path
+            out, path = written(out, "contamination")
+            sent.destroy()
+            if last:
+                remove(spark, last)
         found = Phrases.of(block, window)
         sent = spark.sparkContext.broadcast(tuple(vars(found).values()))
         out = out.mapInArrow(_searched(text_col, lambda sent=sent: Phrases(*sent.value)), schema)
@@ -279,6 +287,11 @@ def contaminated(n_hit, n_words):
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **kw) -> DataFrame:
-    """The rows of docs that are not contaminated, with the columns of docs."""
-    found = find_contamination(docs, benchmark, text_col=text_col, **kw)
-    return found.filter(~contaminated(F.col("n_hit"), F.col("n_words"))).select(docs.columns)
+    """The rows of docs that are not contaminated, with all their own columns, whatever their names.
+
+    Null and empty texts are clean; repeated rows stay or go alike; an empty table gives an empty one, and an empty
+    benchmark takes nothing.
+    """
+    own, name, back = apart(docs)
+    found = find_contamination(own, benchmark, text_col=name(text_col), **kw)
+    return back(found.filter(~contaminated(F.col("n_hit"), F.col("n_words"))))

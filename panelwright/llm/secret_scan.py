@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from ..operators.trees import RandomForest
 from . import textops as X
+from .shared import apart
 
 KEY_CHARS = X.byte_table((string.ascii_letters + string.digits + "+/_=-.~").encode())
 MIN_RUN, MIN_ASSIGNED = 16, 8
@@ -35,7 +36,8 @@ DICTIONARY = tuple(
 _WORDS = re.compile(rb"[A-Za-z_][A-Za-z_0-9-]*")
 _ASSIGNED = re.compile(rb"[ \t]*[:=][ \t]*[\"']?([^\s\"'<>;,()]{%d,})" % MIN_ASSIGNED)
 _NAME_BEFORE = re.compile(rb"(?i)(?:%s)[\"']?$" % b"|".join(re.escape(n.encode()) for n in SECRET_NAMES))
-_PRIVATE_KEY = re.compile(rb"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[^-]|-(?!----END))*(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----)?")
+#: A block up to its end line, or as far as its lines look like a key's: headers, then base64.
+_PRIVATE_KEY = re.compile(rb"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:[ \t\r]*\n[ \t]*(?:(?:Proc-Type|DEK-Info): [^\n]*|[A-Za-z0-9+/=]*)(?=[ \t\r]*(?:\n|$)))*(?:[ \t\r]*\n?[ \t]*[A-Za-z0-9+/= \\n]*-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----)?")
 _DICT = {w.encode() for w in DICTIONARY}
 _LONGEST = max(map(len, DICTIONARY))
 
@@ -181,9 +183,19 @@ class SecretModel:
 
 
 def train(findings: list[tuple[bytes, bytes, bytes, int]] | None = None, *, trees: int = 40, max_findings: int = 20_000, seed: int = 7) -> SecretModel:
-    """Fit on labelled findings, at most max_findings of them (evenly spaced); without any, on labelled_findings()."""
-    rows = labelled_findings() if findings is None else findings
-    rows = rows[:: -(-len(rows) // max_findings)] if len(rows) > max_findings else rows
+    """Fit on labelled findings; without any, on labelled_findings().
+
+    Of more than max_findings a random sample is taken, of each label half of max_findings at most, or what the other
+    label leaves free. Findings of one label only are refused: a model of them would say the same of everything.
+    """
+    rows = labelled_findings() if findings is None else list(findings)
+    sides = [[r for r in rows if bool(r[3]) == side] for side in (False, True)]
+    if not all(sides):
+        raise ValueError("findings of both labels are needed")
+    half = max_findings // 2
+    room = [max(half, max_findings - len(sides[1 - k])) for k in (0, 1)]
+    draw = random.Random(seed)
+    rows = [r for side, most in zip(sides, room, strict=True) for r in (side if len(side) <= most else draw.sample(side, most))]
     x, y = np.array([features(*r[:3]) for r in rows]), np.array([r[3] for r in rows], float)
     return SecretModel(RandomForest(n_estimators=trees, max_depth=10, min_samples_leaf=2, max_features="sqrt", random_state=seed).fit(x, y))
 
@@ -234,40 +246,53 @@ def scan_secrets(docs: DataFrame, model: SecretModel | None = None, *, text_col:
 MASK = b"[SECRET]"
 
 
-def _masked(text_col: str, length_col: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _masked(text: str, length: str | None, model: SecretModel) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
-            at, found = names.index(text_col), batch.column(names.index("secrets"))
-            columns = {n: batch.column(i) for i, n in enumerate(names) if n not in {f.name for f in FINDING_FIELDS}}
-            hit = [i for i, n in enumerate(found.value_lengths().fill_null(0).to_pylist()) if n]
-            if hit:
-                texts = batch.column(at).to_pylist()
-                sizes = columns[length_col].to_pylist() if length_col else None
+            at = batch.schema.get_field_index(text)
+            for part in X.slices(batch.column(at)):
+                _, secrets = judged(part, model)
+                rows = batch.slice(part.first, len(part))
+                hit = [i for i, found in enumerate(secrets) if found]
+                if not hit:
+                    yield rows
+                    continue
+                columns = {n: rows.column(i) for i, n in enumerate(rows.schema.names)}
+                texts = columns[text].to_pylist()
+                sizes = columns[length].to_pylist() if length else None
                 for i in hit:
                     raw, out, reach = texts[i].encode(), [], 0
-                    for s in found[i].as_py():
+                    for s in secrets[i]:
                         out += [raw[reach : s["start"]], MASK]
                         reach = s["end"]
                     texts[i] = b"".join([*out, raw[reach:]]).decode("utf-8", "replace")
                     if sizes and sizes[i] is not None:
                         sizes[i] = len(texts[i])
-                columns[text_col] = pa.array(texts, batch.column(at).type)
+                columns[text] = pa.array(texts, columns[text].type)
                 if sizes:
-                    columns[length_col] = pa.array(sizes, columns[length_col].type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+                    columns[length] = pa.array(sizes, columns[length].type)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
 
 def mask_secrets(docs: DataFrame, model: SecretModel | None = None, *, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """docs with each secret replaced by MASK, and the length column, where there is one, set anew for such texts."""
-    length = length_col if length_col in docs.columns else None
-    return scan_secrets(docs, model, text_col=text_col).mapInArrow(_masked(text_col, length), docs.schema)
+    """docs with each secret replaced by MASK, and the length column, where it is an integer column, set anew for such texts.
+
+    All rows and all other columns stay as they are, whatever their names. Null and empty texts stay; repeated rows are
+    masked alike; an empty table gives an empty one. One narrow pass.
+    """
+    own, name, back = apart(docs)
+    whole = length_col in docs.columns and isinstance(docs.schema[length_col].dataType, T.IntegralType)
+    return back(own.mapInArrow(_masked(name(text_col), name(length_col) if whole else None, model or train()), own.schema))
 
 
 def secret_counts(docs: DataFrame, model: SecretModel | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_candidates, n_secrets and the secrets' spans as text (start-end, comma-joined) for every row."""
-    found = scan_secrets(docs.select(id_col, text_col), model, text_col=text_col)
+    """id, n_candidates, n_secrets and the secrets' spans as text (start-end, comma-joined) for every row.
+
+    Null and empty texts have none, repeated rows each get a row, an empty table gives an empty one, only the two named
+    columns are read.
+    """
+    found = scan_secrets(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model)
     spans = F.array_join(F.transform("secrets", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
-    return found.select(id_col, "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), spans.alias("secret_spans"))
+    return found.select(F.col("id").alias(id_col), "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), spans.alias("secret_spans"))

@@ -21,10 +21,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .components import components, forest
-from .shared import materialise
+from .shared import apart, hot_join, materialise
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 3, 3, 42
 #: Shifts of the two bytes that are joined to the first segment, in a fingerprint turned so that its chain starts at bit 0.
@@ -62,8 +61,8 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The second column, text, becomes its fingerprint; other columns stay."""
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary()).to_pylist()
-        found = np.array([fingerprint(t or b"") for t in texts], dtype=np.uint64).view(np.int64)
+        texts = (t.as_buffer() for t in batch.column(1).cast(pa.binary()))  # copied one at a time
+        found = np.array([fingerprint(t.to_pybytes() if t else b"") for t in texts], dtype=np.uint64).view(np.int64)
         names = batch.schema.names
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), *batch.columns[2:]], names=[names[0], "fp", *names[2:]])
 
@@ -206,29 +205,35 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     id takes part and counts for no component_id; a component without any id has none. An empty table gives an empty one.
     Only the two named columns are read. Equal fingerprints are collapsed before anything is compared.
     """
-    prints = materialise(docs.select(id_col, text_col).mapInArrow(_fingerprints, T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])), "simhash-fp")
-    nodes = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("first_id")), "simhash-nodes")
-    rooted = _rooted(nodes, paired_bucket)
-    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(id_col, hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+    read = docs.select(F.col(id_col).alias("id"), text_col)
+    prints = materialise(read.mapInArrow(_fingerprints, T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])), "simhash-fp")
+    nodes = materialise(prints.groupBy("fp").agg(F.min("id").alias("first_id"), F.count("*").alias("n")), "simhash-nodes")
+    rooted = materialise(_rooted(nodes, paired_bucket), "simhash-rooted")
+    named = materialise(rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n_prints")), "simhash-roots")
+    classes = materialise(hot_join(rooted, named, ["root"], "n_prints").select("fp", "component_id", "n"), "simhash-classes")
+    return hot_join(prints, classes, ["fp"], "n").select(F.col("id").alias(id_col), hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def one_per_component(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", paired_bucket: int = PAIRED_BUCKET) -> DataFrame:
     """docs with one row left of each component: that with the smallest id, nulls last. Columns unchanged.
 
-    Rows are told apart by digests of id and text and of all columns, not by id: an id that occurs with several texts
-    counts in the component of each. Of several rows with the smallest id the one with the smallest digest stays, of
-    equal rows any. Rows without id take part like any other; a component without any id keeps one of them.
+    Rows are told apart by two digests of all columns, not by id: an id that occurs with several texts counts in the
+    component of each. Of several rows with the smallest id the one with the smallest digests stays, of equal rows any.
+    Rows without id take part like any other; a component without any id keeps one of them. Null and empty texts are one
+    component. An empty table gives an empty one.
     """
-    text = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\n"), F.coalesce(F.col(text_col), F.lit("")))
-    row, digest = F.xxhash64(*docs.columns).alias("row"), F.md5(text).alias("digest")
-    fields = [T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType()), T.StructField("row", T.LongType()), T.StructField("digest", T.StringType())]
-    prints = docs.select(F.col(id_col).alias("id"), text_col, row, digest).mapInArrow(_fingerprints, T.StructType(fields))
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "digest"))
-    nodes = materialise(prints.groupBy("fp").agg(first.alias("first")), "simhash-nodes")
-    chosen = _rooted(nodes, paired_bucket).groupBy("root").agg(F.min("first").alias("first")).select("first.row", "first.digest")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # texts are sorted in so many tasks, not fewer larger ones
-    whole = docs.select(F.struct("*").alias("doc"), row, digest).repartition(parts, "row", "digest").join(chosen, ["row", "digest"], "left_semi")
-    pick = Window.partitionBy("row", "digest").orderBy("row")
-    return whole.withColumn("place", F.row_number().over(pick)).filter("place = 1").select("doc.*")
+    own, name, back = apart(docs)
+    ident, text = name(id_col), name(text_col)
+    keyed = own.select("*", F.xxhash64(*own.columns).alias("row"), F.xxhash64(F.lit(1), *own.columns).alias("digest"))
+    fields = [T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType()), T.StructField("row", T.LongType()), T.StructField("digest", T.LongType())]
+    prints = keyed.select(F.col(ident).alias("id"), text, "row", "digest").mapInArrow(_fingerprints, T.StructType(fields))
+    rows = prints.groupBy("fp", "id", "row", "digest").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "digest", "n"))
+    nodes = materialise(rows.groupBy("fp").agg(first.alias("first")), "simhash-nodes")
+    chosen = materialise(_rooted(nodes, paired_bucket).groupBy("root").agg(F.min("first").alias("first")).select("first.row", "first.digest", "first.n"), "simhash-chosen")
+    single = keyed.join(chosen.filter("n = 1"), ["row", "digest"], "left_semi")
+    repeated = chosen.filter("n > 1").withColumn("chosen", F.lit(True))
+    if repeated.isEmpty():
+        return back(single)
+    several = hot_join(keyed, materialise(repeated, "simhash-repeated"), ["row", "digest"], "n").filter("chosen").drop("chosen")
+    return back(single.unionByName(several.dropDuplicates(["row", "digest"])))
