@@ -14,27 +14,30 @@ from panelwright.llm.shared import materialise
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return compression_rules.quality_rules(docs).filter("kept").select(docs.columns)
+    """Documents that the quality rules keep; null and short texts go. Rows keep their own columns, as in all stages."""
+    return compression_rules.kept_rows(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
+    """The document with the smallest id of each group of near-duplicates; of equal rows one, of rows without id the last."""
     return simhash_dedup.one_per_component(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth is benchmark text."""
+    """Documents of which less than a twentieth is benchmark text; null and empty texts stay."""
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets masked."""
+    """All documents, secrets masked; null and empty texts stay."""
     return secret_scan.mask_secrets(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of each document, and its training positions; in the order of the first of them."""
+    """Words that the mix takes of each document, and its training positions, in the order of the first of them.
+
+    A row for each row of docs, repeated ones too; null texts take nothing, null sources are one. No documents, no rows.
+    """
     return mixing.in_order(mixing.mixed(docs))
 
 
