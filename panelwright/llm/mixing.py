@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import materialise
+from .shared import hot_join, materialise, running_sums
 
 
 @dataclass(frozen=True)
@@ -22,14 +22,14 @@ class Mix:
     """weights: by rank of the source, repeating. share: target of the whole mix by all sizes. most: epochs at most.
 
     schedules: for each rank (repeating), weights at the equally spaced times of training; only their shape counts.
-    rows_per_bucket: about so many documents are summed by one window.
+    rows_per_bucket: about so many documents are summed by one window, or fewer.
     """
 
     weights: tuple[int, ...] = (5, 2, 1)
     share: tuple[int, int] = (3, 2)
     most: int = 2
     schedules: tuple[tuple[float, ...], ...] = ((1.0, 1.0, 1.0), (0.5, 1.0, 1.5), (1.5, 1.0, 0.5))
-    rows_per_bucket: int = 20_000
+    rows_per_bucket: int = 200_000
 
 
 def word_count(text: Column) -> Column:
@@ -37,25 +37,25 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sources: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """From (source, source_size, rows) those with weight, target and rank.
+    """From (source, source_size, rows) those with of (the source as a key that is not null), rank, weight and target.
 
     Targets are the fixed point of sharing by weight and resharing what lies above a cap. Sources that stop at the cap
     are the first in order of cap by weight, as long as the share of the others at that point reaches the next cap.
+    Sources may be many: ranks and sums are running sums over ranges; the driver gets the totals and the level.
     """
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
+    ranked = running_sums(sources.withColumn("of", key), [], ["of"], {"rank": F.lit(1)}, parts, "mix-ranks")
     weight = F.element_at(F.array(*map(F.lit, mix.weights)), (F.pmod("rank", F.lit(len(mix.weights))) + 1).cast("int")).cast("long")
-    by_fill = Window.orderBy(F.col("source_size") / F.col("weight"), "rank")
-    ranked = sources.withColumn("rank", rank).withColumn("weight", weight).withColumn("cap", F.lit(mix.most) * F.col("source_size"))
-    ranked = ranked.withColumn("total", F.sum("source_size").over(everything) * F.lit(mix.share[0]) / F.lit(mix.share[1]))
-    ranked = ranked.withColumn("caps_before", F.coalesce(F.sum("cap").over(by_fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = ranked.withColumn("weights_on", F.sum("weight").over(by_fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    level = (F.col("total") - F.col("caps_before")) / F.col("weights_on")
-    ranked = ranked.withColumn("level", F.when(level * F.col("weight") <= F.col("cap"), level))
-    ranked = ranked.withColumn("fill_rank", F.when(F.col("level").isNotNull(), F.row_number().over(by_fill)))
-    at = F.min_by("level", "fill_rank").over(everything)
-    target = F.when(at.isNull(), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), at * F.col("weight")))
-    return ranked.withColumn("target", target).select("source", "source_size", "rows", "rank", "weight", "target")
+    ranked = ranked.withColumn("weight", weight).withColumn("cap", F.lit(mix.most) * F.col("source_size"))
+    ranked = ranked.withColumn("fill", F.struct((F.col("source_size") / F.col("weight")).alias("at"), "rank"))
+    filled = materialise(running_sums(ranked, [], ["fill"], {"caps_before": F.col("cap"), "weights_before": F.col("weight")}, parts, "mix-fill"), "mix-levels")
+    sizes, weights = filled.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    level = (F.lit(sizes * mix.share[0] / mix.share[1]) - F.col("caps_before")) / (F.lit(weights) - F.col("weights_before"))
+    reached = filled.withColumn("level", level).filter(F.col("level") * F.col("weight") <= F.col("cap"))
+    at = reached.agg(F.min_by("level", "fill")).first()[0]
+    target = F.col("cap").cast("double") if at is None else F.least(F.col("cap").cast("double"), F.lit(at) * F.col("weight"))
+    return filled.withColumn("target", target).select("of", "source", "source_size", "rows", "rank", "weight", "target")
 
 
 def _inverse_demand(share: Column, rank: Column, schedules: tuple[tuple[float, ...], ...]) -> Column:
@@ -85,26 +85,24 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
 
     taken: words of the document that the mix takes, over all epochs; a source's sum is its target to the word, for which
     the document at the end of its quota is taken in part. positions: one in 0..1 for each epoch that takes it.
-    A null text has size 0; null sources are one source, the last; documents of size 0 take nothing. Repeated rows and
-    ties in order are told apart by a digest of their text, and equal rows get each their share in any order. An empty
-    table gives an empty one. Only the three named columns are read.
+    A source's documents follow one another by the MD5 of their id, then id and size; rows that are equal in these get
+    each their share in any order. A null text has size 0; null sources are one source, the last; documents of size 0
+    take nothing. Repeated rows each get a row. An empty table gives an empty one. Only the three named columns are read.
     """
-    read = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
-    order_key = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))
-    sized = materialise(read.withColumn("order_key", order_key), "mix-sizes")
-    sources = materialise(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), mix), "mix-sources")
-    plan = sources.select(F.col("source").alias("of"), "source_size", "rank", "target", F.greatest(F.lit(1), F.ceil(F.col("rows") / mix.rows_per_bucket)).alias("buckets"))
-    small = sources.count() <= 10_000  # rows of a few dozen bytes
-    joined = sized.join(F.broadcast(plan) if small else plan, F.col("source").eqNullSafe(F.col("of")))
-    # Buckets cut the order by digest into runs, so that a source of any size is summed by many tasks.
-    head = F.conv(F.substring("order_key", 1, 8), 16, 10).cast("long")
-    cut = joined.withColumn("bucket", F.floor(head * F.col("buckets") / F.lit(1 << 32)).cast("long"))
-    sums = cut.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    earlier = F.coalesce(F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.select(F.col("source").alias("of2"), F.col("bucket").alias("bucket2"), earlier.alias("bucket_start"))
-    inside = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("order_key", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-    placed = cut.withColumn("inside", inside).join(starts, F.col("source").eqNullSafe(F.col("of2")) & (F.col("bucket") == F.col("bucket2")))
-    start = F.col("bucket_start") + F.col("inside")
+    spark = docs.sparkSession
+    source = F.col(source_col).cast("string")
+    read = docs.select(F.col(id_col).alias("id"), source.alias("source"), word_count(F.col(text_col)).alias("size"))
+    key = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
+    text_id = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    place = F.struct(F.md5(text_id.cast("binary")).alias("digest"), text_id.alias("text"), "size", F.monotonically_increasing_id().alias("row"))
+    sized = materialise(read.select("*", key.alias("of"), place.alias("place")), "mix-sizes")
+    sums = materialise(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), "mix-sums")
+    plan = materialise(source_targets(sums, mix).drop("source", "weight"), "mix-sources")
+    rows = plan.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // mix.rows_per_bucket))
+    started = running_sums(sized, ["of"], ["place"], {"start": F.col("size")}, parts, "mix-order")
+    placed = hot_join(started, plan, ["of"], "rows")
+    start = F.col("start")
     quota = F.round("target").cast("long")
     by_epoch = [F.greatest(F.lit(0), F.least(F.col("size"), quota - (start + F.lit(e) * F.col("source_size")))) for e in range(mix.most)]
     taken = sum(by_epoch[1:], by_epoch[0])

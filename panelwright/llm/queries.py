@@ -57,8 +57,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document in training order; position: of its first epoch, position_again: of its second, if any."""
     ordered = mixing.in_order(mixing.mixed(table(spark, sf_dir, "documents")))
-    return ordered.select("doc_id", "size", "source_size", "target", "taken", "positions")
+    positions = [F.try_element_at("positions", F.lit(k)).alias(n) for k, n in ((1, "position"), (2, "position_again"))]
+    return ordered.select("doc_id", "size", "source_size", "target", "taken", *positions)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,6 +140,22 @@ SELECT conv_id, turn, kind, call_id, linked_turn, args_valid, FALSE AS in_cycle,
 FROM rows
 """
 
+def demand_time_sql(share: str, rank: str, schedules: tuple[tuple[float, ...], ...] = mixing.Mix().schedules) -> str:
+    """Time at which a source's schedule, by its rank from 0, has given this share of its target, in SQL."""
+    kinds = []
+    for k, weights in enumerate(schedules):
+        step = 1.0 / (len(weights) - 1)
+        done, pieces = 0.0, []
+        for i, (a, b) in enumerate(zip(weights, weights[1:], strict=False)):
+            slope, rest = (b - a) / step, f"({{need}} - {done!r}::DOUBLE)"
+            time = f"{rest} / {a!r}::DOUBLE" if slope == 0 else f"(sqrt(greatest({a * a!r}::DOUBLE + {2 * slope!r}::DOUBLE * {rest}, 0.0::DOUBLE)) - {a!r}::DOUBLE) / {slope!r}::DOUBLE"
+            done += (a + b) / 2 * step
+            pieces.append(f"WHEN {{need}} < {done!r}::DOUBLE THEN {i * step!r}::DOUBLE + {time}")
+        need = f"({share} * {done!r}::DOUBLE)"
+        kinds.append(f"WHEN {rank} % {len(schedules)} = {k} THEN CASE {' '.join(pieces).format(need=need)} ELSE 1.0::DOUBLE END")
+    return f"CASE {' '.join(kinds)} END"
+
+
 OP6_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -155,17 +173,20 @@ filled AS (
   FROM ranked WINDOW o AS (ORDER BY CAST(source_size AS DOUBLE) / CAST(weight AS DOUBLE), rank)),
 levels AS (SELECT arg_min(level, fill_rank) FILTER (WHERE level * weight <= cap) AS fill_level FROM filled),
 targets AS (
-  SELECT source, source_size, CASE WHEN fill_level IS NULL THEN CAST(cap AS DOUBLE) ELSE least(CAST(cap AS DOUBLE), fill_level * weight) END AS target
+  SELECT source, source_size, rank - 1 AS place, CASE WHEN fill_level IS NULL THEN CAST(cap AS DOUBLE) ELSE least(CAST(cap AS DOUBLE), fill_level * weight) END AS target
   FROM filled, levels),
 placed AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.place,
          CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY order_key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - d.size AS start
-  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       greatest(0, least(size, CAST(round(target) AS BIGINT) - start)) + greatest(0, least(size, CAST(round(target) AS BIGINT) - start - source_size)) AS taken
-FROM placed
-"""
-
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+given AS (
+  SELECT *, greatest(0, least(size, CAST(round(target) AS BIGINT) - start)) AS once, greatest(0, least(size, CAST(round(target) AS BIGINT) - start - source_size)) AS again FROM placed),
+timed AS (
+  SELECT *, CASE WHEN once > 0 THEN @once END AS first_time, CASE WHEN again > 0 THEN @again END AS second_time FROM given)
+SELECT doc_id, size, source_size, target, once + again AS taken, coalesce(first_time, second_time) AS position,
+       CASE WHEN first_time IS NOT NULL THEN second_time END AS position_again
+FROM timed
+""".replace("@once", demand_time_sql("(start / target)", "place")).replace("@again", demand_time_sql("((start + source_size) / target)", "place"))
 
 
 def _canonical_sql(column: str) -> str:

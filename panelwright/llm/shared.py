@@ -9,6 +9,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Used only where the session names no checkpoint folder and driver and executors are one machine, as in tests.
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/panelwright"
@@ -96,3 +97,20 @@ def hot_join(left: DataFrame, right: DataFrame, keys: Sequence[str], size: str,
     met = met.join(many, reduce(and_, (F.col(k) == F.col(f"cold_{k}") for k in keys)) & (F.col("deal") == F.col("cold_deal")), "left")
     got = F.coalesce("hot_values", "cold_values")
     return met.select(*left.columns, *(got[c].alias(c) for c in values))
+
+
+def running_sums(df: DataFrame, group: Sequence[str], order: Sequence[str], sums: dict[str, Column], parts: int, name: str) -> DataFrame:
+    """df with, for each entry of sums, its sum over the rows before in the group.
+
+    Rows are range-sorted by group and order into parts ranges, so that a group of any size is summed by many tasks: what
+    a group has in the ranges before is added to the sums within a range. Groups and orders are not null; rows that are
+    equal in both may come in any order, but for one that is unique. The ranges are written, so that they never change.
+    """
+    ranged = materialise(df.repartitionByRange(parts, *group, *order).withColumn("range_no", F.spark_partition_id()), name)
+    before = Window.partitionBy(*group).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*group, "range_no").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = ranged.groupBy(*group, "range_no").agg(*(F.sum(c).alias(f"piece_{n}") for n, c in sums.items()))
+    starts = pieces.select(*(F.col(g).alias(f"of_{g}") for g in group), F.col("range_no").alias("of_range"), *(F.coalesce(F.sum(f"piece_{n}").over(before), F.lit(0)).alias(f"start_{n}") for n in sums))
+    same = reduce(and_, (F.col(g) == F.col(f"of_{g}") for g in group), F.col("range_no") == F.col("of_range"))
+    inside = ranged.select("*", *(F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"inside_{n}") for n, c in sums.items()))
+    return inside.join(starts, same).select(*df.columns, *((F.col(f"start_{n}") + F.col(f"inside_{n}")).alias(n) for n in sums))
