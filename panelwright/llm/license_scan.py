@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .license_texts import SPELLINGS, TEXTS
-from .shared import materialise
+from .shared import hot_join, materialise
 
 #: A line that states a copyright: the word with a sign or a year, or a sign at the line's beginning; rights reserved.
 COPYRIGHT_LINE = r"(?m)^[ \t#*/;-]*(copyright[ \t]+(\(c\)|©|[0-9]{4}|\[|<)|\(c\)[ \t]|©|all rights reserved)[^\n]*$"
@@ -77,13 +77,16 @@ def scan_licences(docs: DataFrame, known: DataFrame | None = None, *, id_col: st
     known = materialise(known, "licences")  # so that Spark knows its size when it chooses the join
     if known.count() <= SENT_LICENCES:
         known = F.broadcast(known)
-    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
-    whole = with_digest(read, "body", "digest").select("id", "digest").join(known, "digest", "left")
-    lines = read.select("id", "body", F.explode(F.split(F.coalesce("body", F.lit("")), "\n")).alias("line")).filter(F.trim("line") != "")
+    read = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    digested = with_digest(read.withColumn("of", F.md5("body")), "body", "digest")
+    whole = materialise(digested.select("id", "of", "digest").join(known, "digest", "left"), "licences-of-texts")
+    lines = read.select("body", F.explode(F.split("body", "\n")).alias("line")).filter(F.trim("line") != "")
     if begin:  # lines that begin with another word have no known digest; this spares most of them the canonical form
         lines = lines.filter(F.regexp_extract(F.lower("line"), FIRST_WORD, 1).isin(begin))
-    stated = with_digest(lines, "line", "digest").select("id", "body", "digest").join(known, "digest")
-    stated = with_digest(stated, "body", "of").select("id", "of", "licence")
-    notices = stated.groupBy(F.col("id").alias("of_id"), "of").agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("notices"))
-    both = whole.join(notices, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("digest") == F.col("of")), "left")
+    stated = with_digest(lines, "line", "digest").select("body", "digest").join(known, "digest").select(F.md5("body").alias("of"), "licence")
+    # What lines state depends on the text alone: one row for each distinct text, however often it is copied.
+    notices = stated.groupBy("of").agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("notices"))
+    copies = whole.groupBy("of").agg(F.count("*").alias("copies"))
+    notices = materialise(notices.join(copies, "of"), "licence-notices")
+    both = hot_join(whole, notices, ["of"], "copies")
     return both.select(F.col("id").alias(id_col), "digest", "licence", F.coalesce("notices", F.lit("")).alias("notices"))

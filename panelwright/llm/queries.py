@@ -16,6 +16,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: Tokenizer of op2; its files are looked up at run time.
 TOKENIZER = "word_bpe_49k.json"
 OVER_LIMIT = 2048
+#: Setting of the session with the folder of counts that op2 keeps from run to run; unset, a run starts without any.
+TOKEN_CACHE = "spark.panelwright.tokenCache"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +37,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     tokenizer = token_counts.JsonTokenizer.from_path(public_tokenizers.path(TOKENIZER))
-    counts = token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer, fresh_path(spark, "token-cache"))
+    counts = token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer, spark.conf.get(TOKEN_CACHE, None) or fresh_path(spark, "token-cache"))
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > OVER_LIMIT).alias("over_limit"))
 
 

@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as X
-from .shared import materialise
+from .shared import hot_join, materialise
 
 
 @dataclass(frozen=True)
 class Repeats:
     """min_words: least length of a repeat. log_window: the k-grams that an anchor is chosen from, as a power of two.
 
-    large_run: documents with suffixes of equal beginnings that one task compares.
+    large_run: suffixes of equal beginnings that one task compares.
     """
 
     min_words: int = 50
@@ -83,9 +83,10 @@ def _anchor_keys(how: Repeats) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             for part in X.slices(batch.column(1)):
                 found = Anchors(part, how)
                 keys, of = found.keys.astype(np.uint64), found.doc_of(found.anchors)
-                _, once = np.unique(keys ^ X.mix(of.astype(np.uint64) + np.uint64(1)), return_index=True)  # a document counts once
-                ids = batch.column(0).take(pa.array(of[once] + part.first))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[once].view(np.int64)), ids], names=["key", "id"])
+                _, once, number = np.unique(keys ^ X.mix(of.astype(np.uint64) + np.uint64(1)), return_index=True, return_counts=True)
+                rows = pa.array(of[once] + part.first)
+                own = [batch.column(i).take(rows) for i in (0, 2, 3)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[once].view(np.int64)), pa.array(number.astype(np.int64)), *own], names=["key", "places", "id", "text_a", "text_b"])
 
     return run
 
@@ -287,7 +288,9 @@ def _large_runs(large: DataFrame, kind: T.DataType, found: T.StructType, how: Re
     windows = materialise(kinds.mapInArrow(_windows(how), T.StructType(fields)), "suffix-windows")
     often = windows.groupBy("digest").agg(F.min("low").alias("keeper"), F.max("high").alias("last")).filter("NOT (keeper <=> last)").select("digest", "keeper")
     met = windows.join(often, "digest").groupBy("key", "kind").agg(F.collect_list(F.struct("shift", F.col("keeper.id").alias("keeper"))).alias("met"))
-    return named.select("key", "kind", "id", "at").join(met, ["key", "kind"]).select("id", "at", "met").mapInArrow(_members(how), found)
+    sizes = named.groupBy("key", "kind").agg(F.count("*").alias("members"))
+    met = materialise(met.join(sizes, ["key", "kind"]), "suffix-met")
+    return hot_join(named.select("key", "kind", "id", "at"), met, ["key", "kind"], "members").filter("met IS NOT NULL").select("id", "at", "met").mapInArrow(_members(how), found)
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -328,13 +331,15 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[id_col].dataType
-    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    keys = materialise(read.mapInArrow(_anchor_keys(how), T.StructType([T.StructField("key", T.LongType()), T.StructField("id", kind)])), "suffix-keys")
+    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("id", "text", F.xxhash64("id", "text").alias("text_a"), F.xxhash64(F.lit(1), "id", "text").alias("text_b"))
+    key_fields = [T.StructField("key", T.LongType()), T.StructField("places", T.LongType()), T.StructField("id", kind), T.StructField("text_a", T.LongType()), T.StructField("text_b", T.LongType())]
+    keys = materialise(read.mapInArrow(_anchor_keys(how), T.StructType(key_fields)), "suffix-keys")
     document = F.struct(F.col("id").isNull().alias("none"), "id")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(document).alias("low"), F.max(document).alias("high")).filter("NOT (low <=> high)").select("key", "n")
-    wanted = keys.join(shared, "key").groupBy("id").agg(F.collect_list(F.struct("key", "n")).alias("keys"))
-    wanted = wanted.withColumnRenamed("id", "of")
-    texts = read.join(wanted, F.col("id").eqNullSafe(F.col("of"))).select("id", "text", "keys")
+    shared = keys.groupBy("key").agg(F.sum("places").alias("n"), F.count("*").alias("uses"), F.min(document).alias("low"), F.max(document).alias("high"))
+    shared = materialise(shared.filter("NOT (low <=> high)").select("key", "n", "uses"), "suffix-shared")
+    # Keys are gathered by text, not by id, so that a list is bounded by a text, and rows without id have lists of their own.
+    wanted = hot_join(keys, shared, ["key"], "uses").filter("n IS NOT NULL").groupBy("text_a", "text_b").agg(F.collect_set(F.struct("key", "n")).alias("keys"))
+    texts = read.join(wanted, ["text_a", "text_b"]).select("id", "text", "keys")
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("id", kind), T.StructField("at", T.ArrayType(T.LongType())), *(T.StructField(c, T.IntegerType()) for c in ("least", "most")), *(T.StructField(c, T.BinaryType()) for c in ("right", "left"))])
     suffixes = materialise(texts.mapInArrow(_suffixes(how), schema), "suffixes")
 

@@ -253,3 +253,14 @@ def test_long_conversation_is_numbered_in_parts(spark):
     found = chat_tools.link_tools(*chat_tools.turns_as_tools(rows), (chat_tools.REPLY,)).collect()
     assert [r.position for r in sorted(found, key=lambda r: r.turn)] == list(range(1, 5001))
     assert all(r.linked_turn is not None for r in found)
+
+
+def test_repeats_among_rows_without_id(spark):
+    """A third of all rows has no id; these are one document, and their texts keep lists of their own."""
+    rng = random.Random(21)
+    passage = prose(rng, 60)
+    rows = [(None, prose(rng, 10 + k) + passage) for k in range(20)] + [(k, passage + prose(rng, 30)) for k in range(3)] + [(k + 10, prose(rng, 80)) for k in range(30)]
+    rows += [(None, rows[0][1]), (50, None)]
+    found = suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), how=suffix_dedup.Repeats(large_run=3)).collect()
+    got = {r.doc_id: tuple([(s.start, s.end) for s in x] for x in (r.repeated, r.removable)) for r in found}
+    assert len(got) == len(found) and got == brute_repeats(rows, 50)
