@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat_tools, compression_rules, decontaminate, license_scan, mixing, secret_scan, simhash_dedup, suffix_dedup, token_counts, warc
 from .license_texts import SPELLINGS, TEXTS
-from .shared import fresh_path
+from .shared import exists, fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,7 +55,8 @@ def op4_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.secret_counts(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.secret_counts(docs, secret_scan.train(words=secret_scan.corpus_words(docs)))
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,9 +66,16 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.select("doc_id", "size", "source_size", "target", "taken", *positions)
 
 
+def quality_limits(spark: SparkSession, docs: DataFrame, sf_dir: str) -> compression_rules.CompressionRules:
+    """The rules with low limits fitted to the folder's labels, where it has any."""
+    if not exists(spark, f"{sf_dir}/labels.parquet"):
+        return compression_rules.CompressionRules()
+    return compression_rules.fitted_rules(docs, table(spark, sf_dir, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = compression_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return judged.drop("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return compression_rules.quality_rules(docs, rules=quality_limits(spark, docs, sf_dir)).drop("text")
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Secret scans: candidates found by form, false positives removed by a random forest.
 
-Candidates are long runs of key characters with a digit, what stands after an assignment to a secret's name, and private
-key blocks. The forest looks at length, character transitions, dictionary coverage, whether the candidate is part of a
-path, and the neighbouring words. It is trained on the driver from labelled findings.
+Candidates are long runs of key characters with a digit, mixed case or capitals only, what stands after an assignment to
+a secret's name, passwords in addresses, and private key blocks. The forest looks at length, character transitions,
+dictionary coverage, whether the candidate is part of a path, and the neighbouring words. It is trained on the driver
+from labelled findings. Dictionary and transitions can be those of the corpus (corpus_words).
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ import math
 import random
 import re
 import string
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +28,9 @@ from . import textops as X
 from .shared import apart
 
 KEY_CHARS = X.byte_table((string.ascii_letters + string.digits + "+/_=-.~").encode())
-MIN_RUN, MIN_ASSIGNED = 16, 8
+MIN_RUN, MIN_ASSIGNED = 16, 6
+#: Of either case so many letters make a run without a digit a candidate.
+MIN_CASES = 3
 CONTEXT = 80
 SECRET_NAMES = ("password", "passwd", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "access-key", "auth", "authorization", "bearer", "credential", "credentials", "private_key")
 HARMLESS_NAMES = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "digest", "hash", "etag", "uuid", "guid", "revision", "version", "build", "isbn", "serial", "integrity", "fingerprint", "png", "jpeg", "image", "href", "src", "url", "path", "file", "example", "page", "order", "id")
@@ -38,8 +42,7 @@ _ASSIGNED = re.compile(rb"[ \t]*[:=][ \t]*[\"']?([^\s\"'<>;,()]{%d,})" % MIN_ASS
 _NAME_BEFORE = re.compile(rb"(?i)(?:%s)[\"']?$" % b"|".join(re.escape(n.encode()) for n in SECRET_NAMES))
 #: A block up to its end line, or as far as its lines look like a key's: headers, then base64.
 _PRIVATE_KEY = re.compile(rb"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:[ \t\r]*\n[ \t]*(?:(?:Proc-Type|DEK-Info): [^\n]*|[A-Za-z0-9+/=]*)(?=[ \t\r]*(?:\n|$)))*(?:[ \t\r]*\n?[ \t]*[A-Za-z0-9+/= \\n]*-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----)?")
-_DICT = {w.encode() for w in DICTIONARY}
-_LONGEST = max(map(len, DICTIONARY))
+_ADDRESS_PASSWORD = re.compile(rb"://[^\s/:@]{0,128}:([^\s/:@]{4,})@")
 
 
 def candidates(part: X.Slice) -> list[list[tuple[int, int, str]]]:
@@ -48,9 +51,10 @@ def candidates(part: X.Slice) -> list[list[tuple[int, int, str]]]:
     raw = data.tobytes()
     found: list[tuple[int, int, str]] = []
     starts, ends, _ = part.words(KEY_CHARS)
-    digits = np.zeros(len(data) + 1, np.int64)
-    np.cumsum((data >= 48) & (data <= 57), out=digits[1:])
-    for i in np.flatnonzero((ends - starts >= MIN_RUN) & (digits[ends] > digits[starts])):
+    sums = [np.r_[0, np.cumsum((data >= low) & (data <= high))] for low, high in ((48, 57), (65, 90), (97, 122))]
+    digit, upper, lower = (c[ends] - c[starts] for c in sums)
+    cased = (upper >= MIN_CASES) & (lower >= MIN_CASES) | (upper == ends - starts)
+    for i in np.flatnonzero((ends - starts >= MIN_RUN) & ((digit > 0) | cased)):
         start, end = int(starts[i]), int(ends[i])
         name = raw[start:end].find(b"=")
         if 0 < name < end - start - MIN_ASSIGNED and _NAME_BEFORE.search(raw[start : start + name]):
@@ -69,6 +73,10 @@ def candidates(part: X.Slice) -> list[list[tuple[int, int, str]]]:
                 m = _ASSIGNED.match(raw[at:last])
                 end = at + m.end(1)
             found.append((at + m.start(1), end, "assigned"))
+    if b"://" in raw:
+        for doc in range(len(part)):
+            for m in _ADDRESS_PASSWORD.finditer(raw, bounds[doc], bounds[doc + 1]):
+                found.append((m.start(1), m.end(1), "address"))
     if b"PRIVATE KEY-----" in raw:
         for doc in range(len(part)):
             for m in _PRIVATE_KEY.finditer(raw[bounds[doc] : bounds[doc + 1]]):
@@ -84,23 +92,34 @@ def candidates(part: X.Slice) -> list[list[tuple[int, int, str]]]:
     return out
 
 
-def _bigrams() -> dict[bytes, float]:
-    """Log-probabilities of letter pairs in the dictionary, smoothed."""
-    counts: dict[bytes, int] = {}
-    for w in DICTIONARY:
-        for a, b in zip(w, w[1:], strict=False):
-            counts[(a + b).encode()] = counts.get((a + b).encode(), 0) + 1
-    total = sum(counts.values()) + 26 * 26
-    return {(a + b).encode(): math.log((counts.get((a + b).encode(), 0) + 1) / total) for a in string.ascii_lowercase for b in string.ascii_lowercase}
+class Lexicon:
+    """Known words, and the log-probabilities of their letter pairs, smoothed."""
+
+    def __init__(self, words: Iterable[str] = DICTIONARY):
+        self.words = {w.encode() for w in words} | {w.encode() for w in DICTIONARY}
+        self.longest = max(map(len, self.words))
+        counts = Counter(w[i : i + 2] for w in self.words for i in range(len(w) - 1))
+        total = sum(counts.values()) + 26 * 26
+        letters = string.ascii_lowercase
+        self.pairs = {(a + b).encode(): math.log((counts[(a + b).encode()] + 1) / total) for a in letters for b in letters}
+        self.rare = min(self.pairs.values()) - 1
+
+
+def corpus_words(docs: DataFrame, *, text_col: str = "text", size: int = 20_000, least: int = 3) -> list[str]:
+    """The words of 4 to 20 letters a-z that most documents have, `size` of them at most, each in `least` or more.
+
+    Documents are counted over the whole corpus; the driver gets the words of this list alone. Null texts have none.
+    """
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(r"(?<![a-z0-9_])([a-z]{4,20})(?![a-z0-9_])"), F.lit(1)))).alias("word"))
+    common = words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return [r.word for r in common.orderBy(F.desc("n"), "word").limit(size).collect()]
 
 
-_PAIRS = _bigrams()
-_RARE = min(_PAIRS.values()) - 1
 _CLASSES = bytes(1 if chr(i).isdigit() else 2 if 97 <= i <= 122 else 3 if 65 <= i <= 90 else 4 for i in range(256))
-FEATURES = ("length", "digits", "uppers", "hex", "entropy", "transitions", "pairs", "coverage", "path", "secret_near", "harmless_near", "largest_share", "quoted", "assigned", "dashes")
+FEATURES = ("length", "digits", "uppers", "hex", "entropy", "transitions", "pairs", "coverage", "path", "secret_near", "harmless_near", "largest_share", "quoted", "assigned", "dashes", "capitals", "address")
 
 
-def features(before: bytes, token: bytes, after: bytes) -> list[float]:
+def features(before: bytes, token: bytes, after: bytes, lexicon: Lexicon) -> list[float]:
     n = max(1, len(token))
     low = token.lower()
     kinds = token.translate(_CLASSES)
@@ -108,7 +127,7 @@ def features(before: bytes, token: bytes, after: bytes) -> list[float]:
     letters = [low[i : i + 2] for i in range(len(low) - 1) if low[i : i + 2].isalpha()]
     covered, i = 0, 0
     while i < len(low):
-        size = next((k for k in range(min(_LONGEST, len(low) - i), 2, -1) if low[i : i + k] in _DICT), 0)
+        size = next((k for k in range(min(lexicon.longest, len(low) - i), 2, -1) if low[i : i + k] in lexicon.words), 0)
         covered += size
         i += size or 1
     near = [w.lower().decode() for w in _WORDS.findall(before)[-4:]]
@@ -116,14 +135,15 @@ def features(before: bytes, token: bytes, after: bytes) -> list[float]:
     return [
         min(n, 400), sum(k == 1 for k in kinds) / n, sum(k == 3 for k in kinds) / n, float(all(c in b"0123456789abcdefABCDEF" for c in token)),
         -sum(c / n * math.log2(c / n) for c in counts), sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n,
-        sum(_PAIRS.get(p, _RARE) for p in letters) / len(letters) if letters else _RARE, covered / n,
+        sum(lexicon.pairs.get(p, lexicon.rare) for p in letters) / len(letters) if letters else lexicon.rare, covered / n,
         float(token.count(b"/") + (b"://" in before[-12:]) + before.endswith((b"/", b"\\")) + bool(re.search(rb"\.[a-z]{2,4}$", token))),
         float(any(s in parts or s in near for s in SECRET_NAMES)), float(any(h in parts for h in HARMLESS_NAMES)), max(counts, default=0) / n,
         float(before.endswith((b'"', b"'")) and after.startswith((b'"', b"'"))), float(bool(re.search(rb"[:=][ \t]*[\"']?$", before))), float(token.count(b"-")),
+        float(token.isupper()), float(bool(re.search(rb"://[^\s/:@]*:$", before)) and after.startswith(b"@")),
     ]
 
 
-def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[bytes, bytes, bytes, int]]:
+def labelled_findings(n: int = 6000, seed: int = 11) -> list[tuple[bytes, bytes, bytes, int]]:
     """Made findings (before, candidate, after, is a secret), half of them secrets; the same for the same arguments."""
     rng = random.Random(seed)
     some = lambda chars, k: "".join(rng.choices(chars, k=k))
@@ -134,20 +154,23 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[bytes, bytes,
     uuid = lambda: "-".join(some(hexes, k) for k in (8, 4, 4, 4, 12))
 
     def secret() -> tuple[str, str, str]:
-        kind = rng.randrange(7)
-        name = rng.choice(["token", "secret", "password", "api_key", "API_KEY", "auth_token", "client_secret", "access_key", "Authorization: Bearer", "PRIVATE_TOKEN", "db_password"])
+        kind = rng.randrange(10)
+        name = rng.choice(["token", "secret", "password", "api_key", "API_KEY", "auth_token", "client_secret", "access_key", "Authorization: Bearer", "PRIVATE_TOKEN", "db_password", "passwd"])
         token = [
-            lambda: some(hexes, rng.choice([32, 40, 64])), lambda: b64(rng.randint(15, 48)), lambda: "AKIA" + some(string.ascii_uppercase + string.digits, 16),
+            lambda: some(hexes, rng.choice([32, 40, 64])), lambda: b64(rng.randint(15, 48)), lambda: rng.choice(["AKIA", "ASIA"]) + some(string.ascii_uppercase + "234567" * rng.randint(0, 1), 16),
             lambda: rng.choice(["ghp_", "sk_live_", "xoxb-", "glpat-"]) + some(alnum, rng.randint(20, 40)), lambda: some(alnum + "!@#$%^&*", rng.randint(10, 24)),
-            lambda: some(alnum, rng.randint(20, 64)), lambda: f"eyJ{b64(18)}.{b64(30)}.{b64(24)}".replace("=", ""),
+            lambda: some(alnum, rng.randint(20, 64)), lambda: f"eyJ{b64(rng.randint(15, 36))}.{b64(rng.randint(30, 180))}.{b64(rng.choice([24, 32, 64]))}".replace("=", ""), lambda: some(string.ascii_letters, rng.randint(18, 40)),
+            lambda: some(alnum + "!$%_-.", rng.randint(6, 20)), lambda: some(alnum + "!$%_-.", rng.randint(6, 12)),
         ][kind]()
-        if kind in (2, 3, 6) and rng.random() < 0.4:
+        if kind == 8:
+            return f"{prose()} {rng.choice(['postgres', 'https', 'redis', 'mongodb', 'ftp'])}://{word()}:", token, f"@{word()}.{word()}.com/{word()}"[:8]
+        if kind in (2, 3, 6) and rng.random() < 0.5:
             return f"{prose()} ", token, f" {prose()}"
         quote = rng.choice(['"', "'", ""])
         return f"{prose()} {name}{rng.choice([' = ', '=', ': ', ' : '])}{quote}", token, f"{quote} {prose()}"
 
     def harmless() -> tuple[str, str, str]:
-        kind = rng.randrange(9)
+        kind = rng.randrange(12)
         if kind == 0:
             return f"{prose()} {rng.choice(['commit', 'sha1:', 'md5 =', 'checksum:', 'revision', 'etag: ', 'hash ='])} ", some(hexes, rng.choice([32, 40, 64])), f" {prose()}"
         if kind == 1:
@@ -162,9 +185,15 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[bytes, bytes,
             return f"{prose()} {rng.choice(['data:image/png;base64,', 'integrity=sha256-', 'font ' ])}", b64(rng.randint(30, 120)), f"\" {prose()}"
         if kind == 6:
             return f"{prose()} {rng.choice(['password', 'token', 'api_key', 'secret'])}{rng.choice([' = ', ': '])}\"", rng.choice(["your_api_key_here_1", "xxxxxxxxxxxxxxxx0", "changeme12345678", "example_token_123", "<insert-token-1>", "os.environ.get_1", "0000000000000000", "placeholder_key_1"]), f'" {prose()}'
+        if kind == 8:
+            return f"{prose()} ", "".join(word().capitalize() for _ in range(rng.randint(3, 6))), f"{rng.choice(['(', ' ', '.'])}{prose()}"
+        if kind == 9:
+            return f"{prose()} ", "_".join(word().upper() for _ in range(rng.randint(3, 5))), f" {prose()}"
+        if kind == 10:
+            return f"{prose()} ", rng.choice(["", "A", "The"]) + rng.choice([".", "-", "/", "..."]).join(rng.choice([word(), word().capitalize()]) for _ in range(rng.randint(3, 6))), f" {prose()}"
         if kind == 7:
             return f"{prose()} ", "-".join(word() for _ in range(rng.randint(3, 6))) + f"-{rng.randint(1, 2030)}", f" {prose()}"
-        return f"{prose()} {rng.choice(['token', 'password', 'secret', 'auth'])}{rng.choice([': ', ' = '])}", "".join(word() for _ in range(rng.randint(2, 4))), f" {prose()}"
+        return f"{prose()} {rng.choice(['token', 'password', 'secret', 'auth'])}{rng.choice([': ', ' = '])}", "".join(word() for _ in range(rng.randint(1, 4))), f" {prose()}"
 
     rows = []
     for i in range(n):
@@ -176,14 +205,15 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[bytes, bytes,
 @dataclass
 class SecretModel:
     forest: RandomForest
+    lexicon: Lexicon
     threshold: float = 0.5
 
     def scores(self, findings: list[tuple[bytes, bytes, bytes]]) -> np.ndarray:
-        return self.forest.predict(np.array([features(*f) for f in findings])) if findings else np.zeros(0)
+        return self.forest.predict(np.array([features(*f, self.lexicon) for f in findings])) if findings else np.zeros(0)
 
 
-def train(findings: list[tuple[bytes, bytes, bytes, int]] | None = None, *, trees: int = 40, max_findings: int = 20_000, seed: int = 7) -> SecretModel:
-    """Fit on labelled findings; without any, on labelled_findings().
+def train(findings: list[tuple[bytes, bytes, bytes, int]] | None = None, *, words: Iterable[str] = (), trees: int = 40, max_findings: int = 20_000, seed: int = 7) -> SecretModel:
+    """Fit on labelled findings; without any, on labelled_findings(). words are added to the dictionary.
 
     Of more than max_findings a random sample is taken, of each label half of max_findings at most, or what the other
     label leaves free. Findings of one label only are refused: a model of them would say the same of everything.
@@ -196,8 +226,9 @@ def train(findings: list[tuple[bytes, bytes, bytes, int]] | None = None, *, tree
     room = [max(half, max_findings - len(sides[1 - k])) for k in (0, 1)]
     draw = random.Random(seed)
     rows = [r for side, most in zip(sides, room, strict=True) for r in (side if len(side) <= most else draw.sample(side, most))]
-    x, y = np.array([features(*r[:3]) for r in rows]), np.array([r[3] for r in rows], float)
-    return SecretModel(RandomForest(n_estimators=trees, max_depth=10, min_samples_leaf=2, max_features="sqrt", random_state=seed).fit(x, y))
+    lexicon = Lexicon(words)
+    x, y = np.array([features(*r[:3], lexicon) for r in rows]), np.array([r[3] for r in rows], float)
+    return SecretModel(RandomForest(n_estimators=trees, max_depth=10, min_samples_leaf=2, max_features="sqrt", random_state=seed).fit(x, y), lexicon)
 
 
 _SECRET = [T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("score", T.DoubleType())]

@@ -45,7 +45,8 @@ def plain_pipeline(rows, items):
         hit = {k for n in {len(x) for x in windows} for s in range(len(w) - n + 1) if tuple(w[s : s + n]) in windows for k in range(s, s + n)}
         if not (hit and 20 * len(hit) >= len(w)):
             clean.append((i, t))
-    model = secret_scan.train()
+    often = collections.Counter(w for _, t in clean for w in set(re.findall(r"(?<![a-z0-9_])[a-z]{4,20}(?![a-z0-9_])", t.lower())))
+    model = secret_scan.train(words=sorted((w for w, n in often.items() if n >= 3), key=lambda w: (-often[w], w))[:20_000])
     out = []
     for i, t in clean:
         raw = t.encode()
