@@ -9,13 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from panelwright.llm import compression_rules, decontaminate, mixing, secret_scan, simhash_dedup
-from panelwright.llm.queries import table
+from panelwright.llm.queries import quality_limits, table
 from panelwright.llm.shared import materialise
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; null and short texts go. Rows keep their own columns, as in all stages."""
-    return compression_rules.kept_rows(docs)
+    """Documents that the quality rules keep, with low limits fitted to the folder's labels, if any.
+
+    Null and short texts go. Rows keep their own columns, as in all stages.
+    """
+    return compression_rules.kept_rows(docs, rules=quality_limits(spark, docs, sf_dir))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +33,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets masked; null and empty texts stay."""
-    return secret_scan.mask_secrets(docs)
+    return secret_scan.mask_secrets(docs, secret_scan.train(words=secret_scan.corpus_words(docs)))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
