@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from ..operators.trees import RandomForest
 from . import textops as X
-from .shared import apart
+from .shared import apart, materialise
 
 KEY_CHARS = X.byte_table((string.ascii_letters + string.digits + "+/_=-.~").encode())
 MIN_RUN, MIN_ASSIGNED = 16, 6
@@ -108,11 +108,22 @@ class Lexicon:
 def corpus_words(docs: DataFrame, *, text_col: str = "text", size: int = 20_000, least: int = 3) -> list[str]:
     """The words of 4 to 20 letters a-z that most documents have, `size` of them at most, each in `least` or more.
 
-    Documents are counted over the whole corpus; the driver gets the words of this list alone. Null texts have none.
+    Documents are counted over the whole corpus. Words are taken by steps of a sixteenth of a doubling of that count, as
+    many whole steps as size allows, so that the driver gets a row for each step and then the words of this list alone.
+    Null and empty texts have no words, repeated rows count again, an empty table has none.
     """
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(r"(?<![a-z0-9_])([a-z]{4,20})(?![a-z0-9_])"), F.lit(1)))).alias("word"))
-    common = words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    return [r.word for r in common.orderBy(F.desc("n"), "word").limit(size).collect()]
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"(?<![a-z0-9_])([a-z]{4,20})(?![a-z0-9_])"), F.lit(1)))).alias("word"))
+    counted = words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    common = materialise(counted.withColumn("step", F.floor(16 * F.log2("n")).cast("int")), "corpus-words")
+    taken, lowest = 0, None
+    for r in common.groupBy("step").agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
+        taken += r.words
+        if taken > size:
+            break
+        lowest = r.step
+    if lowest is None:
+        return []
+    return [r.word for r in sorted(common.filter(F.col("step") >= lowest).collect(), key=lambda r: (-r.n, r.word))]
 
 
 _CLASSES = bytes(1 if chr(i).isdigit() else 2 if 97 <= i <= 122 else 3 if 65 <= i <= 90 else 4 for i in range(256))
