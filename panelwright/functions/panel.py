@@ -17,6 +17,20 @@ def require_panel(df: DataFrame, name: str = "panel") -> None:
         raise ValueError(f"{name} must have the key columns ticker and date; it lacks {', '.join(missing)}")
 
 
+def one_of(name: str, value: object, allowed: Sequence[object]) -> None:
+    if value not in allowed:
+        raise ValueError(f"{name} is {value!r}; it can be {', '.join(map(repr, allowed))}")
+
+
+def window_lengths(least: int, most: int | None) -> None:
+    """Lengths of windows in rows: one or more, and the least not above the most, where there is a most."""
+    for length in (least, most):
+        if length is not None and length < 1:
+            raise ValueError(f"a window of {length} rows")
+    if most is not None and least > most:
+        raise ValueError(f"windows of {least} rows at least and {most} at most")
+
+
 def require_columns(df: DataFrame, columns: Iterable[str], what: str = "columns") -> None:
     if missing := [c for c in columns if c not in df.columns]:
         raise KeyError(f"missing {what}: {', '.join(missing)}")

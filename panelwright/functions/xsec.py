@@ -40,6 +40,10 @@ def with_percentile_rank(df: DataFrame, value: str, out: str, by: Sequence[str]
     return df.withColumn(out, F.when(x.isNotNull(), share))
 
 
+#: Up to so many buckets edges are the rounded quantiles that a percentage scale gives.
+MANY_BUCKETS = 10_000
+
+
 def quantile_edges(buckets: int) -> list[float]:
     """Inner quantiles as shares, computed as a percentage scale is."""
     return [float(p) for p in (np.linspace(0, 1, buckets + 1) * 100 / 100)[1:-1]]
@@ -52,8 +56,8 @@ def with_buckets(df: DataFrame, value: str, out: str = "decile", buckets: int =
     distinct values than buckets is instead cut into equal widths of the average rank; one of a single value lies in the
     middle bucket.
     """
-    if buckets <= 0:
-        raise ValueError("n_deciles must be positive.")
+    if buckets < 1:
+        raise ValueError(f"{buckets} buckets")
     x = F.col(value)
     w = Window.partitionBy(*by)
     placed = df.filter(x.isNotNull()).withColumns(
@@ -66,6 +70,8 @@ def with_buckets(df: DataFrame, value: str, out: str = "decile", buckets: int =
     counted = placed.withColumns({"b_n": F.count(F.lit(1)).over(w), "b_distinct": F.max("b_dense").over(w), "b_low": F.min("b_twice").over(w), "b_high": F.max("b_twice").over(w)})
     if buckets <= 20:
         by_place = sum(((F.col("b_row") > 1 + F.lit(p) * (F.col("b_n") - 1)).cast("int") for p in quantile_edges(buckets)), F.lit(1))
+    elif buckets > MANY_BUCKETS:  # an array of edges would be too long; at an edge this is exact, not rounded
+        by_place = F.greatest(F.lit(1), F.ceil((F.col("b_row") - 1) * F.lit(buckets) / F.nullif(F.col("b_n") - 1, F.lit(0))))
     else:  # the same over an array: deep sums do not plan well
         by_place = F.size(F.filter(F.array(*map(F.lit, quantile_edges(buckets))), lambda p: F.col("b_row") > 1 + p * (F.col("b_n") - 1))) + 1
     width = F.ceil((F.col("b_twice") - F.col("b_low")) * buckets / F.nullif(F.col("b_high") - F.col("b_low"), F.lit(0)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.panel import finite, month_end, numeric_columns, require_columns, require_panel
+from ..functions.panel import finite, month_end, numeric_columns, one_of, require_columns, require_panel
 from ..functions.xsec import with_percentile_rank, zscore
 
 
@@ -29,8 +29,7 @@ def standardize_characteristics(characteristics: DataFrame, method: str) -> Data
 
 def assemble_modeling_dataset(returns: DataFrame, characteristics: DataFrame, factor_loadings: DataFrame, *, return_col: str = "RET", next_return_col: str = "next_return", standardize: str = "zscore") -> DataFrame:
     """Complete rows of characteristics (standardised over the whole section), loadings and the target."""
-    if standardize not in ("zscore", "rank"):
-        raise ValueError("standardize must be 'zscore' or 'rank'.")
+    one_of("standardize", standardize, ("zscore", "rank"))
     for df, name in ((returns, "returns"), (characteristics, "characteristics"), (factor_loadings, "factor_loadings")):
         require_panel(df, name)
     require_columns(returns, (return_col,))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.panel import finite, month_end, require_columns, require_panel, ticker_rows
+from ..functions.panel import finite, month_end, one_of, require_columns, require_panel, ticker_rows, window_lengths
 from .solve import pairs, products, solved
 
 
@@ -22,10 +22,7 @@ class ExposureConfig:
     factor_cols: tuple[str, ...] = ("MKT", "SMB", "HML")
 
     def __post_init__(self):
-        if self.min_months <= 0 or self.max_months <= 0:
-            raise ValueError("min_months and max_months must be positive.")
-        if self.min_months > self.max_months:
-            raise ValueError("min_months cannot exceed max_months.")
+        window_lengths(self.min_months, self.max_months)
 
     @property
     def columns(self) -> tuple[str, ...]:
@@ -48,8 +45,7 @@ def compute_factor_exposures(stock_returns: DataFrame, factors: DataFrame, *, co
 
     fast: sums of products over the window, solved in batches. exact: least squares on the rows of each window.
     """
-    if mode not in ("fast", "exact"):
-        raise ValueError("mode must be 'fast' or 'exact'")
+    one_of("mode", mode, ("fast", "exact"))
     joined = with_factors(stock_returns, factors, config)
     estimates = _by_products(joined, config) if mode == "fast" else _by_rows(joined, config)
     w = ticker_rows()

@@ -119,7 +119,22 @@ def compute_features(raw: DataFrame, *, config: FeatureConfig | None = None) ->
 
     One shuffle by ticker serves the daily windows, the monthly aggregation and all monthly windows.
     """
-    cfg = config or FeatureConfig()
+    made = _months_with_features(raw, config or FeatureConfig())
+    return made.select("ticker", "date", *FEATURES).na.drop("all", subset=list(FEATURES))
+
+
+def monthly_panel(raw: DataFrame, *, config: FeatureConfig | None = None, return_col: str = "RET", next_col: str = "next_return") -> DataFrame:
+    """ticker, date, FEATURES, the month's return and the ticker's next one, for every month; nothing is dropped.
+
+    It holds what compute_features and monthly_returns give, in one pass, so that they need not be joined: return_col is
+    null in months that the latter leaves out, and next_col is null there.
+    """
+    made = _months_with_features(raw, config or FeatureConfig())
+    following = F.when(F.col("mret").isNotNull(), F.expr("lead(mret) IGNORE NULLS OVER (PARTITION BY ticker ORDER BY date)"))
+    return made.select("ticker", "date", *FEATURES, F.col("mret").alias(return_col), following.alias(next_col))
+
+
+def _months_with_features(raw: DataFrame, cfg: FeatureConfig) -> DataFrame:
     require_panel(raw, "raw")
     require_columns(raw, (cfg.price_col, cfg.volume_col))
     kept = [cfg.price_col, cfg.volume_col] + ([cfg.return_col] if cfg.return_col in raw.columns else [])
@@ -127,8 +142,7 @@ def compute_features(raw: DataFrame, *, config: FeatureConfig | None = None) ->
     months = with_lags(monthly(with_daily_volatility(daily, cfg), cfg))
     w = ticker_rows()
     made = months.withColumns({"dv": dollar_volume(), "value": value(cfg), "momentum": momentum(cfg), "lv": log_mean_volume(cfg), "profitability": profitability(cfg)})
-    made = made.withColumns({"dollar_volume": F.lag("dv").over(w), "investment": F.col("lv") - F.lag("lv").over(w)})
-    return made.select("ticker", "date", *FEATURES).na.drop("all", subset=list(FEATURES))
+    return made.withColumns({"dollar_volume": F.lag("dv").over(w), "investment": F.col("lv") - F.lag("lv").over(w)})
 
 
 def monthly_returns(daily: DataFrame, *, price_col: str = "adj_close", return_col: str = "RET") -> DataFrame:

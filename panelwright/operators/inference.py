@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.panel import finite, require_columns, require_panel
+from ..functions.panel import finite, one_of, require_columns, require_panel, window_lengths
 from .performance import sharpe_ratio
 
 
@@ -129,10 +129,8 @@ def diebold_mariano_test(panel: DataFrame, *, realized_col: str = "realized_retu
     All pairs' mean differences are aggregated by date in one pass over the panel; rows count for a pair where both models
     and the outcome are known.
     """
-    if loss not in ("squared_error", "absolute_error"):
-        raise ValueError("loss must be either 'squared_error' or 'absolute_error'")
-    if horizon < 1:
-        raise ValueError("horizon must be at least 1")
+    one_of("loss", loss, ("squared_error", "absolute_error"))
+    window_lengths(horizon, None)
     require_panel(panel)
     require_columns(panel, (realized_col,))
     chosen = None if model_cols is None else set(model_cols)

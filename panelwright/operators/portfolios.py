@@ -49,8 +49,6 @@ def model_columns(panel: DataFrame, model_cols: Sequence[str] | None, excluding:
 
 def assigned(panel: DataFrame, models: Sequence[str], n_deciles: int, keep: dict[str, Column]) -> DataFrame:
     """Signals with their decile; the section of a date is that of all names with a signal."""
-    if n_deciles <= 0:
-        raise ValueError("n_deciles must be positive.")
     return with_buckets(long_signals(panel, models, keep), "signal", buckets=n_deciles, by=("date", "model"))
 
 
@@ -60,8 +58,6 @@ def compute_decile_portfolio_returns(panel: DataFrame, *, model_cols: Sequence[s
     Names without a return count for the deciles and not for the means. Deciles whose weights sum to zero have no return.
     LS is null on dates where either end has none; a model has an LS row for each date on which it has a return.
     """
-    if n_deciles <= 0:
-        raise ValueError("n_deciles must be positive.")
     models = model_columns(panel, model_cols, (return_col, weight_col))
     require_columns(panel, [c for c in (return_col, weight_col) if c])
     keep = {"ret": finite(return_col)} | ({"w": F.coalesce(finite(weight_col), F.lit(0.0))} if weight_col else {})

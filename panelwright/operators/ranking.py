@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.panel import finite, require_columns, require_panel
+from ..functions.panel import finite, one_of, require_columns, require_panel
 from ..functions.xsec import RANK_METHODS, with_percentile_rank, zscore
 
 
@@ -22,14 +22,10 @@ class RankingConfig:
     rank_method: str = "average"
 
     def __post_init__(self):
-        if self.basis not in ("return", "zscore"):
-            raise ValueError("basis must be 'return' or 'zscore'.")
-        if self.risk_adjust not in (None, "volatility", "beta"):
-            raise ValueError("risk_adjust must be None, 'volatility' or 'beta'.")
-        if self.rank_method not in RANK_METHODS:
-            raise ValueError("rank_method is unknown.")
-        if self.risk_adjust is not None and self.risk_col is None:
-            raise ValueError(f"{self.risk_adjust}_col must be given with risk_adjust='{self.risk_adjust}'.")
+        for name, allowed in (("basis", ("return", "zscore")), ("risk_adjust", (None, "volatility", "beta")), ("rank_method", RANK_METHODS)):
+            one_of(name, getattr(self, name), allowed)
+        if self.risk_adjust and not self.risk_col:
+            raise ValueError(f"no column of the {self.risk_adjust} to adjust by")
 
     @property
     def risk_col(self) -> str | None:

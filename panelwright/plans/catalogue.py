@@ -13,7 +13,7 @@ from ..operators import dataset, exposures, features, forecast_eval, inference,
 from ..operators.trees import RandomForest
 from ..sources.readers import Adapter, factors_from_panel, numbers, sample_tickers, tail_rows
 from . import reports
-from .panel_sql import ORACLES, TRAIN_MAX, TRAIN_MIN
+from .panel_sql import FALLBACK, ORACLES, TRAIN_MAX, TRAIN_MIN
 
 Query = Callable[[SparkSession, str], DataFrame]
 MODELS = ("momentum", "value")
@@ -27,6 +27,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(F.round(f.name, digits).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema.fields))
 
 
+def significant(df: DataFrame, digits: int = 9) -> DataFrame:
+    """Doubles to so many significant digits, for values of very different sizes."""
+    return df.select(*(F.format_string(f"%.{digits - 1}e", f.name).cast("double").alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema.fields))
+
+
 class Panel:
     """Frames of one folder; each is a plan, computed when a query runs."""
 
@@ -45,20 +50,20 @@ class Panel:
         return features.monthly_returns(self.daily)
 
     def factors(self) -> DataFrame:
-        return factors_from_panel(self.returns(), self.features())
+        return factors_from_panel(features.monthly_panel(self.daily).filter("RET IS NOT NULL"))
 
     def signals(self) -> DataFrame:
         """Two characteristics as signals, with next month's return."""
-        nexts = dataset.next_return(self.returns(), out="realized_return")
-        return self.features().join(nexts, ["ticker", "date"], "left").select("ticker", "date", *MODELS, "volatility", "dollar_volume", "realized_return")
+        months = features.monthly_panel(self.daily, next_col="realized_return").na.drop("all", subset=FEATURES)
+        return months.select("ticker", "date", *MODELS, "volatility", "dollar_volume", "realized_return")
 
     def model_panel(self) -> DataFrame:
-        return self.features().join(dataset.next_return(self.returns()), ["ticker", "date"], "left")
+        return features.monthly_panel(self.daily).na.drop("all", subset=FEATURES).drop("RET")
 
-    def full_panel(self) -> DataFrame:
+    def full_panel(self, **kw) -> DataFrame:
         """The modelling panel with all characteristics and loadings."""
         loadings = exposures.compute_factor_exposures(self.returns(), self.factors(), config=EXPOSURES)
-        return dataset.assemble_modeling_dataset(self.returns(), self.features(), loadings)
+        return dataset.assemble_modeling_dataset(self.returns(), self.features(), loadings, **kw)
 
     def deciles(self, **kw) -> DataFrame:
         return portfolios.compute_decile_portfolio_returns(self.signals(), model_cols=MODELS, **kw)
@@ -101,11 +106,6 @@ def _gross(p: Panel) -> performance.Performance:
     return performance.summarize_portfolio_performance(p.deciles(), ls_cost_mode="reference_precomputed")
 
 
-def _modeling(p: Panel) -> DataFrame:
-    loadings = p.features().select("ticker", "date", F.col("volatility").alias("beta_MKT"))
-    return dataset.assemble_modeling_dataset(p.returns(), p.features().select("ticker", "date", *MODELS), loadings)
-
-
 def _regularized(kind: str, **kw) -> Callable[[Panel], DataFrame]:
     how = rolling.RegularizedModelConfig(model_type=kind, cv_folds=3, **kw)
     return lambda p: rolling.rolling_regularized_predictions(p.full_panel(), FEATURES, window_config=WINDOWS, model_config=how)
@@ -132,7 +132,7 @@ def _rank_vs_raw(p: Panel) -> DataFrame:
 def _accuracy(p: Panel) -> DataFrame:
     panel = p.signals().select("ticker", "date", *MODELS, "realized_return")
     found = forecast_eval.evaluate_forecasting_accuracy(panel)[0]
-    return found.select("model", F.ln(1 - F.col("oos_r2")).alias("log_unexplained"), F.ln("mae").alias("log_mae"), F.ln("mse").alias("log_mse"))
+    return found.select("model", "oos_r2", "mae", "mse")
 
 
 def _decile_pivot(p: Panel) -> DataFrame:
@@ -155,7 +155,7 @@ PANEL: dict[str, Callable[[Panel], DataFrame]] = {
     "monthly_return": lambda p: p.returns().withColumnRenamed("RET", "ret"),
     "dollar_volume": _feature("dollar_volume", "dollar_volume"),
     "value_ma": _feature("value", "value_ma"),
-    "value_reversal": lambda p: p.features(value_method="long_term_reversal").filter("value IS NOT NULL").select("ticker", "date", F.ln(1 - F.col("value")).alias("log_growth")),
+    "value_reversal": lambda p: p.features(value_method="long_term_reversal").filter("value IS NOT NULL").select("ticker", "date", F.col("value").alias("value_reversal")),
     "momentum_reference": _feature("momentum", "momentum_reference"),
     "momentum_standard": _feature("momentum", "momentum_standard", compounding="standard"),
     "volatility": _feature("volatility", "volatility"),
@@ -167,10 +167,10 @@ PANEL: dict[str, Callable[[Panel], DataFrame]] = {
     "next_return": lambda p: dataset.next_return(p.returns()),
     "zscore_char": lambda p: p.features().select("ticker", "date", zscore("momentum").alias("momentum")),
     **{f"pct_rank_{m}": _ranks(m) for m in ("average", "min", "max", "first", "dense")},
-    "modeling_panel": _modeling,
-    "modeling_panel_ranks": lambda p: dataset.assemble_modeling_dataset(p.returns(), p.features(), p.features().select("ticker", "date", F.col("volatility").alias("beta_MKT")), standardize="rank"),
+    "modeling_panel": lambda p: p.full_panel(),
+    "modeling_panel_ranks": lambda p: p.full_panel(standardize="rank"),
     "decile_qcut": _buckets(10),
-    "decile_cut_fallback": _buckets(150),
+    "decile_cut_fallback": _buckets(FALLBACK),
     "decile_returns_ew": lambda p: p.deciles(),
     "decile_returns_vw": lambda p: p.deciles(weight_col="dollar_volume").filter(~portfolios.is_spread()),
     "decile_pivot": _decile_pivot,
@@ -184,14 +184,14 @@ PANEL: dict[str, Callable[[Panel], DataFrame]] = {
     "ls_cost_derived": _net("reference_derived"),
     "perf_summary": lambda p: _summary(p).metrics,
     "basic_summary": lambda p: performance.summarize_returns_basic(p.deciles()).metrics,
-    "cumulative": lambda p: _gross(p).cumulative.select("date", "model", "bucket", F.ln("cum").alias("log_cum")),
+    "cumulative": lambda p: _gross(p).cumulative.select("date", "model", "bucket", "cum"),
     "drawdown": lambda p: _gross(p).drawdowns,
     "tc_stress": lambda p: reports.transaction_cost_stress_test(p.deciles(), p.weights(), ls_cost_mode="reference_precomputed")["tc_summary"],
     "clip_realized": lambda p: reports.clip_realized_returns(p.signals(), lower=-0.1, upper=0.2).select("ticker", "date", "realized_return"),
-    "oos_r2": lambda p: forecast_eval.compute_oos_r2(p.signals(), "realized_return", "momentum").select(F.ln(1 - F.col("oos_r2")).alias("log_unexplained")),
+    "oos_r2": lambda p: forecast_eval.compute_oos_r2(p.signals(), "realized_return", "momentum"),
     "forecast_accuracy": _accuracy,
     "spearman_by_date": lambda p: forecast_eval.evaluate_forecasting_accuracy(p.signals().select("ticker", "date", *MODELS, "realized_return"))[1],
-    "dm_stat": lambda p: inference.diebold_mariano_test(p.signals().select("ticker", "date", *MODELS, "realized_return"), horizon=3).select("model_1", "model_2", "dm_stat", F.ln(F.abs("mean_loss_diff")).alias("log_loss_diff"), "periods"),
+    "dm_stat": lambda p: inference.diebold_mariano_test(p.signals().select("ticker", "date", *MODELS, "realized_return"), horizon=3).select("model_1", "model_2", F.round("dm_stat", 6).alias("dm_stat"), "mean_loss_diff", "periods"),
     "jk_stat": lambda p: inference.jobson_korkie_test(p.spreads(), model_1="momentum", model_2="value").drop("model_1", "model_2", "p_value"),
     "pred_rank_riskadj": lambda p: ranking.convert_predictions_to_rankings(p.features(), config=ranking.RankingConfig(prediction_col="momentum", risk_adjust="volatility", volatility_col="volatility")),
     "pred_rank_zscore": lambda p: ranking.convert_predictions_to_rankings(p.features(), config=ranking.RankingConfig(prediction_col="momentum", basis="zscore")),
@@ -199,6 +199,12 @@ PANEL: dict[str, Callable[[Panel], DataFrame]] = {
     "xs_ols_1feature": lambda p: linear.cross_sectional_ols(p.model_panel(), ["momentum"]),
     "rolling_ols_1feature": lambda p: linear.rolling_ols(p.model_panel(), ["momentum"], window_config=WINDOWS),
     "ridge_1feature": lambda p: rolling.rolling_regularized_predictions(p.model_panel(), ["momentum"], window_config=WINDOWS, model_config=rolling.RegularizedModelConfig(alphas=(10.0,))),
+    "lasso_1feature": lambda p: rolling.rolling_regularized_predictions(p.model_panel(), ["momentum"], window_config=WINDOWS, model_config=rolling.RegularizedModelConfig(model_type="lasso", alphas=(0.001,))),
+    "elasticnet_1feature": lambda p: rolling.rolling_regularized_predictions(p.model_panel(), ["momentum"], window_config=WINDOWS, model_config=rolling.RegularizedModelConfig(model_type="elasticnet", alphas=(0.002,), l1_ratios=(0.5,))),
+    "expanding_ols_1feature": lambda p: linear.rolling_ols(p.model_panel(), ["momentum"], window_config=linear.WindowConfig(TRAIN_MIN, expanding=True)),
+    "xs_ols_2features": lambda p: linear.cross_sectional_ols(p.model_panel(), list(MODELS)),
+    "xs_ols_2features_ranks": lambda p: linear.cross_sectional_ols(p.model_panel(), list(MODELS), config=linear.CrossSectionalOLSConfig(prediction_type="rank")),
+    "rolling_ols_2features": lambda p: linear.rolling_ols(p.model_panel(), list(MODELS), window_config=WINDOWS),
     "exposures_ff3": lambda p: exposures.compute_factor_exposures(p.returns(), p.factors(), config=EXPOSURES),
     "exposures_ff3_exact": lambda p: exposures.compute_factor_exposures(p.returns(), p.factors(), config=EXPOSURES, mode="exact"),
     "xs_ols": lambda p: linear.cross_sectional_ols(p.full_panel(), FEATURES),
@@ -214,8 +220,8 @@ PANEL: dict[str, Callable[[Panel], DataFrame]] = {
     "xs_forest": lambda p: tree_models.cross_sectional_random_forest(p.full_panel(), FEATURES, config=tree_models.RandomForestConfig(n_estimators=10, max_depth=4)),
     "xs_boosting": lambda p: tree_models.cross_sectional_gradient_boosting(p.full_panel(), FEATURES, config=tree_models.GradientBoostingConfig(n_estimators=20)),
     "bootstrap_sharpe": lambda p: inference.bootstrap_sharpe_ratio_difference(p.spreads(), model_1="momentum", model_2="value", n_bootstrap=200, random_state=123),
-    "sharpe_table": lambda p: _report(p, "sharpe_table"),
-    "dm_table": lambda p: _report(p, "dm_table"),
+    "sharpe_table": lambda p: _report(p, "sharpe_table").drop("p_value"),
+    "dm_table": lambda p: _report(p, "dm_table").drop("p_value"),
     "decile_growth": lambda p: reports.decile_cumulative_for_model(p.deciles(), model="momentum"),
     "long_short_growth": lambda p: reports.long_short_cumulative(p.deciles()),
     "rank_vs_raw": _rank_vs_raw,
@@ -225,14 +231,24 @@ PANEL: dict[str, Callable[[Panel], DataFrame]] = {
 }
 
 
-def _over_panel(make: Callable[[Panel], DataFrame]) -> Query:
-    return lambda spark, folder: rounded(make(Panel(spark, folder)))
+#: Queries whose values differ much in size.
+SIGNIFICANT = {"value_reversal", "cumulative", "oos_r2", "forecast_accuracy", "dm_stat", "decile_growth", "long_short_growth", "rank_vs_raw", "plot_suite_costs", "dm_table"}
+
+
+def _over_panel(name: str, make: Callable[[Panel], DataFrame]) -> Query:
+    kept = significant if name in SIGNIFICANT else rounded
+    return lambda spark, folder: kept(make(Panel(spark, folder)))
 
 
 def safe_cast(spark: SparkSession, folder: str) -> DataFrame:
-    """Text that is no number becomes null."""
+    """Numbers, junk, blanks and what is no finite number, as text: only finite numbers stay."""
     orders = spark.read.parquet(f"{folder}/orders.parquet")
-    return orders.select("o_orderkey", numbers(F.col("o_orderstatus").cast("string")).alias("x"))
+    key = F.col("o_orderkey")
+    kinds = [F.col("o_totalprice").cast("string"), F.concat(F.lit(" "), key.cast("string"), F.lit(" ")), *map(F.lit, ("n/a", "", "nan", "1e400", "-1.5e3"))]
+    text = F.col("o_orderstatus").cast("string")
+    for k, kind in enumerate(kinds):
+        text = F.when(key % 8 == k, kind).otherwise(text)
+    return orders.select("o_orderkey", numbers(text).alias("x"))
 
 
-QUERIES: dict[str, Query] = {name: _over_panel(make) for name, make in PANEL.items()} | {"safe_cast": safe_cast}
+QUERIES: dict[str, Query] = {name: _over_panel(name, make) for name, make in PANEL.items()} | {"safe_cast": safe_cast}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from ..functions.xsec import quantile_edges
 
 TRAIN_MIN, TRAIN_MAX = 24, 36
+#: More buckets than any section of the tables has names, so that all are cut the other way.
+FALLBACK = 1_000_000
 
 _T = "PARTITION BY ticker ORDER BY date"
 
@@ -49,7 +51,7 @@ CTES = {
 
 
 def _buckets(q: int) -> str:
-    edges = " + ".join(f"CASE WHEN rn > 1 + {p!r}::DOUBLE * (n - 1) THEN 1 ELSE 0 END" for p in quantile_edges(q))
+    edges = " + ".join(f"CASE WHEN rn > 1 + {p!r}::DOUBLE * (n - 1) THEN 1 ELSE 0 END" for p in quantile_edges(q)) if q < FALLBACK else "NULL"
     return f"""SELECT ticker, date, model, signal, ret, w, CAST(CASE WHEN distinct_n < {q}
           THEN CASE WHEN low = high THEN {-(-q // 2)} ELSE greatest(1, ceil((twice - low) * {q} / (high - low)::DOUBLE)) END
           ELSE 1 + {edges} END AS INTEGER) AS decile
@@ -76,6 +78,23 @@ CTES |= {
     "spread": """SELECT date, model, max(ret) FILTER (WHERE decile = hi) - max(ret) FILTER (WHERE decile = lo) AS ret
         FROM ew JOIN (SELECT model, min(decile) AS lo, max(decile) AS hi FROM ew GROUP BY model) USING (model) GROUP BY date, model""",
     "pairs": "SELECT a.date, a.ret AS a, b.ret AS b FROM spread a JOIN spread b USING (date) WHERE a.model = 'momentum' AND b.model = 'value' AND a.ret IS NOT NULL AND b.ret IS NOT NULL",
+    "early": f"""SELECT ticker, date, ret - RF AS y, MKT AS a, SMB AS b, HML AS c FROM returns LEFT JOIN factors USING (date)""",
+    "sums3": f"""SELECT ticker, date, count(y) OVER w AS n, {", ".join(f"sum({x}) OVER w AS s{x}" for x in "yabc")},
+        {", ".join(f"sum({x} * {z}) OVER w AS s{x}{z}" for i, x in enumerate("abcy") for z in "abcy"[i:])} FROM early WINDOW w AS ({_T} ROWS BETWEEN {TRAIN_MAX - 1} PRECEDING AND CURRENT ROW)""",
+    # Centred products m, and slopes of the three factors by Cramer's rule.
+    "centred3": f"""SELECT ticker, date, n, sy, sa, sb, sc, {", ".join(f"s{x}{z} - s{x} * s{z} / n AS m{x}{z}" for i, x in enumerate("abcy") for z in "abcy"[i:])} FROM sums3 WHERE n >= {TRAIN_MIN}""",
+    "solved3": """SELECT *, maa * (mbb * mcc - mbc * mbc) - mab * (mab * mcc - mbc * mac) + mac * (mab * mbc - mbb * mac) AS det FROM centred3""",
+    "fitted3": """SELECT ticker, date, n, sy, sa, sb, sc,
+        (may * (mbb * mcc - mbc * mbc) - mab * (mby * mcc - mbc * mcy) + mac * (mby * mbc - mbb * mcy)) / det AS k1,
+        (maa * (mby * mcc - mcy * mbc) - may * (mab * mcc - mbc * mac) + mac * (mab * mcy - mby * mac)) / det AS k2,
+        (maa * (mbb * mcy - mbc * mby) - mab * (mab * mcy - mby * mac) + may * (mab * mbc - mbb * mac)) / det AS k3 FROM solved3""",
+    "loadings": f"""SELECT ticker, date, lag(sy / n - k1 * sa / n - k2 * sb / n - k3 * sc / n) OVER ({_T}) AS alpha_ff3, lag(k1) OVER ({_T}) AS beta_MKT, lag(k2) OVER ({_T}) AS beta_SMB, lag(k3) OVER ({_T}) AS beta_HML FROM fitted3
+        QUALIFY beta_MKT IS NOT NULL""",
+    "fit2": "SELECT date, momentum AS a, value AS b, next_return AS y FROM features LEFT JOIN nexts USING (ticker, date) WHERE momentum IS NOT NULL AND value IS NOT NULL AND next_return IS NOT NULL",
+    "moments2": "SELECT date, count(*) AS n, sum(a) AS sa, sum(b) AS sb, sum(y) AS sy, sum(a * a) AS saa, sum(b * b) AS sbb, sum(a * b) AS sab, sum(a * y) AS say, sum(b * y) AS sby FROM fit2 GROUP BY date",
+    "dated2": "SELECT d.date, row_number() OVER (ORDER BY d.date) - 1 AS place, m.* EXCLUDE (date) FROM (SELECT DISTINCT date FROM features) d LEFT JOIN moments2 m USING (date)",
+    "windows2": f"""SELECT date, place, {", ".join(f"sum({x}) OVER w AS {x}" for x in ("n", "sa", "sb", "sy", "saa", "sbb", "sab", "say", "sby"))}
+        FROM dated2 WINDOW w AS (ORDER BY date ROWS BETWEEN {TRAIN_MAX} PRECEDING AND 1 PRECEDING)""",
     "scored": "SELECT ticker, date, model, signal, ret AS y FROM long WHERE ret IS NOT NULL",
     "fit1": """SELECT date, momentum AS x, next_return AS y FROM features LEFT JOIN nexts USING (ticker, date)""",
     "moments": """SELECT date, count(y) FILTER (WHERE x IS NOT NULL) AS n, sum(x) FILTER (WHERE y IS NOT NULL) AS sx, sum(y) FILTER (WHERE x IS NOT NULL) AS sy,
@@ -94,6 +113,11 @@ def r6(*columns: str) -> str:
     return ", ".join(f"round({c}, 6) AS {c}" for c in columns)
 
 
+def s9(column: str, out: str | None = None) -> str:
+    """To nine significant digits, for values of very different sizes."""
+    return f"CAST(printf('%.8e', {column}) AS DOUBLE) AS {out or column}"
+
+
 def net_sql(spread: str) -> str:
     return f"""SELECT date, model, 'long_short' AS bucket, {spread} AS ret FROM (
       SELECT date, model, max(ret) FILTER (WHERE decile = hi) - max(ret) FILTER (WHERE decile = lo) AS gross,
@@ -136,12 +160,37 @@ def xrank(method: str) -> str:
     }[method]
 
 
+def two_slopes(table: str, where: str) -> str:
+    """Intercept and slopes on momentum and value for each date of a table of their sums."""
+    return f"""SELECT date, sy / n - k1 * sa / n - k2 * sb / n AS k0, k1, k2 FROM (
+      SELECT *, (may * mbb - mby * mab) / (maa * mbb - mab * mab) AS k1, (maa * mby - mab * may) / (maa * mbb - mab * mab) AS k2 FROM (
+        SELECT *, saa - sa * sa / n AS maa, sbb - sb * sb / n AS mbb, sab - sa * sb / n AS mab, say - sa * sy / n AS may, sby - sb * sy / n AS mby FROM {table} WHERE {where}))"""
+
+
+def one_slope(shrunk: str, windows: str = "windows") -> str:
+    """Predictions on one scaled feature; shrunk: its coefficient from q (product with the target) and n."""
+    return f"""SELECT ticker, date, round(sy / n + {shrunk} * (momentum - sx / n) / sd, 6) AS prediction FROM features
+    JOIN (SELECT *, (sxy - sx * sy / n) / sd AS q FROM (SELECT *, sqrt(sxx / n - sx / n * sx / n) AS sd FROM {windows} WHERE place >= {TRAIN_MIN} AND n > 0)) USING (date) WHERE momentum IS NOT NULL"""
+
+
+_CHARACTERS = ("dollar_volume", "value", "momentum", "volatility", "investment", "profitability")
+_LOADINGS = ("alpha_ff3", "beta_MKT", "beta_SMB", "beta_HML")
+
+
+def modeling_sql(standard: str) -> str:
+    made = ", ".join(f"{standard.format(c=c)} AS {c}" for c in _CHARACTERS)
+    return query(f"""SELECT ticker, date, {r6(*_CHARACTERS, *_LOADINGS, 'next_return')} FROM (SELECT ticker, date, {made} FROM features WINDOW d AS (PARTITION BY date))
+    JOIN loadings USING (ticker, date) JOIN nexts USING (ticker, date) WHERE {" AND ".join(f"{c} IS NOT NULL" for c in (*_CHARACTERS, *_LOADINGS, "next_return"))}""")
+
+
 _FEATURE = lambda c: query(f"SELECT ticker, date, {r6(c)} FROM every WHERE {c} IS NOT NULL")
 
 ORACLES = {
     "daily_panel": query(f"SELECT ticker, date, {r6('adj_close', 'volume')} FROM daily"),
     "tail_rows": query(f"SELECT ticker, date, {r6('adj_close')} FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM daily) WHERE k <= 100"),
-    "safe_cast": "SELECT o_orderkey, try_cast(o_comment_number AS DOUBLE) AS x FROM (SELECT o_orderkey, o_orderstatus AS o_comment_number FROM orders)",
+    "ticker_sample": query(f"SELECT ticker, date, {r6('adj_close', 'volume')} FROM daily WHERE CAST('0x' || substr(md5(CAST(ticker AS VARCHAR)), 1, 8) AS BIGINT) % 10000 < 5000"),
+    "safe_cast": """SELECT o_orderkey, CASE WHEN isfinite(v) THEN v END AS x FROM (SELECT o_orderkey, try_cast(CASE o_orderkey % 8
+      WHEN 0 THEN CAST(o_totalprice AS VARCHAR) WHEN 1 THEN ' ' || CAST(o_orderkey AS VARCHAR) || ' ' WHEN 2 THEN 'n/a' WHEN 3 THEN '' WHEN 4 THEN 'nan' WHEN 5 THEN '1e400' WHEN 6 THEN '-1.5e3' ELSE o_orderstatus END AS DOUBLE) AS v FROM orders)""",
     "daily_return": query(f"SELECT ticker, date, {r6('ret')} FROM dret"),
     "realized_vol": query(f"SELECT ticker, date, {r6('rvol')} FROM dvol"),
     "monthly_resample_last": query(f"SELECT ticker, date, {r6('price', 'volume', 'vol')} FROM observed"),
@@ -149,7 +198,7 @@ ORACLES = {
     "monthly_return": query(f"SELECT ticker, date, {r6('ret')} FROM returns"),
     "dollar_volume": _FEATURE("dollar_volume"),
     "value_ma": _FEATURE("value_ma"),
-    "value_reversal": query("SELECT ticker, date, round(ln(1 - value_reversal), 6) AS log_growth FROM every WHERE value_reversal IS NOT NULL"),
+    "value_reversal": query(f"SELECT ticker, date, {s9('value_reversal')} FROM every WHERE value_reversal IS NOT NULL"),
     "momentum_reference": _FEATURE("momentum_reference"),
     "momentum_standard": _FEATURE("momentum_standard"),
     "volatility": _FEATURE("volatility"),
@@ -161,14 +210,10 @@ ORACLES = {
     "next_return": query(f"SELECT ticker, date, {r6('next_return')} FROM nexts"),
     "zscore_char": query("SELECT ticker, date, round(coalesce((momentum - avg(momentum) OVER d) / nullif(stddev_pop(momentum) OVER d, 0), 0), 6) AS momentum FROM features WINDOW d AS (PARTITION BY date)"),
     **{f"pct_rank_{m}": query(f"SELECT ticker, date, round(CASE WHEN momentum IS NOT NULL THEN {xrank(m)} END, 6) AS momentum_rank FROM features f") for m in ("average", "min", "max", "first", "dense")},
-    "modeling_panel": query(
-        """SELECT ticker, date, round(z1, 6) AS momentum, round(z2, 6) AS value, round(beta, 6) AS beta_MKT, round(next_return, 6) AS next_return FROM (
-      SELECT ticker, date, coalesce((momentum - avg(momentum) OVER d) / nullif(stddev_pop(momentum) OVER d, 0), 0) AS z1, coalesce((value - avg(value) OVER d) / nullif(stddev_pop(value) OVER d, 0), 0) AS z2
-      FROM features WINDOW d AS (PARTITION BY date))
-    JOIN (SELECT ticker, date, volatility AS beta FROM features) USING (ticker, date) JOIN nexts USING (ticker, date) WHERE beta IS NOT NULL AND next_return IS NOT NULL"""
-    ),
+    "modeling_panel": modeling_sql("coalesce(({c} - avg({c}) OVER d) / nullif(stddev_pop({c}) OVER d, 0), 0)"),
+    "modeling_panel_ranks": modeling_sql("CASE WHEN {c} IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY {c} NULLS LAST) + (count(*) OVER (PARTITION BY date, {c}) - 1) / 2) / count({c}) OVER d END"),
     "decile_qcut": query("SELECT ticker, date, model, decile FROM deciles"),
-    "decile_cut_fallback": query(f"SELECT ticker, date, model, decile FROM ({_buckets(150)})"),
+    "decile_cut_fallback": query(f"SELECT ticker, date, model, decile FROM ({_buckets(FALLBACK)})"),
     "decile_returns_ew": query(f"SELECT date, model, bucket, {r6('ret')} FROM ew_all"),
     "decile_returns_vw": query(f"SELECT date, model, CAST(decile AS VARCHAR) AS bucket, {r6('ret')} FROM vw"),
     "decile_pivot": query("SELECT date, model, " + ", ".join(f'round(max(ret) FILTER (WHERE bucket = \'{b}\'), 6) AS "b_{b}"' for b in [*range(1, 11), "LS"]) + " FROM ew_all GROUP BY date, model"),
@@ -182,7 +227,7 @@ ORACLES = {
     "ls_cost_derived": query(f"SELECT date, model, bucket, {r6('ret')} FROM ({net_sql('gross - c_top + c_bottom - (c_top + c_bottom)')})"),
     "perf_summary": with_performance(NET.format(rate="0.0025::DOUBLE"), f"SELECT model, bucket, {r6(*PERF, 'avg_turnover')} FROM stats JOIN lows USING (model, bucket) LEFT JOIN (SELECT model, bucket, avg(turnover) AS avg_turnover FROM turnover GROUP BY ALL) USING (model, bucket)", clipped=True),
     "basic_summary": with_performance("SELECT * FROM ew_all", f"SELECT model, bucket, {r6(*PERF)} FROM stats LEFT JOIN lows USING (model, bucket)", clipped=False),
-    "cumulative": with_performance("SELECT * FROM ew_all", "SELECT date, model, bucket, round(ln(cum), 6) AS log_cum FROM path", clipped=True),
+    "cumulative": with_performance("SELECT * FROM ew_all", f"SELECT date, model, bucket, {s9('cum')} FROM path", clipped=True),
     "drawdown": with_performance("SELECT * FROM ew_all", f"SELECT date, model, bucket, {r6('drawdown')} FROM down", clipped=True),
     "tc_stress": with_performance(
         f"SELECT tc_bps, date, model, bucket, ret FROM (SELECT unnest([0.0, 10.0, 25.0, 50.0]::DOUBLE[]) AS tc_bps), ({NET.format(rate='0')}) WHERE bucket = 'LS'",
@@ -192,9 +237,9 @@ ORACLES = {
     "user_day_ranks": """SELECT ticker, date, round((rank() OVER (PARTITION BY date ORDER BY v) + (count(*) OVER (PARTITION BY date, v) - 1) / 2) / count(*) OVER (PARTITION BY date), 6) AS value_rank
       FROM (SELECT user_id AS ticker, CAST(ts AS DATE) AS date, sum(CAST(value AS DOUBLE)) AS v FROM events GROUP BY 1, 2)""",
     "clip_realized": query("SELECT ticker, date, round(least(greatest(realized, -0.1), 0.2), 6) AS realized_return FROM signals WHERE realized IS NOT NULL"),
-    "oos_r2": query("SELECT round(ln(sum((y - signal) * (y - signal)) / nullif(var_pop(y) * count(y), 0)), 6) AS log_unexplained FROM scored WHERE model = 'momentum'"),
+    "oos_r2": query(f"SELECT {s9('1 - sum((y - signal) * (y - signal)) / nullif(var_pop(y) * count(y), 0)', 'oos_r2')} FROM scored WHERE model = 'momentum'"),
     "forecast_accuracy": query(
-        """SELECT model, round(ln(sum(e * e) / nullif(sum(s * s), 0)), 6) AS log_unexplained, round(ln(avg(abs(e))), 6) AS log_mae, round(ln(avg(e * e)), 6) AS log_mse
+        f"""SELECT model, {s9('1 - sum(e * e) / nullif(sum(s * s), 0)', 'oos_r2')}, {s9('avg(abs(e))', 'mae')}, {s9('avg(e * e)', 'mse')}
     FROM (SELECT model, y - signal AS e, y - avg(y) OVER (PARTITION BY date, model) AS s FROM scored) GROUP BY model"""
     ),
     "spearman_by_date": query(
@@ -204,7 +249,7 @@ ORACLES = {
     GROUP BY date, model HAVING count(*) >= 2"""
     ),
     "dm_stat": query(
-        """SELECT 'momentum' AS model_1, 'value' AS model_2, round(avg(d) / sqrt((sum(u * u) / n + 2 * (2.0 / 3) * sum(u * u1) / n + 2 * (1.0 / 3) * sum(u * u2) / n) / n), 6) AS dm_stat, round(ln(abs(avg(d))), 6) AS log_loss_diff, n AS periods
+        f"""SELECT 'momentum' AS model_1, 'value' AS model_2, round(avg(d) / sqrt((sum(u * u) / n + 2 * (2.0 / 3) * sum(u * u1) / n + 2 * (1.0 / 3) * sum(u * u2) / n) / n), 6) AS dm_stat, {s9('avg(d)', 'mean_loss_diff')}, n AS periods
     FROM (SELECT *, lag(u, 1) OVER (ORDER BY date) AS u1, lag(u, 2) OVER (ORDER BY date) AS u2, count(*) OVER () AS n FROM (SELECT date, d, d - avg(d) OVER () AS u FROM (
       SELECT date, avg((momentum - realized) * (momentum - realized) - (value - realized) * (value - realized)) AS d FROM signals WHERE momentum IS NOT NULL AND value IS NOT NULL AND realized IS NOT NULL GROUP BY date))) GROUP BY n"""
     ),
@@ -232,8 +277,36 @@ ORACLES = {
         f"""SELECT ticker, date, round(sy / n - b * sx / n + b * momentum, 6) AS prediction FROM features
     JOIN (SELECT *, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b FROM windows WHERE place >= {TRAIN_MIN} AND n > 0) USING (date) WHERE momentum IS NOT NULL"""
     ),
-    "ridge_1feature": query(
-        f"""SELECT ticker, date, round(sy / n + (sxy - sx * sy / n) / sd / (n + 10) * (momentum - sx / n) / sd, 6) AS prediction FROM features
-    JOIN (SELECT *, sqrt(sxx / n - sx / n * sx / n) AS sd FROM windows WHERE place >= {TRAIN_MIN} AND n > 0) USING (date) WHERE momentum IS NOT NULL"""
+    "ridge_1feature": query(one_slope("q / (n + 10)")),
+    "lasso_1feature": query(one_slope("sign(q) * greatest(abs(q) - n * 0.001::DOUBLE, 0) / n")),
+    "elasticnet_1feature": query(one_slope("sign(q) * greatest(abs(q) - n * 0.002::DOUBLE * 0.5, 0) / (n + n * 0.002::DOUBLE * 0.5)")),
+    "expanding_ols_1feature": query(
+        f"""SELECT ticker, date, round(sy / n - b * sx / n + b * momentum, 6) AS prediction FROM features JOIN (SELECT *, (sxy - sx * sy / n) / (sxx - sx * sx / n) AS b FROM (
+      SELECT date, row_number() OVER (ORDER BY date) - 1 AS place, sum(n) OVER w AS n, sum(sx) OVER w AS sx, sum(sy) OVER w AS sy, sum(sxx) OVER w AS sxx, sum(sxy) OVER w AS sxy
+      FROM moments WINDOW w AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE place >= {TRAIN_MIN} AND n > 0) USING (date) WHERE momentum IS NOT NULL"""
+    ),
+    "xs_ols_2features": query(f"SELECT ticker, date, round(k0 + k1 * momentum + k2 * value, 6) AS prediction FROM features JOIN ({two_slopes('moments2', 'n >= 4')}) USING (date) WHERE momentum IS NOT NULL AND value IS NOT NULL"),
+    "xs_ols_2features_ranks": query(
+        f"""SELECT ticker, date, round((rank() OVER (PARTITION BY date ORDER BY x) + (count(*) OVER (PARTITION BY date, x) - 1) / 2) / count(*) OVER (PARTITION BY date), 6) AS prediction FROM (
+      SELECT ticker, date, k0 + k1 * momentum + k2 * value AS x FROM features JOIN ({two_slopes('moments2', 'n >= 4')}) USING (date) WHERE momentum IS NOT NULL AND value IS NOT NULL)"""
+    ),
+    "rolling_ols_2features": query(f"SELECT ticker, date, round(k0 + k1 * momentum + k2 * value, 6) AS prediction FROM features JOIN ({two_slopes('windows2', f'place >= {TRAIN_MIN} AND n > 0')}) USING (date) WHERE momentum IS NOT NULL AND value IS NOT NULL"),
+    "exposures_ff3": query(f"SELECT ticker, date, {r6(*_LOADINGS)} FROM loadings"),
+    "exposures_ff3_exact": query(f"SELECT ticker, date, {r6(*_LOADINGS)} FROM loadings"),
+    "decile_growth": query(f"""SELECT date, model, bucket, {s9('ret')}, {s9('CASE WHEN ret IS NOT NULL THEN cum END', 'cum')} FROM (
+      SELECT *, product(1 + ret) OVER (PARTITION BY bucket ORDER BY date ROWS UNBOUNDED PRECEDING) AS cum FROM (SELECT date, model, bucket, CASE WHEN ret > -0.999 THEN ret END AS ret FROM ew_all WHERE model = 'momentum' AND bucket <> 'LS'))"""),
+    "long_short_growth": query(f"""SELECT date, model, 'long_short' AS bucket, {s9('ret')}, {s9('CASE WHEN ret IS NOT NULL THEN cum END', 'cum')} FROM (
+      SELECT *, product(1 + ret) OVER (PARTITION BY model ORDER BY date ROWS UNBOUNDED PRECEDING) AS cum FROM (SELECT date, model, CASE WHEN ret > -0.999 THEN ret END AS ret FROM spread WHERE date >= DATE '1995-01-31'))"""),
+    # Deciles go by the order of signals, so those of a signal's ranks are the same.
+    "rank_vs_raw": query(f"""SELECT date, {s9('ret', 'raw')}, {s9('ret', 'rank')}, {s9('cum', 'cum_raw')}, {s9('cum', 'cum_rank')} FROM (
+      SELECT date, ret, product(1 + ret) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS cum FROM (SELECT date, least(greatest(ret, -1), 1) AS ret FROM spread WHERE model = 'momentum' AND date >= DATE '1995-01-31' AND ret > -0.999))"""),
+    "plot_suite_costs": with_performance(
+        f"SELECT tc_bps, date, model, bucket, ret FROM (SELECT unnest([0.0, 10.0, 25.0, 50.0]::DOUBLE[]) AS tc_bps), ({NET.format(rate='0')}) WHERE bucket = 'LS'",
+        f"SELECT date, tc_bps, model, bucket, {s9('cum')} FROM path WHERE date >= DATE '1995-01-31'", clipped=True, keys="tc_bps, model, bucket",
+    ),
+    "dm_table": query(
+        f"""SELECT 'momentum' AS model_1, 'value' AS model_2, {s9('avg(d) / sqrt(var_pop(d) / count(d))', 'dm_stat')}, {s9('avg(d)', 'mean_loss_diff')}, count(d) AS periods FROM (
+      SELECT date, avg((momentum - realized) * (momentum - realized) - (value - realized) * (value - realized)) AS d FROM signals WHERE momentum IS NOT NULL AND value IS NOT NULL AND realized IS NOT NULL GROUP BY date)"""
     ),
 }
+ORACLES["sharpe_table"] = ORACLES["jk_stat"].replace("SELECT round(s1, 6)", "SELECT 'momentum' AS model_1, 'value' AS model_2, round(s1, 6)", 1)

@@ -25,8 +25,9 @@ def read_symbols(spark: SparkSession, *paths: str, column: str = "Symbol") -> Da
 
 
 def hash_share(column: Column | str, share: float) -> Column:
-    """A fixed pseudo-random share of the values of a column."""
-    return F.pmod(F.xxhash64(column), F.lit(10_000)) < F.lit(round(share * 10_000))
+    """A fixed pseudo-random share of the values of a column, by the MD5 of their text."""
+    column = F.col(column) if isinstance(column, str) else column
+    return F.conv(F.substring(F.md5(column.cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 10_000 < round(share * 10_000)
 
 
 def sample_tickers(df: DataFrame, share: float) -> DataFrame:
@@ -38,21 +39,38 @@ def numbers(text: Column) -> Column:
     return finite(text.try_cast("double"))
 
 
+#: Columns that a file may have.
+CSV_COLUMNS = 64
+_CELLS = ", ".join(f"c{i} string" for i in range(CSV_COLUMNS))
+
+
+def _cells(line: Column) -> Column:
+    """The cells of a CSV line, quotes taken off; null beyond its end."""
+    row = F.from_csv(line, _CELLS, {"mode": "PERMISSIVE"})
+    return F.array(*(F.trim(row[f"c{i}"]) for i in range(CSV_COLUMNS)))
+
+
 def read_daily_csv(spark: SparkSession, folder: str, *, columns: Sequence[str] = ("adj_close", "volume"), date_col: str = "date") -> DataFrame:
     """Panel from a folder with a CSV file for each ticker, named after it: ticker, date, columns.
 
-    Only the named columns are parsed; files may have others, but share one header, and one that differs is an error. Rows
-    without a date are dropped, values that are no numbers are null.
+    Every file is read by its own header, whatever the order of its columns; a column it lacks is null. Rows without a
+    date are dropped, values that are no numbers are null. A file that is no CSV, or has no dates, gives no rows. A file is
+    a row of the scan, so a ticker's history has to fit into one; files spread over all tasks.
     """
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False)
-    found = raw.csv(folder, pathGlobFilter="*.csv")
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.csv")
     ticker = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1)
-    dated = found.select(ticker.alias("ticker"), F.expr(f"try_cast(`{date_col}` AS DATE)").alias("date"), *(numbers(F.col(c)).alias(c) for c in columns))
+    lines = files.select(ticker.alias("ticker"), F.split(F.ltrim(F.col("value"), F.lit("\ufeff")), r"\r?\n").alias("lines"))
+    places = {c: F.array_position("header", c).cast("int") for c in dict.fromkeys((date_col, *columns))}
+    headed = lines.withColumn("header", F.transform(_cells(F.col("lines")[0]), lambda c: F.coalesce(c, F.lit("")))).select("ticker", "lines", F.struct(*(p.alias(c) for c, p in places.items())).alias("at"))
+    rows = headed.filter(F.col("at")[date_col] > 0).select("ticker", "at", F.explode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("line")).filter("line <> ''")
+    cells = rows.select("ticker", "at", _cells(F.col("line")).alias("cells"))
+    cell = lambda c: F.when(F.col("at")[c] > 0, F.try_element_at("cells", F.col("at")[c]))
+    dated = cells.select("ticker", cell(date_col).try_cast("date").alias("date"), *(numbers(cell(c)).alias(c) for c in columns))
     return dated.filter("date IS NOT NULL")
 
 
 def scan_report(spark: SparkSession, folder: str, tickers: DataFrame, *, price_col: str = "adj_close", date_col: str = "date") -> DataFrame:
-    """One row, files, read, missing, bad: of tickers those whose file gives rows, does not exist, or has no usable row."""
+    """One row, files, read, missing, bad: of tickers those whose file gives rows, does not exist or is empty, or has no usable row."""
     daily = read_daily_csv(spark, folder, columns=(price_col,), date_col=date_col)
     good = daily.filter(F.col(price_col).isNotNull()).select("ticker").distinct().withColumn("good", F.lit(True))
     listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select(F.regexp_extract("path", r"([^/]*)\.csv$", 1).alias("ticker"), F.lit(True).alias("there"))
@@ -94,9 +112,12 @@ class Adapter:
         return events.groupBy(F.col("user_id").alias("ticker"), F.to_date("ts").alias("date")).agg(F.sum(F.col("value").cast("double")).alias("value"), F.count(F.lit(1)).alias("n"))
 
 
-def factors_from_panel(returns: DataFrame, features: DataFrame, *, risk_free: float = 0.002, return_col: str = "RET") -> DataFrame:
-    """Factor series of a panel: the mean return, and differences of means of its halves by volatility and by value."""
-    both = returns.select("ticker", "date", return_col).join(features.select("ticker", "date", "volatility", "value"), ["ticker", "date"], "left")
+def factors_from_panel(returns: DataFrame, features: DataFrame | None = None, *, risk_free: float = 0.002, return_col: str = "RET") -> DataFrame:
+    """Factor series of a panel: the mean return, and differences of means of its halves by volatility and by value.
+
+    Without features, returns has volatility and value itself.
+    """
+    both = returns.select("date", return_col, "volatility", "value") if features is None else returns.select("ticker", "date", return_col).join(features.select("ticker", "date", "volatility", "value"), ["ticker", "date"], "left")
     w = Window.partitionBy("date")
     cut = both.withColumns({f"mid_{c}": F.median(c).over(w) for c in ("volatility", "value")})
     mean = lambda side: F.avg(F.when(side, F.col(return_col)))

@@ -142,3 +142,29 @@ def test_csv_sources(spark, tmp_path):
     assert sorted(r.x for r in readers.tail_rows(df, 2).collect()) == [7.0, 8.0]
     share = readers.sample_tickers(spark.range(2000).selectExpr("id AS ticker"), 0.3).count() / 2000
     assert 0.25 < share < 0.35 and readers.sample_tickers(df, 1.0).count() == 9
+
+
+def test_csv_files_with_other_headers(spark, tmp_path):
+    """Files are read by their own header; what is missing or broken is counted, and the scan goes on."""
+    folder = tmp_path / "d"
+    folder.mkdir()
+    (folder / "A.csv").write_text("date,adj_close,volume\n2020-01-02,1.5,5\n")
+    (folder / "B.csv").write_text('\ufeffvolume,"name, long",date,adj_close\r\n7,"x, y",2020-01-03,2.5\r\n8,z\r\n', encoding="utf-8")
+    (folder / "C.csv").write_text("date,adj_close\n2020-01-04,3.5\n")
+    (folder / "D.csv").write_bytes(bytes(range(256)) * 4)
+    (folder / "E.csv").write_text("")
+    (folder / "F.csv").write_text("adj_close,volume\n1,2\n")
+    got = sorted(map(tuple, readers.read_daily_csv(spark, str(folder)).collect()), key=str)
+    assert got == [("A", date(2020, 1, 2), 1.5, 5.0), ("B", date(2020, 1, 3), 2.5, 7.0), ("C", date(2020, 1, 4), 3.5, None)]
+    tickers = spark.createDataFrame([(t,) for t in "ABCDEFG"], "ticker string")
+    assert tuple(readers.scan_report(spark, str(folder), tickers).first()) == (7, 3, 2, 2)
+
+
+def test_monthly_panel_holds_features_and_returns(spark, daily):
+    daily = spark.createDataFrame(daily, "ticker string, date date, adj_close double, volume double")
+    panel = features.monthly_panel(daily)
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(panel.select("ticker", "date", *features.FEATURES).na.drop("all", subset=list(features.FEATURES)), features.compute_features(daily))
+    returns = features.monthly_returns(daily)
+    assert same(panel.filter("RET IS NOT NULL").select("ticker", "date", "RET"), returns)
+    assert same(panel.filter("RET IS NOT NULL").select("ticker", "date", "next_return"), dataset.next_return(returns))
