@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.panel import finite, month_end, one_of, require_columns, require_panel, ticker_rows, window_lengths
+from .linear import spread_over_tasks
 from .solve import pairs, products, solved
 
 
@@ -86,4 +87,5 @@ def _by_rows(joined: DataFrame, cfg: ExposureConfig) -> DataFrame:
         return out
 
     schema = ", ".join([f"ticker {joined.schema['ticker'].dataType.simpleString()}", "date date", *(f"`{c}` double" for c in columns)])
-    return joined.select("ticker", "date", "excess", *names).groupBy("ticker").applyInPandas(fit, schema)
+    rows = joined.select("ticker", "date", "excess", *names)
+    return spread_over_tasks(rows, "ticker").groupBy("ticker").applyInPandas(fit, schema)

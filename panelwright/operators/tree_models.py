@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .linear import CrossSectionalModelConfig, finish, known, model_rows
+from .linear import CrossSectionalModelConfig, finish, known, model_rows, spread_over_tasks
 from .trees import Boosting, RandomForest
 
 
@@ -53,7 +53,7 @@ def cross_sectional_predictions(panel: DataFrame, feature_cols: Sequence[str], f
 
     rows = model_rows(panel, features, target_col).filter(known(features))
     schema = f"ticker {panel.schema['ticker'].dataType.simpleString()}, date date, `{out}` double"
-    return finish(rows.groupBy("date").applyInPandas(fit, schema), config)
+    return finish(spread_over_tasks(rows, "date").groupBy("date").applyInPandas(fit, schema), config)
 
 
 def cross_sectional_random_forest(panel: DataFrame, feature_cols: Sequence[str], *, target_col: str = "next_return", config: RandomForestConfig | None = None) -> DataFrame:

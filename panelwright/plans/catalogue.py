@@ -20,6 +20,8 @@ MODELS = ("momentum", "value")
 FEATURES = list(features.FEATURES)
 WINDOWS = linear.WindowConfig(TRAIN_MIN, TRAIN_MAX)
 EXPOSURES = exposures.ExposureConfig(TRAIN_MIN, TRAIN_MAX)
+#: What models are fitted on: every column of the modelling panel but its target.
+COLUMNS = [*FEATURES, *EXPOSURES.columns]
 ONE_FACTOR = exposures.ExposureConfig(TRAIN_MIN, TRAIN_MAX, factor_cols=("MKT",))
 
 
@@ -108,7 +110,7 @@ def _gross(p: Panel) -> performance.Performance:
 
 def _regularized(kind: str, **kw) -> Callable[[Panel], DataFrame]:
     how = rolling.RegularizedModelConfig(model_type=kind, cv_folds=3, **kw)
-    return lambda p: rolling.rolling_regularized_predictions(p.full_panel(), FEATURES, window_config=WINDOWS, model_config=how)
+    return lambda p: rolling.rolling_regularized_predictions(p.full_panel(), COLUMNS, window_config=WINDOWS, model_config=how)
 
 
 def _candidates() -> list[rolling.CandidateModel]:
@@ -117,8 +119,7 @@ def _candidates() -> list[rolling.CandidateModel]:
 
 
 def _all_models(p: Panel) -> DataFrame:
-    few = rolling.AllModels(trees=20)
-    return rolling.generate_oos_predictions_all_models(p.full_panel(), FEATURES, window_config=WINDOWS, models=few)
+    return rolling.generate_oos_predictions_all_models(p.full_panel(), COLUMNS, window_config=WINDOWS, models=rolling.AllModels(trees=100))
 
 
 def _rank_vs_raw(p: Panel) -> DataFrame:
@@ -207,19 +208,19 @@ PANEL: dict[str, Callable[[Panel], DataFrame]] = {
     "rolling_ols_2features": lambda p: linear.rolling_ols(p.model_panel(), list(MODELS), window_config=WINDOWS),
     "exposures_ff3": lambda p: exposures.compute_factor_exposures(p.returns(), p.factors(), config=EXPOSURES),
     "exposures_ff3_exact": lambda p: exposures.compute_factor_exposures(p.returns(), p.factors(), config=EXPOSURES, mode="exact"),
-    "xs_ols": lambda p: linear.cross_sectional_ols(p.full_panel(), FEATURES),
-    "xs_ols_ranks": lambda p: linear.cross_sectional_ols(p.full_panel(), FEATURES, config=linear.CrossSectionalOLSConfig(prediction_type="rank")),
-    "rolling_ols": lambda p: linear.rolling_ols(p.full_panel(), FEATURES, window_config=WINDOWS),
-    "expanding_ols": lambda p: linear.rolling_ols(p.full_panel(), FEATURES, window_config=linear.WindowConfig(TRAIN_MIN, expanding=True)),
+    "xs_ols": lambda p: linear.cross_sectional_ols(p.full_panel(), COLUMNS),
+    "xs_ols_ranks": lambda p: linear.cross_sectional_ols(p.full_panel(), COLUMNS, config=linear.CrossSectionalOLSConfig(prediction_type="rank")),
+    "rolling_ols": lambda p: linear.rolling_ols(p.full_panel(), COLUMNS, window_config=WINDOWS),
+    "expanding_ols": lambda p: linear.rolling_ols(p.full_panel(), COLUMNS, window_config=linear.WindowConfig(TRAIN_MIN, expanding=True)),
     "rolling_ridge": _regularized("ridge"),
     "rolling_lasso": _regularized("lasso"),
     "rolling_elasticnet": _regularized("elasticnet", l1_ratios=(0.5, 0.9)),
-    "rolling_forest": lambda p: rolling.rolling_oos_predictions(p.full_panel(), FEATURES, window_config=WINDOWS, model_factory=lambda: RandomForest(10, 4, 20, "sqrt")),
-    "rolling_tuning": lambda p: rolling.rolling_time_series_tuning(p.full_panel(), FEATURES, candidates=_candidates(), window_config=WINDOWS).best_models,
+    "rolling_forest": lambda p: rolling.rolling_oos_predictions(p.full_panel(), COLUMNS, window_config=WINDOWS, model_factory=lambda: RandomForest(10, 4, 20, "sqrt")),
+    "rolling_tuning": lambda p: rolling.rolling_time_series_tuning(p.full_panel(), COLUMNS, candidates=_candidates(), window_config=WINDOWS).best_models,
     "all_models_oos": _all_models,
-    "xs_forest": lambda p: tree_models.cross_sectional_random_forest(p.full_panel(), FEATURES, config=tree_models.RandomForestConfig(n_estimators=10, max_depth=4)),
-    "xs_boosting": lambda p: tree_models.cross_sectional_gradient_boosting(p.full_panel(), FEATURES, config=tree_models.GradientBoostingConfig(n_estimators=20)),
-    "bootstrap_sharpe": lambda p: inference.bootstrap_sharpe_ratio_difference(p.spreads(), model_1="momentum", model_2="value", n_bootstrap=200, random_state=123),
+    "xs_forest": lambda p: tree_models.cross_sectional_random_forest(p.full_panel(), COLUMNS),
+    "xs_boosting": lambda p: tree_models.cross_sectional_gradient_boosting(p.full_panel(), COLUMNS),
+    "bootstrap_sharpe": lambda p: inference.bootstrap_sharpe_ratio_difference(p.spreads(), model_1="momentum", model_2="value", random_state=123),
     "sharpe_table": lambda p: _report(p, "sharpe_table").drop("p_value"),
     "dm_table": lambda p: _report(p, "dm_table").drop("p_value"),
     "decile_growth": lambda p: reports.decile_cumulative_for_model(p.deciles(), model="momentum"),
