@@ -30,7 +30,7 @@ from .shared import hot_join, materialise
 class Repeats:
     """min_words: least length of a repeat. log_window: the k-grams that an anchor is chosen from, as a power of two.
 
-    large_run: suffixes of equal beginnings that one task compares.
+    large_run: documents with suffixes of equal beginnings that one task compares.
     """
 
     min_words: int = 50
@@ -83,10 +83,10 @@ def _anchor_keys(how: Repeats) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             for part in X.slices(batch.column(1)):
                 found = Anchors(part, how)
                 keys, of = found.keys.astype(np.uint64), found.doc_of(found.anchors)
-                _, once, number = np.unique(keys ^ X.mix(of.astype(np.uint64) + np.uint64(1)), return_index=True, return_counts=True)
+                _, once = np.unique(keys ^ X.mix(of.astype(np.uint64) + np.uint64(1)), return_index=True)  # a document counts once
                 rows = pa.array(of[once] + part.first)
                 own = [batch.column(i).take(rows) for i in (0, 2, 3)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[once].view(np.int64)), pa.array(number.astype(np.int64)), *own], names=["key", "places", "id", "text_a", "text_b"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[once].view(np.int64)), *own], names=["key", "id", "text_a", "text_b"])
 
     return run
 
@@ -186,7 +186,7 @@ def compare_neighbours(key: np.ndarray, doc: np.ndarray, least: np.ndarray, most
 
 
 def _spans(ids: pa.Array, places: pa.Array, flags: np.ndarray, removable: bool, how: Repeats) -> pa.RecordBatch:
-    """The covered words of each row's places."""
+    """The covered words of each row's places. What is removable is repeated too, and needs no second span for that."""
     row, first, last = runs(flags)
     number = places.value_lengths().to_numpy(zero_copy_only=False)[row]
     at = places.take(pa.array(row)).flatten().to_numpy()
@@ -210,7 +210,7 @@ def _neighbours(how: Repeats) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
         rank[-1] = len(names)  # null ids: one document, the last
         doc = rank[ids.indices.fill_null(len(names)).to_numpy(zero_copy_only=False)]
         several, later = compare_neighbours(num("key"), doc, num("least"), num("most"), _matrix(col["right"], how.min_words), _matrix(col["left"], how.window - 1), how)
-        yield _spans(col["id"], col["at"], several, False, how)
+        yield _spans(col["id"], col["at"], several & ~later, False, how)
         yield _spans(col["id"], col["at"], later, True, how)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +268,7 @@ def _members(how: Repeats) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 several, later = np.zeros((len(batch), how.window), bool), np.zeros((len(batch), how.window), bool)
                 several[row, shift] = True
                 later[row, shift] = [a != b for a, b in zip(own, keeper, strict=True)]
-                yield _spans(ids, batch.column(1), several, False, how)
+                yield _spans(ids, batch.column(1), several & ~later, False, how)
                 yield _spans(ids, batch.column(1), later, True, how)
 
     return run
@@ -332,11 +332,11 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[id_col].dataType
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("id", "text", F.xxhash64("id", "text").alias("text_a"), F.xxhash64(F.lit(1), "id", "text").alias("text_b"))
-    key_fields = [T.StructField("key", T.LongType()), T.StructField("places", T.LongType()), T.StructField("id", kind), T.StructField("text_a", T.LongType()), T.StructField("text_b", T.LongType())]
+    key_fields = [T.StructField("key", T.LongType()), T.StructField("id", kind), T.StructField("text_a", T.LongType()), T.StructField("text_b", T.LongType())]
     keys = materialise(read.mapInArrow(_anchor_keys(how), T.StructType(key_fields)), "suffix-keys")
     document = F.struct(F.col("id").isNull().alias("none"), "id")
-    shared = keys.groupBy("key").agg(F.sum("places").alias("n"), F.count("*").alias("uses"), F.min(document).alias("low"), F.max(document).alias("high"))
-    shared = materialise(shared.filter("NOT (low <=> high)").select("key", "n", "uses"), "suffix-shared")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(document).alias("low"), F.max(document).alias("high"))
+    shared = materialise(shared.filter("NOT (low <=> high)").select("key", "n", F.col("n").alias("uses")), "suffix-shared")
     # Keys are gathered by text, not by id, so that a list is bounded by a text, and rows without id have lists of their own.
     wanted = hot_join(keys, shared, ["key"], "uses").filter("n IS NOT NULL").groupBy("text_a", "text_b").agg(F.collect_set(F.struct("key", "n")).alias("keys"))
     texts = read.join(wanted, ["text_a", "text_b"]).select("id", "text", "keys")
