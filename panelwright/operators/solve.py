@@ -62,10 +62,11 @@ def solved(k: int) -> Column:
     return coefficients(F.array(*(F.col(f"s_{i}_{j}") for i, j in pairs(k + 1))))
 
 
-def fitted(coefficients: str, features: Sequence[str]) -> Column:
-    out = F.col(coefficients)[0]
+def fitted(coefficients: str | Column, features: Sequence[str]) -> Column:
+    b = F.col(coefficients) if isinstance(coefficients, str) else coefficients
+    out = b[0]
     for i, c in enumerate(features):
-        out = out + F.col(coefficients)[i + 1] * F.col(c)
+        out = out + b[i + 1] * F.col(c)
     return out
 
 

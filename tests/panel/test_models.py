@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelwright.operators import linear, ranking, rolling, tree_models
 from panelwright.operators.trees import RegressionTree
@@ -87,6 +88,32 @@ def test_regularized(spark, kind):
     assert series(got, "prediction") == pytest.approx(want, rel=1e-3)
 
 
+@pytest.mark.parametrize("kind", ["ridge", "lasso", "elasticnet"])
+@pytest.mark.parametrize("expanding", [False, True])
+def test_regularized_from_sums_is_regularized_from_rows(spark, kind, expanding):
+    """Edges of folds inside tickers, holes, a constant column, and values far from zero."""
+    cols = ["x0", "x1", "x2", "same", "far"]
+    panel = random_panel(spark, seed=5, tickers=11, months=14, holes=0.15)
+    panel = panel.withColumn("same", F.lit(3.7)).withColumn("far", 1000 + F.crc32("ticker") % 7 + F.month("date"))
+    how = rolling.RegularizedModelConfig(model_type=kind, alphas=(0.001, 0.01, 0.1, 1.0), l1_ratios=(0.3, 0.9) if kind == "elasticnet" else None, cv_folds=5)
+    windows = linear.WindowConfig(2, 6, expanding=expanding)
+    got = series(rolling.rolling_regularized_predictions(panel, cols, window_config=windows, model_config=how), "prediction")
+    want = series(rolling.rolling_models(panel, cols, {"prediction": lambda: rolling.Regularized(how)}, window_config=windows), "prediction")
+    assert len(want) > 60 and got == pytest.approx(want, rel=1e-8, abs=1e-8)
+
+
+def test_fold_sums_of_small_windows(spark):
+    """Fewer rows than folds, tickers that are numbers or null, no rows at all."""
+    panel = rows(spark, {"x": [1, 2, None, 4, 3, None], "next_return": [1, 3, 2, 5, None, 2]}, tickers=["A", "B"], months=3)
+    windows, how = linear.WindowConfig(1, 1), rolling.RegularizedModelConfig(alphas=(0.1,), cv_folds=5)
+    numbered = panel.select(F.when(F.col("ticker") == "B", F.lit(2)).alias("ticker"), "date", "x", "next_return")
+    for frame in (panel, numbered):
+        got = series(rolling.rolling_regularized_predictions(frame, ["x"], window_config=windows, model_config=how), "prediction")
+        want = series(rolling.rolling_models(frame, ["x"], {"prediction": lambda: rolling.Regularized(how)}, window_config=windows), "prediction")
+        assert got and got == pytest.approx(want)
+    assert rolling.rolling_regularized_predictions(panel.limit(0), ["x"], window_config=windows).count() == 0
+
+
 def test_regularized_is_the_penalised_optimum():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(80, 4))
