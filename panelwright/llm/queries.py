@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_tools, compression_rules, decontaminate, license_scan, mixing, secret_scan, simhash_dedup, suffix_dedup, token_counts, warc
+from . import centroids, chat_tools, compression_rules, decontaminate, license_scan, mixing, personal_data, resampling, secret_scan, simhash_dedup, suffix_dedup, token_counts, warc
 from .license_texts import SPELLINGS, TEXTS
 from .shared import exists, fresh_path
 
@@ -90,6 +90,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(table(spark, sf_dir, "pages"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base = F.filter("spans", lambda s: s["base"])
+    counted = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(counted) - F.size(F.array_remove(counted, k))).cast("long").alias(f"n_{k}") for k in personal_data.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(personal_data.spans_text(base), 256).alias("base_sha256"), personal_data.spans_text(F.col("spans")).alias("spans"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_token_counts": op2_token_counts,
@@ -101,6 +118,9 @@ QUERIES: dict[str, Query] = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_warc": op10_warc,
+    "op11_resample": op11_resample,
+    "op12_personal_data": op12_personal_data,
+    "op13_centroids": op13_centroids,
 }
 
 OP3_SQL = r"""
@@ -220,4 +240,70 @@ SELECT doc_id, digest, licence, coalesce(notices, '') AS notices FROM texts LEFT
 """
 
 
-ORACLES: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op4_chat_tools": OP4_SQL, "op6_mix_sources": OP6_SQL, "op9_license_scan": op9_sql()}
+def op11_sql(how: resampling.Draw = resampling.Draw()) -> str:
+    """The checksum of a feature is folded over its bytes with the table that the polynomial gives."""
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH RECURSIVE steps(b, k, c) AS (
+  SELECT b, 0, b FROM range(256) AS t(b)
+  UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8),
+step AS MATERIALIZED (SELECT list(c ORDER BY b) AS t FROM steps WHERE k = 8),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+b AS MATERIALIZED (SELECT {words} AS w FROM benchmark),
+of_d AS MATERIALIZED (SELECT r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM d),
+of_b AS MATERIALIZED (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM b),
+names AS (SELECT DISTINCT f FROM (SELECT f FROM of_d UNION ALL SELECT f FROM of_b)),
+hexed AS (SELECT f, hex(encode(f)) AS h FROM names),
+bytes AS (SELECT f, list_transform(range(len(h) // 2), lambda i: CAST('0x' || h[2 * i + 1 : 2 * i + 2] AS BIGINT)) AS bs FROM hexed),
+crcs AS (SELECT f, list_reduce(bs, lambda c, x: xor(t[CAST(xor(c, x) & 255 AS BIGINT) + 1], c >> 8), CAST(4294967295 AS BIGINT)) AS c FROM bytes, step),
+places AS MATERIALIZED (SELECT f, xor(c, 4294967295) % {how.buckets} AS bucket FROM crcs),
+s AS (SELECT bucket, count(*) AS n FROM of_d JOIN places USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM of_b JOIN places USING (f) GROUP BY bucket),
+totals AS (SELECT CAST((SELECT count(*) FROM of_d) AS DOUBLE) + {how.buckets} AS s_all, CAST((SELECT count(*) FROM of_b) AS DOUBLE) + {how.buckets} AS t_all),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + CAST(1 AS DOUBLE)) * s_all / ((s.n + CAST(1 AS DOUBLE)) * t_all))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket), totals),
+sums AS (SELECT r, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS total FROM of_d JOIN places USING (f) JOIN gains USING (bucket) GROUP BY r),
+weighed AS (
+  SELECT r, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features,
+         coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS weight,
+         CAST('0x' || substr(sha256('{how.seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM d LEFT JOIN sums USING (r)),
+scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM weighed),
+ranked AS (
+  SELECT *, n_words >= {how.min_words} AS eligible,
+         row_number() OVER (PARTITION BY n_words >= {how.min_words} ORDER BY score DESC, doc_id NULLS LAST, n_features, n_words) AS place,
+         count(*) FILTER (WHERE n_words >= {how.min_words}) OVER () * {how.percent} // 100 AS draws
+  FROM scored)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+       CASE WHEN eligible AND place <= draws THEN CAST(place AS BIGINT) END AS rank
+FROM ranked
+"""
+
+
+def op13_sql(how: centroids.Clustering = centroids.Clustering()) -> str:
+    """The rounds one after another; components, centroids and distances as rows."""
+    assign = lambda k: f"""
+a{k} AS MATERIALIZED (
+  SELECT r, arg_min(c, far * {how.k} + c) AS c, min(far) AS far
+  FROM (SELECT v.r, m.c, CAST(sum((v.x - m.x) * (v.x - m.x)) AS BIGINT) AS far FROM v JOIN c{k} m USING (d) GROUP BY v.r, m.c) GROUP BY r)"""
+    move = lambda k: f"""
+c{k + 1} AS MATERIALIZED (
+  SELECT m.c, m.d, coalesce((s - ((s % n) + n) % n) // n, m.x) AS x
+  FROM c{k} m LEFT JOIN (SELECT a.c, v.d, CAST(sum(v.x) AS BIGINT) AS s, count(*) AS n FROM v JOIN a{k} a USING (r) GROUP BY a.c, v.d) USING (c, d))"""
+    rounds = ",".join(f"{assign(k)},{move(k)}" for k in range(how.rounds))
+    last = how.rounds
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({how.scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {how.dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT r, unnest(range({how.dims})) AS d, unnest(v) AS x FROM kept),
+firsts AS (SELECT r, row_number() OVER (ORDER BY sha256('{how.seed}:' || coalesce(CAST(vec_id AS VARCHAR), '')), vec_id NULLS LAST, v) - 1 AS c FROM kept),
+c0 AS MATERIALIZED (SELECT c, d, x FROM firsts JOIN v USING (r) WHERE c < {how.k}),{rounds},{assign(last)},
+digests AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c{last} GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, far AS distance, CAST(sum(far) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(far) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM kept JOIN a{last} USING (r) JOIN digests USING (c)
+"""
+
+
+ORACLES: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op4_chat_tools": OP4_SQL, "op6_mix_sources": OP6_SQL, "op9_license_scan": op9_sql(), "op11_resample": op11_sql(), "op13_centroids": op13_sql()}
