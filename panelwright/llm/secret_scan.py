@@ -38,11 +38,19 @@ DICTIONARY = tuple(
     "able about access account action add address after all also and any app apply area array auth back base before best block board body book both box branch build button by cache call can case cell change check child city class clear click client close cloud code color column com come commit common config connect content copy core count create data date day default delete demo detail dev device dir document down draft edit email end engine error event example export feature field file filter find first folder font for form format from full function game general get global group guide has head help here high history home host how icon image import index info input install item job json key kind label large last layer left level library license light line link list load local location lock log login long loop main make manager map mark master match menu message meta method mode model module month more most move music name native network never next node not note number object of off old one open option order out output owner page part password path pattern phone place plan point post power press preview price private process product profile project public query question random read real record region release remote report request reset result right role room root route row rule run sample save scale schema screen script search section secret select self send server service session set shape share short show side simple site size small some sort source space stack start state static status step stop store stream string style sub super support switch system table tag target task team template test text than that the theme this thread time title token tool top total track tree true type under unit update url use user util value version video view web week wide width window with word work world write year your zone".split()
 )
 _WORDS = re.compile(rb"[A-Za-z_][A-Za-z_0-9-]*")
-_ASSIGNED = re.compile(rb"[ \t]*[:=][ \t]*[\"']?([^\s\"'<>;,()]{%d,})" % MIN_ASSIGNED)
-_NAME_BEFORE = re.compile(rb"(?i)(?:%s)[\"']?$" % b"|".join(re.escape(n.encode()) for n in SECRET_NAMES))
+#: What is assigned: between quotes of one line, or up to white space or punctuation.
+_ASSIGNED = re.compile(rb"[ \t]*[:=][ \t]*(?:\"([^\"\n]{%d,})\"|'([^'\n]{%d,})'|[\"']?([^\s\"'<>;,()]{%d,}))" % (MIN_ASSIGNED, MIN_ASSIGNED, MIN_ASSIGNED))
+_NAMES = tuple(n.encode() for n in SECRET_NAMES)
+#: What a name, with or without a quote and blanks after it, ends in.
+_NAME_END = X.byte_table((string.ascii_letters + "\"' \t").encode())
 #: A block up to its end line, or as far as its lines look like a key's: headers, then base64.
 _PRIVATE_KEY = re.compile(rb"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:[ \t\r]*\n[ \t]*(?:(?:Proc-Type|DEK-Info): [^\n]*|[A-Za-z0-9+/=]*)(?=[ \t\r]*(?:\n|$)))*(?:[ \t\r]*\n?[ \t]*[A-Za-z0-9+/= \\n]*-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----)?")
-_ADDRESS_PASSWORD = re.compile(rb"://[^\s/:@]{0,128}:([^\s/:@]{4,})@")
+_ADDRESS_PASSWORD = re.compile(rb"://[^\s/:@]*+:([^\s/:@]{4,}+)@")
+
+
+def _named(before: bytes) -> bool:
+    """Does a secret's name stand at the end, with or without a quote after it?"""
+    return (before[:-1] if before[-1:] in (b'"', b"'") else before).lower().endswith(_NAMES)
 
 
 def candidates(part: X.Slice) -> list[list[tuple[int, int, str]]]:
@@ -57,22 +65,22 @@ def candidates(part: X.Slice) -> list[list[tuple[int, int, str]]]:
     for i in np.flatnonzero((ends - starts >= MIN_RUN) & ((digit > 0) | cased)):
         start, end = int(starts[i]), int(ends[i])
         name = raw[start:end].find(b"=")
-        if 0 < name < end - start - MIN_ASSIGNED and _NAME_BEFORE.search(raw[start : start + name]):
+        if 0 < name < end - start - MIN_ASSIGNED and _named(raw[max(start, start + name - 40) : start + name]):
             start += name + 1  # NAME=value without a space
         while end > start and raw[end - 1 : end] == b".":
             end -= 1
         if end - start >= MIN_ASSIGNED:
             found.append((start, end, "run"))
-    for at in np.flatnonzero((data == 61) | (data == 58)):
-        at = int(at)
+    reach = -1
+    signs = np.flatnonzero((data == 61) | (data == 58))
+    for at in signs[_NAME_END[data[signs - 1]] & (signs > 0)].tolist():
+        if at < reach:
+            continue  # inside what is assigned already
         doc = int(np.searchsorted(bounds, at, side="right")) - 1
         first, last = int(bounds[doc]), int(bounds[doc + 1])
-        if _NAME_BEFORE.search(raw[max(first, at - 40) : at].rstrip(b" \t")) and (m := _ASSIGNED.match(raw[at:last] if last - at < 4096 else raw[at : at + 4096])):
-            end = at + m.end(1)
-            if end == at + 4096:  # goes on beyond what was looked at
-                m = _ASSIGNED.match(raw[at:last])
-                end = at + m.end(1)
-            found.append((at + m.start(1), end, "assigned"))
+        if _named(raw[max(first, at - 40) : at].rstrip(b" \t")) and (m := _ASSIGNED.match(raw, at, last)):
+            reach = m.end(m.lastindex)
+            found.append((m.start(m.lastindex), reach, "assigned"))
     if b"://" in raw:
         for doc in range(len(part)):
             for m in _ADDRESS_PASSWORD.finditer(raw, bounds[doc], bounds[doc + 1]):
@@ -103,58 +111,69 @@ class Lexicon:
         letters = string.ascii_lowercase
         self.pairs = {(a + b).encode(): math.log((counts[(a + b).encode()] + 1) / total) for a in letters for b in letters}
         self.rare = min(self.pairs.values()) - 1
+        self.table = np.array([self.pairs[(a + b).encode()] for a in letters for b in letters])
+        self.beginnings = {w[:3] for w in self.words}
 
 
 def corpus_words(docs: DataFrame, *, text_col: str = "text", size: int = 20_000, least: int = 3) -> list[str]:
     """The words of 4 to 20 letters a-z that most documents have, `size` of them at most, each in `least` or more.
 
-    Documents are counted over the whole corpus. Words are taken by steps of a sixteenth of a doubling of that count, as
-    many whole steps as size allows, so that the driver gets a row for each step and then the words of this list alone.
-    Null and empty texts have no words, repeated rows count again, an empty table has none.
+    Documents are counted over the whole corpus. Words are taken by steps of a sixteenth of a doubling of that count; of
+    the step that goes beyond size, the words with the highest counts, of equal ones those with the smallest digests. The
+    driver gets a row for each step and then the words of this list alone. Null and empty texts have no words, repeated
+    rows count again, an empty table has none.
     """
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"(?<![a-z0-9_])([a-z]{4,20})(?![a-z0-9_])"), F.lit(1)))).alias("word"))
     counted = words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     common = materialise(counted.withColumn("step", F.floor(16 * F.log2("n")).cast("int")), "corpus-words")
-    taken, lowest = 0, None
+    taken, lowest, part = 0, None, None
     for r in common.groupBy("step").agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
-        taken += r.words
-        if taken > size:
+        if taken + r.words > size:
+            part = r.step
             break
-        lowest = r.step
-    if lowest is None:
-        return []
-    return [r.word for r in sorted(common.filter(F.col("step") >= lowest).collect(), key=lambda r: (-r.n, r.word))]
+        taken, lowest = taken + r.words, r.step
+    rows = common.filter(F.col("step") >= lowest).collect() if lowest is not None else []
+    if part is not None and taken < size:
+        rows += common.filter(F.col("step") == part).orderBy(F.desc("n"), F.xxhash64("word"), "word").limit(size - taken).collect()
+    return [r.word for r in sorted(rows, key=lambda r: (-r.n, r.word))]
 
 
 _CLASSES = bytes(1 if chr(i).isdigit() else 2 if 97 <= i <= 122 else 3 if 65 <= i <= 90 else 4 for i in range(256))
-FEATURES = ("length", "digits", "uppers", "hex", "entropy", "transitions", "pairs", "coverage", "path", "secret_near", "harmless_near", "largest_share", "quoted", "assigned", "dashes", "capitals", "address")
+_LOWERED = np.frombuffer(bytes(i - 97 if 97 <= i <= 122 else 26 for i in range(256)), np.uint8).astype(np.int64)
+#: Words of a value that only says where a secret would go.
+PLACEHOLDERS = frozenset("your my the a an please enter insert here example sample changeme change placeholder replace is not none null empty required optional must should invalid wrong forgot reset asked for".split())
+FEATURES = ("length", "digits", "uppers", "hex", "entropy", "transitions", "pairs", "coverage", "path", "secret_near", "harmless_near", "largest_share", "quoted", "assigned", "dashes", "capitals", "address", "blanks", "placeholders")
 
 
 def features(before: bytes, token: bytes, after: bytes, lexicon: Lexicon) -> list[float]:
     n = max(1, len(token))
     low = token.lower()
-    kinds = token.translate(_CLASSES)
-    counts = [token.count(c) for c in set(token)]
-    letters = [low[i : i + 2] for i in range(len(low) - 1) if low[i : i + 2].isalpha()]
+    kinds = np.frombuffer(token.translate(_CLASSES), np.uint8)
+    counts = [c for c in np.bincount(np.frombuffer(token, np.uint8), minlength=256).tolist() if c]
+    codes = _LOWERED[np.frombuffer(low, np.uint8)]
+    letters = (codes[:-1] < 26) & (codes[1:] < 26)
+    pairs = lexicon.table[codes[:-1][letters] * 26 + codes[1:][letters]]
     covered, i = 0, 0
     while i < len(low):
-        size = next((k for k in range(min(lexicon.longest, len(low) - i), 2, -1) if low[i : i + k] in lexicon.words), 0)
+        size = 0
+        if low[i : i + 3] in lexicon.beginnings:
+            size = next((k for k in range(min(lexicon.longest, len(low) - i), 2, -1) if low[i : i + k] in lexicon.words), 0)
         covered += size
         i += size or 1
     near = [w.lower().decode() for w in _WORDS.findall(before)[-4:]]
     parts = {p for w in near for p in re.split(r"[_-]", w)} | set(near)
     return [
-        min(n, 400), sum(k == 1 for k in kinds) / n, sum(k == 3 for k in kinds) / n, float(all(c in b"0123456789abcdefABCDEF" for c in token)),
-        -sum(c / n * math.log2(c / n) for c in counts), sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n,
-        sum(lexicon.pairs.get(p, lexicon.rare) for p in letters) / len(letters) if letters else lexicon.rare, covered / n,
+        min(n, 400), float((kinds == 1).sum()) / n, float((kinds == 3).sum()) / n, float(not token.strip(b"0123456789abcdefABCDEF")),
+        -sum(c / n * math.log2(c / n) for c in counts), float((kinds[1:] != kinds[:-1]).sum()) / n,
+        float(pairs.mean()) if len(pairs) else lexicon.rare, covered / n,
         float(token.count(b"/") + (b"://" in before[-12:]) + before.endswith((b"/", b"\\")) + bool(re.search(rb"\.[a-z]{2,4}$", token))),
         float(any(s in parts or s in near for s in SECRET_NAMES)), float(any(h in parts for h in HARMLESS_NAMES)), max(counts, default=0) / n,
         float(before.endswith((b'"', b"'")) and after.startswith((b'"', b"'"))), float(bool(re.search(rb"[:=][ \t]*[\"']?$", before))), float(token.count(b"-")),
-        float(token.isupper()), float(bool(re.search(rb"://[^\s/:@]*:$", before)) and after.startswith(b"@")),
+        float(token.isupper()), float(before.endswith(b":") and after.startswith(b"@")), float(token.count(b" ")), float(sum(w.lower().decode() in PLACEHOLDERS for w in _WORDS.findall(token[:400]))),
     ]
 
 
-def labelled_findings(n: int = 6000, seed: int = 11) -> list[tuple[bytes, bytes, bytes, int]]:
+def labelled_findings(n: int = 9000, seed: int = 11) -> list[tuple[bytes, bytes, bytes, int]]:
     """Made findings (before, candidate, after, is a secret), half of them secrets; the same for the same arguments."""
     rng = random.Random(seed)
     some = lambda chars, k: "".join(rng.choices(chars, k=k))
@@ -162,17 +181,21 @@ def labelled_findings(n: int = 6000, seed: int = 11) -> list[tuple[bytes, bytes,
     hexes, alnum = "0123456789abcdef", string.ascii_letters + string.digits
     prose = lambda: " ".join(word() for _ in range(rng.randint(0, 5)))
     b64 = lambda k: base64.b64encode(rng.randbytes(k)).decode()
+    made = lambda: "".join(rng.choice(["ba", "co", "di", "fe", "gu", "ha", "lo", "ma", "ni", "or", "pe", "ri", "st", "ta", "un"]) for _ in range(rng.randint(2, 4)))
     uuid = lambda: "-".join(some(hexes, k) for k in (8, 4, 4, 4, 12))
 
     def secret() -> tuple[str, str, str]:
-        kind = rng.randrange(10)
+        kind = rng.randrange(11)
         name = rng.choice(["token", "secret", "password", "api_key", "API_KEY", "auth_token", "client_secret", "access_key", "Authorization: Bearer", "PRIVATE_TOKEN", "db_password", "passwd"])
         token = [
             lambda: some(hexes, rng.choice([32, 40, 64])), lambda: b64(rng.randint(15, 48)), lambda: rng.choice(["AKIA", "ASIA"]) + some(string.ascii_uppercase + "234567" * rng.randint(0, 1), 16),
             lambda: rng.choice(["ghp_", "sk_live_", "xoxb-", "glpat-"]) + some(alnum, rng.randint(20, 40)), lambda: some(alnum + "!@#$%^&*", rng.randint(10, 24)),
             lambda: some(alnum, rng.randint(20, 64)), lambda: f"eyJ{b64(rng.randint(15, 36))}.{b64(rng.randint(30, 180))}.{b64(rng.choice([24, 32, 64]))}".replace("=", ""), lambda: some(string.ascii_letters, rng.randint(18, 40)),
-            lambda: some(alnum + "!$%_-.", rng.randint(6, 20)), lambda: some(alnum + "!$%_-.", rng.randint(6, 12)),
+            lambda: some(alnum + "!$%_-.", rng.randint(6, 20)), lambda: some(alnum + "!$%_-.", rng.randint(6, 12)), lambda: " ".join(made() if rng.random() < 0.6 else word() for _ in range(rng.randint(3, 6))),
         ][kind]()
+        if kind == 10:
+            quote = rng.choice(['"', "'"])
+            return f"{prose()} {rng.choice(['password', 'passphrase', 'passwd', 'pwd', 'secret', 'db_password', 'PASSPHRASE'])}{rng.choice([' = ', '=', ': '])}{quote}", token, f"{quote} {prose()}"
         if kind == 8:
             return f"{prose()} {rng.choice(['postgres', 'https', 'redis', 'mongodb', 'ftp'])}://{word()}:", token, f"@{word()}.{word()}.com/{word()}"[:8]
         if kind in (2, 3, 6) and rng.random() < 0.5:
@@ -181,7 +204,11 @@ def labelled_findings(n: int = 6000, seed: int = 11) -> list[tuple[bytes, bytes,
         return f"{prose()} {name}{rng.choice([' = ', '=', ': ', ' : '])}{quote}", token, f"{quote} {prose()}"
 
     def harmless() -> tuple[str, str, str]:
-        kind = rng.randrange(12)
+        kind = rng.randrange(13)
+        if kind == 12:
+            quote = rng.choice(['"', "'"])
+            said = [rng.choice(["enter", "your", "the", "please", "insert", "a", "change", "is", "must", "not", "invalid", "wrong", "forgot"]) for _ in range(rng.randint(1, 3))]
+            return f"{prose()} {rng.choice(['password', 'token', 'secret', 'auth', 'api_key', 'passphrase'])}{rng.choice([': ', ' = ', '='])}{quote}", " ".join([*said, *(word() for _ in range(rng.randint(1, 3))), *rng.choice([[], ["here"], ["required"]])]), f"{quote} {prose()}"
         if kind == 0:
             return f"{prose()} {rng.choice(['commit', 'sha1:', 'md5 =', 'checksum:', 'revision', 'etag: ', 'hash ='])} ", some(hexes, rng.choice([32, 40, 64])), f" {prose()}"
         if kind == 1:
@@ -220,7 +247,10 @@ class SecretModel:
     threshold: float = 0.5
 
     def scores(self, findings: list[tuple[bytes, bytes, bytes]]) -> np.ndarray:
-        return self.forest.predict(np.array([features(*f, self.lexicon) for f in findings])) if findings else np.zeros(0)
+        """Findings that are equal in what is looked at are looked at once."""
+        place: dict[tuple[bytes, bytes, bytes], int] = {}
+        which = [place.setdefault(f, len(place)) for f in findings]
+        return self.forest.predict(np.array([features(*f, self.lexicon) for f in place]))[which] if findings else np.zeros(0)
 
 
 def train(findings: list[tuple[bytes, bytes, bytes, int]] | None = None, *, words: Iterable[str] = (), trees: int = 40, max_findings: int = 20_000, seed: int = 7) -> SecretModel:

@@ -30,7 +30,7 @@ from .shared import hot_join, materialise
 class Repeats:
     """min_words: least length of a repeat. log_window: the k-grams that an anchor is chosen from, as a power of two.
 
-    large_run: documents with suffixes of equal beginnings that one task compares.
+    large_run: suffixes of equal beginnings that one task compares.
     """
 
     min_words: int = 50
@@ -83,10 +83,10 @@ def _anchor_keys(how: Repeats) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             for part in X.slices(batch.column(1)):
                 found = Anchors(part, how)
                 keys, of = found.keys.astype(np.uint64), found.doc_of(found.anchors)
-                _, once = np.unique(keys ^ X.mix(of.astype(np.uint64) + np.uint64(1)), return_index=True)  # a document counts once
+                _, once, places = np.unique(keys ^ X.mix(of.astype(np.uint64) + np.uint64(1)), return_index=True, return_counts=True)  # a row for each document
                 rows = pa.array(of[once] + part.first)
                 own = [batch.column(i).take(rows) for i in (0, 2, 3)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[once].view(np.int64)), *own], names=["key", "id", "text_a", "text_b"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[once].view(np.int64)), *own, pa.array(places.astype(np.int64))], names=["key", "id", "text_a", "text_b", "places"])
 
     return run
 
@@ -203,12 +203,14 @@ def _neighbours(how: Repeats) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             return
         col = {n: rows.column(n).chunk(0) for n in rows.column_names}
         num = lambda n: col[n].to_numpy(zero_copy_only=False)
-        ids = col["id"].dictionary_encode()
+        ids = col["id"].field("id").dictionary_encode()
         names = ids.dictionary.to_pylist()
         rank = np.empty(len(names) + 1, np.int64)
         rank[sorted(range(len(names)), key=lambda i: names[i])] = np.arange(len(names))
-        rank[-1] = len(names)  # null ids: one document, the last
-        doc = rank[ids.indices.fill_null(len(names)).to_numpy(zero_copy_only=False)]
+        rank[-1] = len(names)  # null ids are the last
+        rank = rank[ids.indices.fill_null(len(names)).to_numpy(zero_copy_only=False)]
+        digests = [col["id"].field(n).to_numpy(zero_copy_only=False) for n in ("text_a", "text_b")]
+        doc = np.unique(np.column_stack([rank, *digests]), axis=0, return_inverse=True)[1].reshape(-1)
         several, later = compare_neighbours(num("key"), doc, num("least"), num("most"), _matrix(col["right"], how.min_words), _matrix(col["left"], how.window - 1), how)
         yield _spans(col["id"], col["at"], several & ~later, False, how)
         yield _spans(col["id"], col["at"], later, True, how)
@@ -281,13 +283,11 @@ def _large_runs(large: DataFrame, kind: T.DataType, found: T.StructType, how: Re
     kind's repeated windows, at most `window` of them, then go to each of its members.
     """
     named = large.withColumn("kind", F.xxhash64("right", "left", "least", "most"))
-    document = F.struct(F.col("id").isNull().alias("none"), "id")
-    kinds = named.groupBy("key", "kind").agg(*(F.first(c).alias(c) for c in ("right", "left", "least", "most")), F.min(document).alias("low"), F.max(document).alias("high"))
-    pair = T.StructType([T.StructField("none", T.BooleanType()), T.StructField("id", kind)])
-    fields = [T.StructField(c, T.LongType()) for c in ("digest", "key", "kind")] + [T.StructField("low", pair), T.StructField("high", pair), T.StructField("shift", T.IntegerType())]
+    kinds = named.groupBy("key", "kind").agg(*(F.first(c).alias(c) for c in ("right", "left", "least", "most")), F.min("id").alias("low"), F.max("id").alias("high"))
+    fields = [T.StructField(c, T.LongType()) for c in ("digest", "key", "kind")] + [T.StructField("low", kind), T.StructField("high", kind), T.StructField("shift", T.IntegerType())]
     windows = materialise(kinds.mapInArrow(_windows(how), T.StructType(fields)), "suffix-windows")
     often = windows.groupBy("digest").agg(F.min("low").alias("keeper"), F.max("high").alias("last")).filter("NOT (keeper <=> last)").select("digest", "keeper")
-    met = windows.join(often, "digest").groupBy("key", "kind").agg(F.collect_list(F.struct("shift", F.col("keeper.id").alias("keeper"))).alias("met"))
+    met = windows.join(often, "digest").groupBy("key", "kind").agg(F.collect_list(F.struct("shift", "keeper")).alias("met"))
     sizes = named.groupBy("key", "kind").agg(F.count("*").alias("members"))
     met = materialise(met.join(sizes, ["key", "kind"]), "suffix-met")
     return hot_join(named.select("key", "kind", "id", "at"), met, ["key", "kind"], "members").filter("met IS NOT NULL").select("id", "at", "met").mapInArrow(_members(how), found)
@@ -324,19 +324,20 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     id, n_repeated and n_removable (words), repeated and removable (spans of word numbers, end excluded). Words are split
     at ASCII white space, A-Z lowered. Of each repeated window the document with the smallest id keeps it; elsewhere it is
-    removable. Documents without a repeat, null and short texts give no row; an empty table gives an empty one. Rows with
-    equal ids are one document, as are all rows without id. Repeats within one document alone don't count. Only the two
-    named columns are read.
+    removable. Documents without a repeat, null and short texts give no row; an empty table gives an empty one. Rows equal in
+    id and text are one document; different texts under one id, or without any, are documents of their own, each with its
+    own row, kept in the order of their digests. Repeats within one document alone don't count. Only the two named columns
+    are read.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kind = docs.schema[id_col].dataType
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("id", "text", F.xxhash64("id", "text").alias("text_a"), F.xxhash64(F.lit(1), "id", "text").alias("text_b"))
-    key_fields = [T.StructField("key", T.LongType()), T.StructField("id", kind), T.StructField("text_a", T.LongType()), T.StructField("text_b", T.LongType())]
+    read = read.withColumn("id", F.struct(F.col("id").isNull().alias("none"), "id", "text_a", "text_b"))  # a document
+    kind = read.schema["id"].dataType
+    key_fields = [T.StructField("key", T.LongType()), T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in ("text_a", "text_b", "places"))]
     keys = materialise(read.mapInArrow(_anchor_keys(how), T.StructType(key_fields)), "suffix-keys")
-    document = F.struct(F.col("id").isNull().alias("none"), "id")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(document).alias("low"), F.max(document).alias("high"))
-    shared = materialise(shared.filter("NOT (low <=> high)").select("key", "n", F.col("n").alias("uses")), "suffix-shared")
+    shared = keys.groupBy("key").agg(F.sum("places").alias("n"), F.count("*").alias("uses"), F.min("id").alias("low"), F.max("id").alias("high"))
+    shared = materialise(shared.filter("NOT (low <=> high)").select("key", "n", "uses"), "suffix-shared")
     # Keys are gathered by text, not by id, so that a list is bounded by a text, and rows without id have lists of their own.
     wanted = hot_join(keys, shared, ["key"], "uses").filter("n IS NOT NULL").groupBy("text_a", "text_b").agg(F.collect_set(F.struct("key", "n")).alias("keys"))
     texts = read.join(wanted, ["text_a", "text_b"]).select("id", "text", "keys")
@@ -348,4 +349,4 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     met = _large_runs(suffixes.filter(F.col("n") > how.large_run), kind, found, how)
     spans = small.unionByName(met).groupBy("id").agg(F.collect_set(F.struct("start", "end", "removable")).alias("spans"))
     counts = [T.StructField(n, T.LongType()) for n in ("n_repeated", "n_removable")]
-    return spans.withColumnRenamed("id", id_col).mapInArrow(_merge, T.StructType([T.StructField(id_col, kind), *counts, T.StructField("repeated", SPANS), T.StructField("removable", SPANS)]))
+    return spans.select(F.col("id.id").alias(id_col), "spans").mapInArrow(_merge, T.StructType([docs.schema[id_col], *counts, T.StructField("repeated", SPANS), T.StructField("removable", SPANS)]))

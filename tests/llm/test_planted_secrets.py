@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import random
 import string
+import time
 import uuid
 
 import pyarrow as pa
@@ -70,3 +71,33 @@ def test_words_of_the_corpus(spark):
     docs = spark.createDataFrame([("alpha beta Alpha x1alpha",), ("alpha gamma",), ("ALPHA gamma beta",), (None,), ("",)], "text string").repartition(3)
     assert secret_scan.corpus_words(docs, least=2) == ["alpha", "beta", "gamma"]
     assert secret_scan.corpus_words(docs, least=1, size=1) == ["alpha"] and secret_scan.corpus_words(docs.limit(0)) == []
+
+
+def spans(text, model=None):
+    _, found = secret_scan.judged(next(X.slices(pa.array([text]))), model or secret_scan.train())
+    return [text.encode()[s["start"] : s["end"]].decode() for s in found[0]]
+
+
+@pytest.mark.parametrize("text", ["token=" * 900_000, "password: " * 500_000, "token='" * 700_000, "://a" * 1_200_000, "://" + "u" * 5_000_000, "secret = \"" * 500_000, "=" * 5_000_000])
+def test_five_megabytes_in_seconds(text):
+    model = secret_scan.train(trees=3)
+    began = time.perf_counter()
+    secret_scan.judged(next(X.slices(pa.array([text]))), model)
+    assert time.perf_counter() - began < 30
+
+
+def test_long_user_names_and_quoted_phrases_are_masked_whole():
+    model = secret_scan.train()
+    assert spans(f"see postgres://{'u' * 300}:xK9$wq72Lm@db.host/x now", model) == ["xK9$wq72Lm"]
+    assert spans("set password='correct horse battery staple' then", model) == ["correct horse battery staple"]
+    assert spans('passphrase = "orbit lantern velvet 92 thunder"', model) == ["orbit lantern velvet 92 thunder"]
+    assert spans('password = "enter your password here"; token: "please insert a token"', model) == []
+
+
+def test_part_of_a_step_of_words(spark):
+    docs = spark.createDataFrame([("alpha beta gamma delta epsilon zeta",)] * 5, "text string")
+    assert len(secret_scan.corpus_words(docs, size=6)) == 6
+    five = secret_scan.corpus_words(docs, size=5)
+    assert len(five) == 5 and five == secret_scan.corpus_words(docs.repartition(4), size=5)
+    more = docs.union(spark.createDataFrame([("omega",)] * 40, "text string"))
+    assert "omega" in secret_scan.corpus_words(more, size=3) and len(secret_scan.corpus_words(more, size=3)) == 3

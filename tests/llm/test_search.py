@@ -66,6 +66,18 @@ def test_repeated_passages(spark, large_run):
     assert all(r.n_repeated == sum(s.end - s.start for s in r.repeated) for r in found)
 
 
+@pytest.mark.parametrize("large_run", [1, 5000])
+def test_texts_that_share_an_id_are_documents_of_their_own(spark, large_run):
+    rng = random.Random(8)
+    a, b = prose(rng, 60), prose(rng, 70)
+    rows = [(None, a), (None, b), (7, a + " x"), (7, b), (7, b), (9, "short " * 9)]
+    how = suffix_dedup.Repeats(large_run=large_run)
+    found = suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), how=how).collect()
+    got = sorted((r.doc_id or 0, [(s.start, s.end) for s in r.repeated], len(r.removable)) for r in found)
+    n, m = len(a.split()), len(b.split())
+    assert got == sorted([(0, [(0, n)], 1), (0, [(0, m)], 1), (7, [(0, n)], 0), (7, [(0, m)], 0)])
+
+
 def test_repeated_passages_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.repeated_passages(empty).count() == 0
@@ -256,11 +268,14 @@ def test_long_conversation_is_numbered_in_parts(spark):
 
 
 def test_repeats_among_rows_without_id(spark):
-    """A third of all rows has no id; these are one document, and their texts keep lists of their own."""
+    """A third of all rows has no id; texts without id are documents of their own, and come after those with one."""
     rng = random.Random(21)
     passage = prose(rng, 60)
     rows = [(None, prose(rng, 10 + k) + passage) for k in range(20)] + [(k, passage + prose(rng, 30)) for k in range(3)] + [(k + 10, prose(rng, 80)) for k in range(30)]
     rows += [(None, rows[0][1]), (50, None)]
     found = suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), how=suffix_dedup.Repeats(large_run=3)).collect()
-    got = {r.doc_id: tuple([(s.start, s.end) for s in x] for x in (r.repeated, r.removable)) for r in found}
-    assert len(got) == len(found) and got == brute_repeats(rows, 50)
+    got = sorted(((r.doc_id is None, r.doc_id or 0), [(s.start, s.end) for s in r.repeated], [(s.start, s.end) for s in r.removable]) for r in found)
+    documents_of_rows = sorted(dict.fromkeys(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    want = brute_repeats([(k, t) for k, (_, t) in enumerate(documents_of_rows)], 50)
+    name = lambda k: (documents_of_rows[k][0] is None, documents_of_rows[k][0] or 0)
+    assert len(got) == 23 and got == sorted((name(k), list(a), list(b)) for k, (a, b) in want.items())
