@@ -26,11 +26,14 @@ from . import textops as X
 from .shared import hot_join, materialise
 
 
+_PLACES = 4
+
+
 @dataclass(frozen=True)
 class Repeats:
     """min_words: least length of a repeat. log_window: the k-grams that an anchor is chosen from, as a power of two.
 
-    large_run: suffixes of equal beginnings that one task compares.
+    large_run: documents with suffixes of equal beginnings that one task compares, of _PLACES suffixes each on average.
     """
 
     min_words: int = 50
@@ -336,7 +339,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     kind = read.schema["id"].dataType
     key_fields = [T.StructField("key", T.LongType()), T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in ("text_a", "text_b", "places"))]
     keys = materialise(read.mapInArrow(_anchor_keys(how), T.StructType(key_fields)), "suffix-keys")
-    shared = keys.groupBy("key").agg(F.sum("places").alias("n"), F.count("*").alias("uses"), F.min("id").alias("low"), F.max("id").alias("high"))
+    shared = keys.groupBy("key").agg(F.greatest(F.count("*"), F.ceil(F.sum("places") / _PLACES)).alias("n"), F.count("*").alias("uses"), F.min("id").alias("low"), F.max("id").alias("high"))
     shared = materialise(shared.filter("NOT (low <=> high)").select("key", "n", "uses"), "suffix-shared")
     # Keys are gathered by text, not by id, so that a list is bounded by a text, and rows without id have lists of their own.
     wanted = hot_join(keys, shared, ["key"], "uses").filter("n IS NOT NULL").groupBy("text_a", "text_b").agg(F.collect_set(F.struct("key", "n")).alias("keys"))
