@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.panel import is_after
 from ..functions.xsec import with_buckets, with_percentile_rank, zscore
 from ..operators import dataset, exposures, features, forecast_eval, inference, linear, performance, portfolios, ranking, rolling, tree_models
-from ..operators.trees import RandomForest
 from ..sources.readers import Adapter, factors_from_panel, numbers, sample_tickers, tail_rows
 from . import reports
 from .panel_sql import FALLBACK, ORACLES, TRAIN_MAX, TRAIN_MIN
@@ -119,7 +118,7 @@ def _candidates() -> list[rolling.CandidateModel]:
 
 
 def _all_models(p: Panel) -> DataFrame:
-    return rolling.generate_oos_predictions_all_models(p.full_panel(), COLUMNS, window_config=WINDOWS, models=rolling.AllModels(trees=100))
+    return rolling.generate_oos_predictions_all_models(p.full_panel(), COLUMNS, window_config=WINDOWS)
 
 
 def _rank_vs_raw(p: Panel) -> DataFrame:
@@ -215,7 +214,7 @@ PANEL: dict[str, Callable[[Panel], DataFrame]] = {
     "rolling_ridge": _regularized("ridge"),
     "rolling_lasso": _regularized("lasso"),
     "rolling_elasticnet": _regularized("elasticnet", l1_ratios=(0.5, 0.9)),
-    "rolling_forest": lambda p: rolling.rolling_oos_predictions(p.full_panel(), COLUMNS, window_config=WINDOWS, model_factory=lambda: RandomForest(10, 4, 20, "sqrt")),
+    "rolling_forest": lambda p: rolling.rolling_forest_predictions(p.full_panel(), COLUMNS, window_config=WINDOWS),
     "rolling_tuning": lambda p: rolling.rolling_time_series_tuning(p.full_panel(), COLUMNS, candidates=_candidates(), window_config=WINDOWS).best_models,
     "all_models_oos": _all_models,
     "xs_forest": lambda p: tree_models.cross_sectional_random_forest(p.full_panel(), COLUMNS),
