@@ -8,10 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.panel import finite, month_end, one_of, require_columns, require_panel, ticker_rows, window_lengths
 from .linear import spread_over_tasks
-from .solve import pairs, products, solved
+from .moments import trailing_fits
 
 
 @dataclass(frozen=True)
@@ -44,26 +45,26 @@ def with_factors(stock_returns: DataFrame, factors: DataFrame, cfg: ExposureConf
 def compute_factor_exposures(stock_returns: DataFrame, factors: DataFrame, *, config: ExposureConfig = ExposureConfig(), mode: str = "fast") -> DataFrame:
     """ticker, date, alpha_ff3 and a beta for each factor, estimated on the trailing rows before the date.
 
-    fast: sums of products over the window, solved in batches. exact: least squares on the rows of each window.
+    fast: centred moments of blocks of rows, merged to those of each window. exact: least squares on the rows of each
+    window, a check of the former. Where factors depend on one another both give the solution of minimum norm.
     """
     one_of("mode", mode, ("fast", "exact"))
     joined = with_factors(stock_returns, factors, config)
-    estimates = _by_products(joined, config) if mode == "fast" else _by_rows(joined, config)
+    if mode == "fast":
+        return _by_moments(joined, config)
     w = ticker_rows()
+    estimates = _by_rows(joined, config)
     lagged = estimates.select("ticker", "date", *(F.lag(c).over(w).alias(c) for c in config.columns))
     return lagged.na.drop("all", subset=list(config.columns))
 
 
-def _by_products(joined: DataFrame, cfg: ExposureConfig) -> DataFrame:
-    names = [f"f_{i}" for i in range(len(cfg.factor_cols))]
-    complete = F.col("excess").isNotNull()
-    for c in names:
-        complete = complete & F.col(c).isNotNull()
-    k, w = len(names) + 1, ticker_rows(1 - cfg.max_months)
-    rows = joined.withColumns(products(names, "excess", complete))
-    sums = rows.select("ticker", "date", *(F.sum(f"s_{i}_{j}").over(w).alias(f"s_{i}_{j}") for i, j in pairs(k + 1)))
-    enough = sums.filter(F.col("s_0_0") >= cfg.min_months).withColumn("b", solved(k))
-    return enough.select("ticker", "date", *(F.col("b")[i].alias(c) for i, c in enumerate(cfg.columns)))
+def _by_moments(joined: DataFrame, cfg: ExposureConfig) -> DataFrame:
+    names = [*(f"f_{i}" for i in range(len(cfg.factor_cols))), "excess"]
+    # The place asks for rows by ticker and date: no shuffle where they are dealt so already.
+    rows = joined.select("ticker", "date", *names, F.row_number().over(ticker_rows()).alias("place"))
+    schema = T.StructType([joined.schema["ticker"], T.StructField("date", T.DateType()), *(T.StructField(c, T.DoubleType()) for c in cfg.columns)])
+    length, least, columns = cfg.max_months, cfg.min_months, cfg.columns
+    return rows.mapInArrow(lambda batches: trailing_fits(batches, names, length, least, columns), schema)
 
 
 def _by_rows(joined: DataFrame, cfg: ExposureConfig) -> DataFrame:

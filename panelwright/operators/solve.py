@@ -1,24 +1,11 @@
-"""Least squares from sums of products, solved in batches.
-
-An operator sums products of design columns on the JVM (partial aggregation or windows); only the small symmetric systems
-go through Arrow. Designs of full rank are solved on scaled products, which makes columns of very different sizes safe;
-for others the solution is that of minimum norm.
-"""
+"""Sums of products of design columns, and fitted values."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-#: Eigenvalues below this share of the largest count as zero; products square a design's singular values.
-CUTOFF = 1e-12
-#: Least eigenvalue of products scaled to a diagonal of ones that counts as full rank.
-FULL_RANK = 1e-10
 
 
 def pairs(k: int) -> list[tuple[int, int]]:
@@ -31,44 +18,9 @@ def products(features: Sequence[str], target: str | Column, where: Column) -> di
     return {f"s_{i}_{j}": F.when(where, columns[i] * columns[j]) for i, j in pairs(len(columns))}
 
 
-def coefficients_of(gram: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Solutions of many systems: gram (n, k, k), q (n, k)."""
-    size = np.sqrt(np.einsum("nii->ni", gram))
-    size[size == 0] = 1.0
-    scaled = gram / size[:, :, None] / size[:, None, :]
-    out = np.zeros_like(q)
-    full = np.linalg.eigvalsh(scaled)[:, 0] > FULL_RANK if len(q) else np.zeros(0, bool)
-    if full.any():
-        out[full] = np.linalg.solve(scaled[full], (q[full] / size[full])[..., None])[..., 0] / size[full]
-    if not full.all():
-        inverse = np.linalg.pinv(gram[~full], rcond=CUTOFF, hermitian=True)
-        out[~full] = np.einsum("nij,nj->ni", inverse, q[~full])
-    return out
-
-
-def solved(k: int) -> Column:
-    """Array of k coefficients (intercept first) from columns s_i_j over k design columns and the target."""
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def coefficients(sums: pd.Series) -> pd.Series:
-        if not len(sums):
-            return pd.Series([], dtype=object)
-        flat = np.stack(sums.to_numpy()).astype(float)
-        whole = np.zeros((len(flat), k + 1, k + 1))
-        for n, (i, j) in enumerate(pairs(k + 1)):
-            whole[:, i, j] = whole[:, j, i] = flat[:, n]
-        return pd.Series(list(coefficients_of(whole[:, :k, :k], whole[:, :k, k])))
-
-    return coefficients(F.array(*(F.col(f"s_{i}_{j}") for i, j in pairs(k + 1))))
-
-
 def fitted(coefficients: str | Column, features: Sequence[str]) -> Column:
     b = F.col(coefficients) if isinstance(coefficients, str) else coefficients
     out = b[0]
     for i, c in enumerate(features):
         out = out + b[i + 1] * F.col(c)
     return out
-
-
-def drop_products(df: DataFrame) -> DataFrame:
-    return df.drop(*(c for c in df.columns if c.startswith("s_") and c.count("_") == 2))
