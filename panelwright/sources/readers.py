@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.panel import finite
+from .panel_csv import SPLIT_BYTES, starts_inside
 
 FACTORS = ("MKT", "SMB", "HML", "RF")
 
@@ -39,43 +41,33 @@ def numbers(text: Column) -> Column:
     return finite(text.try_cast("double"))
 
 
-#: Columns that a file may have.
-CSV_COLUMNS = 64
-_CELLS = ", ".join(f"c{i} string" for i in range(CSV_COLUMNS))
-
-
-def _cells(line: Column) -> Column:
-    """The cells of a CSV line, quotes taken off; null beyond its end."""
-    row = F.from_csv(line, _CELLS, {"mode": "PERMISSIVE"})
-    return F.array(*(F.trim(row[f"c{i}"]) for i in range(CSV_COLUMNS)))
-
-
-def read_daily_csv(spark: SparkSession, folder: str, *, columns: Sequence[str] = ("adj_close", "volume"), date_col: str = "date") -> DataFrame:
+def read_daily_csv(spark: SparkSession, folder: str, *, columns: Sequence[str] = ("adj_close", "volume"), date_col: str = "date", split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Panel from a folder with a CSV file for each ticker, named after it: ticker, date, columns.
 
-    Every file is read by its own header, whatever the order of its columns; a column it lacks is null. Rows without a
-    date are dropped, values that are no numbers are null. A file that is no CSV, or has no dates, gives no rows. A file is
-    a row of the scan, so a ticker's history has to fit into one; files spread over all tasks.
+    Every file is read by its own header, whatever the number and order of its columns; a column it lacks is null. Rows
+    without a date are dropped, values that are no numbers are null. A file that is no CSV, or has no dates, gives no rows
+    (scan_files tells which). Small files share tasks, files of more than split_bytes are read by several; cells may hold
+    line breaks. Filters on ticker and date are pushed into the scan.
     """
-    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.csv")
-    ticker = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1)
-    lines = files.select(ticker.alias("ticker"), F.split(F.ltrim(F.col("value"), F.lit("\ufeff")), r"\r?\n").alias("lines"))
-    places = {c: F.array_position("header", c).cast("int") for c in dict.fromkeys((date_col, *columns))}
-    headed = lines.withColumn("header", F.transform(_cells(F.col("lines")[0]), lambda c: F.coalesce(c, F.lit("")))).select("ticker", "lines", F.struct(*(p.alias(c) for c, p in places.items())).alias("at"))
-    rows = headed.filter(F.col("at")[date_col] > 0).select("ticker", "at", F.explode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("line")).filter("line <> ''")
-    cells = rows.select("ticker", "at", _cells(F.col("line")).alias("cells"))
-    cell = lambda c: F.when(F.col("at")[c] > 0, F.try_element_at("cells", F.col("at")[c]))
-    dated = cells.select("ticker", cell(date_col).try_cast("date").alias("date"), *(numbers(cell(c)).alias(c) for c in columns))
-    return dated.filter("date IS NOT NULL")
+    wanted = list(dict.fromkeys(columns))
+    inside = starts_inside(spark, folder, split_bytes)
+    source = spark.read.format("panelcsv").option("path", folder).option("columns", json.dumps(wanted)).option("date_col", date_col).option("split_bytes", split_bytes).option("inside", json.dumps(inside))
+    return source.load().select("ticker", "date", *(numbers(F.trim(F.col(f"`{c}`"))).alias(c) for c in wanted))
+
+
+def scan_files(spark: SparkSession, folder: str, *, price_col: str = "adj_close", date_col: str = "date", split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """A row for each file: ticker, bytes, n_rows (with a date), n_usable (with a price too), problem (null: none)."""
+    inside = starts_inside(spark, folder, split_bytes)
+    source = spark.read.format("panelcsv").option("path", folder).option("kind", "files").option("columns", json.dumps([price_col])).option("date_col", date_col).option("split_bytes", split_bytes).option("inside", json.dumps(inside))
+    sums = source.load().groupBy("ticker").agg(F.max("bytes").alias("bytes"), F.sum("n_rows").alias("n_rows"), F.sum("n_usable").alias("n_usable"), F.max("problem").alias("problem"))
+    return sums.withColumn("problem", F.coalesce("problem", F.when(F.col("n_rows") == 0, F.lit("no dates")).when(F.col("n_usable") == 0, F.lit("no prices"))))
 
 
 def scan_report(spark: SparkSession, folder: str, tickers: DataFrame, *, price_col: str = "adj_close", date_col: str = "date") -> DataFrame:
     """One row, files, read, missing, bad: of tickers those whose file gives rows, does not exist or is empty, or has no usable row."""
-    daily = read_daily_csv(spark, folder, columns=(price_col,), date_col=date_col)
-    good = daily.filter(F.col(price_col).isNotNull()).select("ticker").distinct().withColumn("good", F.lit(True))
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select(F.regexp_extract("path", r"([^/]*)\.csv$", 1).alias("ticker"), F.lit(True).alias("there"))
-    every = tickers.select("ticker").join(listed, "ticker", "left").join(good, "ticker", "left")
-    return every.agg(F.count(F.lit(1)).alias("files"), F.count("good").alias("read"), F.count_if(F.col("there").isNull()).alias("missing"), F.count_if(F.col("there") & F.col("good").isNull()).alias("bad"))
+    files = scan_files(spark, folder, price_col=price_col, date_col=date_col).filter("bytes > 0").select("ticker", (F.col("n_usable") > 0).alias("good"))
+    every = tickers.select("ticker").join(files, "ticker", "left")
+    return every.agg(F.count(F.lit(1)).alias("files"), F.count_if("good").alias("read"), F.count_if(F.col("good").isNull()).alias("missing"), F.count_if(~F.col("good")).alias("bad"))
 
 
 def tail_rows(daily: DataFrame, n: int) -> DataFrame:
