@@ -122,6 +122,8 @@ def compute_turnover_from_weights(weights: DataFrame) -> DataFrame:
     placed = rows.join(dates, "date").select("ticker", "model", "bucket", F.inline(F.array(F.struct(F.col("idx"), F.col("weight").alias("change")), F.struct((F.col("idx") + 1).alias("idx"), (-F.col("weight")).alias("change")))))
     moves = placed.groupBy("model", "bucket", "idx", "ticker").agg(F.sum("change").alias("change"))
     traded = moves.groupBy("model", "bucket", "idx").agg((F.sum(F.abs("change")) * 0.5).alias("moved"))
-    every = traded.select("model", "bucket").distinct().crossJoin(dates.select("date", "idx"))  # portfolios by dates
-    out = every.join(traded, ["model", "bucket", "idx"], "left")
-    return out.select("date", "model", "bucket", F.when(F.col("idx") > 1, F.coalesce("moved", F.lit(0.0))).alias("turnover"))
+    # A portfolio's dates, of which it has a few hundred, are one list; the list of all dates is one row.
+    calendar = dates.agg(F.sort_array(F.collect_list(F.struct("idx", "date"))).alias("calendar"))
+    own = traded.groupBy("model", "bucket").agg(F.map_from_entries(F.collect_list(F.struct("idx", "moved"))).alias("moved"))
+    every = own.join(F.broadcast(calendar)).select("model", "bucket", "moved", F.inline("calendar"))
+    return every.select("date", "model", "bucket", F.when(F.col("idx") > 1, F.coalesce(F.try_element_at("moved", F.col("idx")), F.lit(0.0))).alias("turnover"))

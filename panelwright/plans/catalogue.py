@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.panel import is_after
+from ..functions.stored import stored_by_ticker
 from ..functions.xsec import with_buckets, with_percentile_rank, zscore
 from ..operators import dataset, exposures, features, forecast_eval, inference, linear, performance, portfolios, ranking, rolling, tree_models
 from ..sources.readers import Adapter, factors_from_panel, numbers, sample_tickers, tail_rows
@@ -34,12 +36,18 @@ def significant(df: DataFrame, digits: int = 9) -> DataFrame:
 
 
 class Panel:
-    """Frames of one folder; each is a plan, computed when a query runs."""
+    """Frames of one folder; each is a plan, computed when a query runs. Only `monthly` is written, for queries that read
+    the monthly panel more than once: daily rows are read and put together once in each of these."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.source = spark, Adapter(folder)
         self.daily = self.source.daily(spark)
 
+    @cached_property
+    def monthly(self) -> DataFrame:
+        """All characteristics, the return and the next one of every month, in buckets by ticker."""
+        return stored_by_ticker(features.monthly_panel(self.daily), "monthly")
+
     def months(self, **config) -> DataFrame:
         cfg = features.FeatureConfig(**config)
         return features.with_lags(features.monthly(features.with_daily_volatility(self.daily, cfg), cfg))
@@ -48,23 +56,34 @@ class Panel:
         return features.compute_features(self.daily, config=features.FeatureConfig(**config))
 
     def returns(self) -> DataFrame:
-        return features.monthly_returns(self.daily)
+        return self.monthly.filter("RET IS NOT NULL").select("ticker", "date", "RET")
 
     def factors(self) -> DataFrame:
-        return factors_from_panel(features.monthly_panel(self.daily).filter("RET IS NOT NULL"))
+        return factors_from_panel(self.monthly.filter("RET IS NOT NULL"))
+
+    def loadings(self, config: exposures.ExposureConfig, **kw) -> DataFrame:
+        return exposures.compute_factor_exposures(self.returns(), self.factors(), config=config, **kw)
+
+    @staticmethod
+    def _signals(months: DataFrame) -> DataFrame:
+        known = months.na.drop("all", subset=FEATURES)
+        return known.select("ticker", "date", *MODELS, "volatility", "dollar_volume", F.col("next_return").alias("realized_return"))
 
     def signals(self) -> DataFrame:
         """Two characteristics as signals, with next month's return."""
-        months = features.monthly_panel(self.daily, next_col="realized_return").na.drop("all", subset=FEATURES)
-        return months.select("ticker", "date", *MODELS, "volatility", "dollar_volume", "realized_return")
+        return self._signals(self.monthly)
+
+    def signals_once(self) -> DataFrame:
+        """The same without a written table, for queries that read it once."""
+        return self._signals(features.monthly_panel(self.daily))
 
     def model_panel(self) -> DataFrame:
-        return features.monthly_panel(self.daily).na.drop("all", subset=FEATURES).drop("RET")
+        return self.monthly.na.drop("all", subset=FEATURES).drop("RET")
 
     def full_panel(self, **kw) -> DataFrame:
         """The modelling panel with all characteristics and loadings."""
-        loadings = exposures.compute_factor_exposures(self.returns(), self.factors(), config=EXPOSURES)
-        return dataset.assemble_modeling_dataset(self.returns(), self.features(), loadings, **kw)
+        characteristics = self.monthly.na.drop("all", subset=FEATURES).select("ticker", "date", *FEATURES)
+        return dataset.assemble_modeling_dataset(self.returns(), characteristics, self.loadings(EXPOSURES), **kw)
 
     def deciles(self, **kw) -> DataFrame:
         return portfolios.compute_decile_portfolio_returns(self.signals(), model_cols=MODELS, **kw)
@@ -85,7 +104,7 @@ def _ranks(method: str) -> Callable[[Panel], DataFrame]:
 
 
 def _buckets(n: int) -> Callable[[Panel], DataFrame]:
-    return lambda p: with_buckets(portfolios.long_signals(p.signals(), MODELS, {}), "signal", buckets=n, by=("date", "model")).select("ticker", "date", "model", "decile")
+    return lambda p: with_buckets(portfolios.long_signals(p.signals_once(), MODELS, {}), "signal", buckets=n, by=("date", "model")).select("ticker", "date", "model", "decile")
 
 
 def _net(mode: str) -> Callable[[Panel], DataFrame]:
@@ -130,7 +149,7 @@ def _rank_vs_raw(p: Panel) -> DataFrame:
 
 
 def _accuracy(p: Panel) -> DataFrame:
-    panel = p.signals().select("ticker", "date", *MODELS, "realized_return")
+    panel = p.signals_once().select("ticker", "date", *MODELS, "realized_return")
     found = forecast_eval.evaluate_forecasting_accuracy(panel)[0]
     return found.select("model", "oos_r2", "mae", "mse")
 
@@ -152,7 +171,7 @@ PANEL: dict[str, Callable[[Panel], DataFrame]] = {
     "realized_vol": lambda p: features.with_daily_volatility(p.daily, features.FeatureConfig()).select("ticker", "date", F.col("realized_vol").alias("rvol")),
     "monthly_resample_last": lambda p: p.months().filter("price IS NOT NULL").select("ticker", "date", "price", "volume", "vol"),
     "month_spine": lambda p: p.months().select("ticker", "date", F.col("price").isNull().alias("is_gap")),
-    "monthly_return": lambda p: p.returns().withColumnRenamed("RET", "ret"),
+    "monthly_return": lambda p: features.monthly_returns(p.daily).withColumnRenamed("RET", "ret"),
     "dollar_volume": _feature("dollar_volume", "dollar_volume"),
     "value_ma": _feature("value", "value_ma"),
     "value_reversal": lambda p: p.features(value_method="long_term_reversal").filter("value IS NOT NULL").select("ticker", "date", F.col("value").alias("value_reversal")),
@@ -164,7 +183,7 @@ PANEL: dict[str, Callable[[Panel], DataFrame]] = {
     "profitability_rov": _feature("profitability", "profitability_rov", profitability_method="return_over_volatility"),
     "features_all": lambda p: p.features(),
     "factor_series": lambda p: p.factors(),
-    "next_return": lambda p: dataset.next_return(p.returns()),
+    "next_return": lambda p: dataset.next_return(features.monthly_returns(p.daily)),
     "zscore_char": lambda p: p.features().select("ticker", "date", zscore("momentum").alias("momentum")),
     **{f"pct_rank_{m}": _ranks(m) for m in ("average", "min", "max", "first", "dense")},
     "modeling_panel": lambda p: p.full_panel(),
@@ -187,15 +206,15 @@ PANEL: dict[str, Callable[[Panel], DataFrame]] = {
     "cumulative": lambda p: _gross(p).cumulative.select("date", "model", "bucket", "cum"),
     "drawdown": lambda p: _gross(p).drawdowns,
     "tc_stress": lambda p: reports.transaction_cost_stress_test(p.deciles(), p.weights(), ls_cost_mode="reference_precomputed")["tc_summary"],
-    "clip_realized": lambda p: reports.clip_realized_returns(p.signals(), lower=-0.1, upper=0.2).select("ticker", "date", "realized_return"),
-    "oos_r2": lambda p: forecast_eval.compute_oos_r2(p.signals(), "realized_return", "momentum"),
+    "clip_realized": lambda p: reports.clip_realized_returns(p.signals_once(), lower=-0.1, upper=0.2).select("ticker", "date", "realized_return"),
+    "oos_r2": lambda p: forecast_eval.compute_oos_r2(p.signals_once(), "realized_return", "momentum"),
     "forecast_accuracy": _accuracy,
-    "spearman_by_date": lambda p: forecast_eval.evaluate_forecasting_accuracy(p.signals().select("ticker", "date", *MODELS, "realized_return"))[1],
-    "dm_stat": lambda p: inference.diebold_mariano_test(p.signals().select("ticker", "date", *MODELS, "realized_return"), horizon=3).select("model_1", "model_2", F.round("dm_stat", 6).alias("dm_stat"), "mean_loss_diff", "periods"),
+    "spearman_by_date": lambda p: forecast_eval.evaluate_forecasting_accuracy(p.signals_once().select("ticker", "date", *MODELS, "realized_return"))[1],
+    "dm_stat": lambda p: inference.diebold_mariano_test(p.signals_once().select("ticker", "date", *MODELS, "realized_return"), horizon=3).select("model_1", "model_2", F.round("dm_stat", 6).alias("dm_stat"), "mean_loss_diff", "periods"),
     "jk_stat": lambda p: inference.jobson_korkie_test(p.spreads(), model_1="momentum", model_2="value").drop("model_1", "model_2", "p_value"),
     "pred_rank_riskadj": lambda p: ranking.convert_predictions_to_rankings(p.features(), config=ranking.RankingConfig(prediction_col="momentum", risk_adjust="volatility", volatility_col="volatility")),
     "pred_rank_zscore": lambda p: ranking.convert_predictions_to_rankings(p.features(), config=ranking.RankingConfig(prediction_col="momentum", basis="zscore")),
-    "exposures_1factor": lambda p: exposures.compute_factor_exposures(p.returns(), p.factors(), config=ONE_FACTOR),
+    "exposures_1factor": lambda p: p.loadings(ONE_FACTOR),
     "xs_ols_1feature": lambda p: linear.cross_sectional_ols(p.model_panel(), ["momentum"]),
     "rolling_ols_1feature": lambda p: linear.rolling_ols(p.model_panel(), ["momentum"], window_config=WINDOWS),
     "ridge_1feature": lambda p: rolling.rolling_regularized_predictions(p.model_panel(), ["momentum"], window_config=WINDOWS, model_config=rolling.RegularizedModelConfig(alphas=(10.0,))),
@@ -205,8 +224,8 @@ PANEL: dict[str, Callable[[Panel], DataFrame]] = {
     "xs_ols_2features": lambda p: linear.cross_sectional_ols(p.model_panel(), list(MODELS)),
     "xs_ols_2features_ranks": lambda p: linear.cross_sectional_ols(p.model_panel(), list(MODELS), config=linear.CrossSectionalOLSConfig(prediction_type="rank")),
     "rolling_ols_2features": lambda p: linear.rolling_ols(p.model_panel(), list(MODELS), window_config=WINDOWS),
-    "exposures_ff3": lambda p: exposures.compute_factor_exposures(p.returns(), p.factors(), config=EXPOSURES),
-    "exposures_ff3_exact": lambda p: exposures.compute_factor_exposures(p.returns(), p.factors(), config=EXPOSURES, mode="exact"),
+    "exposures_ff3": lambda p: p.loadings(EXPOSURES),
+    "exposures_ff3_exact": lambda p: p.loadings(EXPOSURES, mode="exact"),
     "xs_ols": lambda p: linear.cross_sectional_ols(p.full_panel(), COLUMNS),
     "xs_ols_ranks": lambda p: linear.cross_sectional_ols(p.full_panel(), COLUMNS, config=linear.CrossSectionalOLSConfig(prediction_type="rank")),
     "rolling_ols": lambda p: linear.rolling_ols(p.full_panel(), COLUMNS, window_config=WINDOWS),
@@ -227,7 +246,7 @@ PANEL: dict[str, Callable[[Panel], DataFrame]] = {
     "rank_vs_raw": _rank_vs_raw,
     "plot_suite_costs": lambda p: reports.run_plot_suite(predictions=p.signals(), decile_returns=p.deciles(), decile_weights=p.weights(), model_cols=MODELS, plot_ls_models=MODELS)["tc_plot"],
     "user_day_ranks": lambda p: with_percentile_rank(p.source.user_days(p.spark), "value", "value_rank").select("ticker", "date", "value_rank"),
-    "late_rows": lambda p: p.returns().filter(is_after("date", "2000-01-31")).withColumnRenamed("RET", "ret"),
+    "late_rows": lambda p: features.monthly_returns(p.daily).filter(is_after("date", "2000-01-31")).withColumnRenamed("RET", "ret"),
 }
 
 
