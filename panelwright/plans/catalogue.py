@@ -13,7 +13,7 @@ from ..functions.stored import stored_by_ticker
 from ..functions.xsec import with_buckets, with_percentile_rank, zscore
 from ..operators import dataset, exposures, features, forecast_eval, inference, linear, performance, portfolios, ranking, rolling, tree_models
 from ..sources.readers import Adapter, factors_from_panel, numbers, sample_tickers, tail_rows
-from . import reports
+from . import reports, study
 from .panel_sql import FALLBACK, ORACLES, TRAIN_MAX, TRAIN_MIN
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,6 +140,11 @@ def _all_models(p: Panel) -> DataFrame:
     return rolling.generate_oos_predictions_all_models(p.full_panel(), COLUMNS, window_config=WINDOWS)
 
 
+def _study(p: Panel) -> DataFrame:
+    """The whole study over the adapter's daily rows: what portfolios of ranks and of least squares earn after costs."""
+    return study.study(p.daily, config=study.StudyConfig(exposures=EXPOSURES, windows=WINDOWS)).performance_rank.metrics
+
+
 def _rank_vs_raw(p: Panel) -> DataFrame:
     signals = p.signals()
     ranks = ranking.convert_predictions_to_rankings(signals, config=ranking.RankingConfig(prediction_col="momentum", output_col="momentum_rank", basis="zscore"))
@@ -245,6 +250,7 @@ PANEL: dict[str, Callable[[Panel], DataFrame]] = {
     "long_short_growth": lambda p: reports.long_short_cumulative(p.deciles()),
     "rank_vs_raw": _rank_vs_raw,
     "plot_suite_costs": lambda p: reports.run_plot_suite(predictions=p.signals(), decile_returns=p.deciles(), decile_weights=p.weights(), model_cols=MODELS, plot_ls_models=MODELS)["tc_plot"],
+    "study": _study,
     "user_day_ranks": lambda p: with_percentile_rank(p.source.user_days(p.spark), "value", "value_rank").select("ticker", "date", "value_rank"),
     "late_rows": lambda p: features.monthly_returns(p.daily).filter(is_after("date", "2000-01-31")).withColumnRenamed("RET", "ret"),
 }
