@@ -47,21 +47,22 @@ def model_columns(panel: DataFrame, model_cols: Sequence[str] | None, excluding:
     return list(model_cols)
 
 
-def assigned(panel: DataFrame, models: Sequence[str], n_deciles: int, keep: dict[str, Column]) -> DataFrame:
+def assigned(panel: DataFrame, models: Sequence[str], n_deciles: int, keep: dict[str, Column], ranged: bool = False) -> DataFrame:
     """Signals with their decile; the section of a date is that of all names with a signal."""
-    return with_buckets(long_signals(panel, models, keep), "signal", buckets=n_deciles, by=("date", "model"))
+    return with_buckets(long_signals(panel, models, keep), "signal", buckets=n_deciles, by=("date", "model"), ranged=ranged)
 
 
-def compute_decile_portfolio_returns(panel: DataFrame, *, model_cols: Sequence[str] | None = None, return_col: str = "realized_return", weight_col: str | None = None, n_deciles: int = 10) -> DataFrame:
+def compute_decile_portfolio_returns(panel: DataFrame, *, model_cols: Sequence[str] | None = None, return_col: str = "realized_return", weight_col: str | None = None, n_deciles: int = 10, ranged: bool = False) -> DataFrame:
     """Mean, or weighted mean, of the returns in each decile, and LS: the last decile less the first.
 
     Names without a return count for the deciles and not for the means. Deciles whose weights sum to zero have no return.
-    LS is null on dates where either end has none; a model has an LS row for each date on which it has a return.
+    LS is null on dates where either end has none; a model has an LS row for each date on which it has a return. ranged:
+    sections are too large for one task each.
     """
     models = model_columns(panel, model_cols, (return_col, weight_col))
     require_columns(panel, [c for c in (return_col, weight_col) if c])
     keep = {"ret": finite(return_col)} | ({"w": F.coalesce(finite(weight_col), F.lit(0.0))} if weight_col else {})
-    rows = assigned(panel, models, n_deciles, keep).filter("ret IS NOT NULL")
+    rows = assigned(panel, models, n_deciles, keep, ranged).filter("ret IS NOT NULL")
     mean = F.try_divide(F.sum(F.col("w") * F.col("ret")), F.nullif(F.sum("w"), F.lit(0.0))) if weight_col else F.avg("ret")
     deciles = rows.groupBy("date", "model", "decile").agg(mean.alias("ret"))
     ends = [F.max(F.when(F.col("decile") == d, F.col("ret"))) for d in (n_deciles, 1)]
@@ -71,14 +72,14 @@ def compute_decile_portfolio_returns(panel: DataFrame, *, model_cols: Sequence[s
     return dates.select("date", "model", F.inline(F.concat("rows", F.array(row(F.lit("LS"), F.col("spread"))))))
 
 
-def compute_decile_portfolio_weights(panel: DataFrame, *, model_cols: Sequence[str] | None = None, weight_col: str | None = None, n_deciles: int = 10) -> DataFrame:
+def compute_decile_portfolio_weights(panel: DataFrame, *, model_cols: Sequence[str] | None = None, weight_col: str | None = None, n_deciles: int = 10, ranged: bool = False) -> DataFrame:
     """Weights that sum to one in each (date, model, decile); only names in the decile have a row.
 
     With a weight column, names without a weight have no row, and deciles whose weights sum to zero are weighted equally.
     """
     models = model_columns(panel, model_cols, (weight_col,))
     require_columns(panel, [weight_col] if weight_col else [], "weight column")
-    rows = assigned(panel, models, n_deciles, {"w": finite(weight_col)} if weight_col else {})
+    rows = assigned(panel, models, n_deciles, {"w": finite(weight_col)} if weight_col else {}, ranged)
     w = Window.partitionBy("date", "model", "decile")
     equal = 1.0 / F.count(F.lit(1)).over(w)
     total = F.coalesce(F.sum("w").over(w), F.lit(0.0)) if weight_col else None

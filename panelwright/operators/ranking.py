@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.panel import finite, one_of, require_columns, require_panel
-from ..functions.xsec import RANK_METHODS, with_percentile_rank, zscore
+from ..functions.xsec import RANK_METHODS, with_percentile_rank, with_zscores, zscore
 
 
 @dataclass(frozen=True)
 class RankingConfig:
+    """ranged: sections are too large for one task each."""
+
     prediction_col: str = "prediction"
     output_col: str = "prediction_rank"
     basis: str = "return"
@@ -20,6 +22,7 @@ class RankingConfig:
     volatility_col: str | None = None
     beta_col: str | None = None
     rank_method: str = "average"
+    ranged: bool = False
 
     def __post_init__(self):
         for name, allowed in (("basis", ("return", "zscore")), ("risk_adjust", (None, "volatility", "beta")), ("rank_method", RANK_METHODS)):
@@ -46,5 +49,5 @@ def convert_predictions_to_rankings(predictions: DataFrame, *, config: RankingCo
         score = finite(F.try_divide(score, F.nullif(finite(cfg.risk_col), F.lit(0.0))))
     scored = predictions.select("ticker", F.to_date("date").alias("date"), score.alias("score")).filter("score IS NOT NULL")
     if cfg.basis == "zscore":
-        scored = scored.withColumn("score", zscore("score"))
-    return with_percentile_rank(scored, "score", cfg.output_col, method=cfg.rank_method).drop("score")
+        scored = with_zscores(scored, ["score"]) if cfg.ranged else scored.withColumn("score", zscore("score"))
+    return with_percentile_rank(scored, "score", cfg.output_col, method=cfg.rank_method, ranged=cfg.ranged).drop("score")

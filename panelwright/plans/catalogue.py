@@ -14,7 +14,7 @@ from ..functions.xsec import with_buckets, with_percentile_rank, zscore
 from ..operators import dataset, exposures, features, forecast_eval, inference, linear, performance, portfolios, ranking, rolling, tree_models
 from ..sources.readers import Adapter, factors_from_panel, numbers, sample_tickers, tail_rows
 from . import reports, study
-from .panel_sql import FALLBACK, ORACLES, TRAIN_MAX, TRAIN_MIN
+from .panel_sql import FALLBACK, ORACLES, TRAIN_MAX, TRAIN_MIN, TREE_LEAF
 
 Query = Callable[[SparkSession, str], DataFrame]
 MODELS = ("momentum", "value")
@@ -191,7 +191,10 @@ PANEL: dict[str, Callable[[Panel], DataFrame]] = {
     "next_return": lambda p: dataset.next_return(features.monthly_returns(p.daily)),
     "zscore_char": lambda p: p.features().select("ticker", "date", zscore("momentum").alias("momentum")),
     **{f"pct_rank_{m}": _ranks(m) for m in ("average", "min", "max", "first", "dense")},
+    "pct_rank_ranged": lambda p: with_percentile_rank(p.features(), "momentum", "momentum_rank", ranged=True).select("ticker", "date", "momentum_rank"),
+    "decile_ranged": lambda p: with_buckets(portfolios.long_signals(p.signals_once(), MODELS, {}), "signal", by=("date", "model"), ranged=True).select("ticker", "date", "model", "decile"),
     "modeling_panel": lambda p: p.full_panel(),
+    "modeling_panel_ranged": lambda p: p.full_panel(ranged=True),
     "modeling_panel_ranks": lambda p: p.full_panel(standardize="rank"),
     "decile_qcut": _buckets(10),
     "decile_cut_fallback": _buckets(FALLBACK),
@@ -242,6 +245,7 @@ PANEL: dict[str, Callable[[Panel], DataFrame]] = {
     "rolling_tuning": lambda p: rolling.rolling_time_series_tuning(p.full_panel(), COLUMNS, candidates=_candidates(), window_config=WINDOWS).best_models,
     "all_models_oos": _all_models,
     "xs_forest": lambda p: tree_models.cross_sectional_random_forest(p.full_panel(), COLUMNS),
+    "xs_tree": lambda p: tree_models.cross_sectional_random_forest(p.model_panel(), list(MODELS), config=tree_models.RandomForestConfig(n_estimators=1, max_depth=2, min_samples_leaf=TREE_LEAF, bootstrap=False)),
     "xs_boosting": lambda p: tree_models.cross_sectional_gradient_boosting(p.full_panel(), COLUMNS),
     "bootstrap_sharpe": lambda p: inference.bootstrap_sharpe_ratio_difference(p.spreads(), model_1="momentum", model_2="value", random_state=123),
     "sharpe_table": lambda p: _report(p, "sharpe_table").drop("p_value"),

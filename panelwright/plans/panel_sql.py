@@ -5,6 +5,8 @@ from __future__ import annotations
 from ..functions.xsec import quantile_edges
 
 TRAIN_MIN, TRAIN_MAX = 24, 36
+#: Least rows of a leaf of the tree that SQL grows too.
+TREE_LEAF = 5
 #: More buckets than any section of the tables has names, so that all are cut the other way.
 FALLBACK = 1_000_000
 
@@ -310,3 +312,23 @@ ORACLES = {
     ),
 }
 ORACLES["sharpe_table"] = ORACLES["jk_stat"].replace("SELECT round(s1, 6)", "SELECT 'momentum' AS model_1, 'value' AS model_2, round(s1, 6)", 1)
+ORACLES["pct_rank_ranged"], ORACLES["decile_ranged"], ORACLES["modeling_panel_ranged"] = ORACLES["pct_rank_average"], ORACLES["decile_qcut"], ORACLES["modeling_panel"]
+
+
+def _tree_level(k: int) -> str:
+    """Of each date and node the cut of a feature that lowers squared errors most, and the nodes below it."""
+    return f"""
+cells{k} AS (SELECT date, node, f, x, count(*) AS n, sum(y) AS s, sum(y * y) AS q FROM (
+    SELECT date, node, y, unnest([1, 2]) AS f, unnest([momentum, value]) AS x FROM node{k} WHERE y IS NOT NULL) GROUP BY ALL),
+cuts{k} AS (SELECT *, lead(x) OVER w AS nx, sum(n) OVER w AS ln, sum(s) OVER w AS ls, sum(n) OVER p AS an, sum(s) OVER p AS al, sum(q) OVER p AS aq
+    FROM cells{k} WINDOW p AS (PARTITION BY date, node, f), w AS (PARTITION BY date, node, f ORDER BY x)),
+scored{k} AS (SELECT *, ls * ls / ln + (al - ls) * (al - ls) / (an - ln) AS score FROM cuts{k} WHERE nx IS NOT NULL AND ln >= {TREE_LEAF} AND an - ln >= {TREE_LEAF}),
+best{k} AS (SELECT date, node, f, (x + nx) / 2 AS cut FROM scored{k} WHERE score > al * al / an + 1e-12 * (1 + aq) QUALIFY row_number() OVER (PARTITION BY date, node ORDER BY score DESC, f, x) = 1),
+node{k + 1} AS (SELECT ticker, date, momentum, value, y, CASE WHEN f IS NULL THEN node ELSE 2 * node + CAST(CASE f WHEN 1 THEN momentum ELSE value END > cut AS INTEGER) END AS node
+    FROM node{k} LEFT JOIN best{k} USING (date, node))"""
+
+
+ORACLES["xs_tree"] = query(f"""SELECT ticker, date, round(p, 6) AS prediction FROM (
+  WITH node0 AS (SELECT ticker, date, momentum, value, realized AS y, 1 AS node FROM signals WHERE momentum IS NOT NULL AND value IS NOT NULL),{_tree_level(0)},{_tree_level(1)},
+  leaves AS (SELECT date, node, avg(y) AS p FROM node2 WHERE y IS NOT NULL GROUP BY ALL)
+  SELECT ticker, date, p FROM node2 JOIN leaves USING (date, node))""")
