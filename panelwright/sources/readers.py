@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -82,9 +83,63 @@ def read_factors(spark: SparkSession, path: str, *, columns: Sequence[str] = FAC
     return raw.select(F.expr(f"try_cast(`{date_col}` AS DATE)").alias("date"), *((numbers(F.col(c)) * scale).alias(c) for c in columns)).filter("date IS NOT NULL").orderBy("date")
 
 
+#: What a written table consists of; readers of Spark skip it for its first letter.
+MANIFEST = "_manifest.json"
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
 def write_csv(df: DataFrame, path: str, *, single: bool = False) -> None:
-    """With a header; single puts a small table into one file."""
-    (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).csv(path)
+    """With a header; single puts a small table into one file. The table at path is replaced as a whole or not at all.
+
+    Rows are written beside it, with a manifest of the files and their sizes as the last of them. Only then does the new
+    version take the place of the old one, which waits under another name meanwhile: a run that ends in between leaves
+    either, and the next run clears up. Runs of the same frame leave the same table.
+    """
+    spark, path = df.sparkSession, str(path).rstrip("/")
+    fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old"
+    system, at = _file_system(spark, path)
+    of = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    if system.exists(of(old)):  # an earlier run ended between its renames
+        if system.exists(at):
+            system.delete(of(old), True)
+        else:
+            system.rename(of(old), at)
+    try:
+        (df.coalesce(1) if single else df).write.option("header", True).csv(fresh)
+        files = {f.getPath().getName(): f.getLen() for f in system.listStatus(of(fresh)) if f.getPath().getName().startswith("part-")}
+        out = system.create(of(f"{fresh}/{MANIFEST}"), True)
+        out.write(bytearray(json.dumps({"columns": df.columns, "files": files}, sort_keys=True).encode()))
+        out.close()
+        if system.exists(at):
+            system.rename(at, of(old))
+        if not system.rename(of(fresh), at):
+            raise OSError(f"{path} could not be put in place")
+    except BaseException:
+        if not system.exists(at) and system.exists(of(old)):
+            system.rename(of(old), at)
+        system.delete(of(fresh), True)
+        raise
+    system.delete(of(old), True)
+
+
+def written_csv(spark: SparkSession, path: str) -> DataFrame:
+    """What write_csv wrote, as text; ValueError where files of its manifest are missing or have another size."""
+    system, at = _file_system(spark, str(path))
+    manifest = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MANIFEST}")
+    told = None
+    if system.exists(manifest):
+        stream = system.open(manifest)
+        told = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        stream.close()
+    there = {f.getPath().getName(): f.getLen() for f in system.listStatus(at)}
+    if told is None or any(there.get(n) != size for n, size in told["files"].items()):
+        raise ValueError(f"{path} is no whole table")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in told["columns"]])
+    return spark.read.schema(schema).option("header", True).csv([f"{path}/{n}" for n in sorted(told["files"])]) if told["files"] else spark.createDataFrame([], schema)
 
 
 @dataclass(frozen=True)

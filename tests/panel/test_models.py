@@ -151,6 +151,8 @@ def test_tuning(spark):
     assert sorted(best) == [month(3), month(4), month(5)] and {r.name for r in best.values()} == {"best"}
     assert all(r.mae == 0 and r.r2 == 1 and r.spearman == pytest.approx(1) for r in best.values())
     assert series(found.predictions, "prediction") == {k: v for k, v in series(panel, "next_return").items() if k[1] >= month(3)}
+    fitted = found.fitted()
+    assert sorted(fitted) == [month(3), month(4), month(5)] and all(m.w == 2.0 for m in fitted.values())
     with pytest.raises(ValueError):
         rolling.rolling_time_series_tuning(panel, ["feature"], candidates=[])
     assert [(list(a), list(b)) for a, b in rolling.time_splits(5, 2)] == [([0, 1, 2], [3]), ([0, 1, 2, 3], [4])]
