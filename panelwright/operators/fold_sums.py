@@ -1,19 +1,17 @@
-"""Sums of products over the cross-validation folds of rolling windows, from one pass over the panel.
+"""Sums of products over the cross-validation folds of rolling windows, as one plan without a job of its own.
 
 Folds are consecutive blocks of a window's rows in (ticker, date) order, so their edges differ from window to window. An
-edge is one row of one ticker. The tickers at edges, fewer than windows times folds, cut all tickers into slots; products
-are summed by slot and date, and what lies before an edge is read from running sums over the slots of each date. Rows are
-never repeated for the windows they are in.
+edge is one row of one ticker: it is found by counting each ticker's rows in each window, and asks each date of its window
+for the sums up to its ticker, which are running sums over the date's rows by ticker. Rows are never repeated for the
+windows they are in; there is an ask for each window, fold and date.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,15 +19,6 @@ from .linear import WindowConfig, known
 from .solve import pairs, products
 
 
-@dataclass(frozen=True)
-class FoldSums:
-    """by_window has at (place of the prediction date), date and upto: for each fold, in order, the sums of products of
-    (1, features - centre, target) over the window's rows up to its end, as pairs() lists them."""
-
-    by_window: DataFrame
-    centre: tuple[float, ...]
-
-
 def folds_of(upto: np.ndarray, size: int) -> np.ndarray:
     """Symmetric matrices of sums, one for each fold."""
     each = np.diff(upto, axis=0, prepend=0.0)
@@ -64,50 +53,29 @@ def _fold_ends(placed: DataFrame, cfg: WindowConfig, cv_folds: int) -> DataFrame
     return met.select("at", "first", F.col("end.fold").alias("fold"), "ticker", "place", "end.nth", nth.alias("rank")).filter("rank = nth").drop("rank", "nth")
 
 
-def _slot(bounds: list) -> Callable[[Column], Column]:
-    """Slot of a ticker: odd for those in bounds, even between them; nulls are last and odd."""
-    many = len(bounds)
-    keys = np.array(bounds, dtype=object)
-
-    @F.pandas_udf("int")
-    def slot(ticker: pd.Series) -> pd.Series:
-        code, names = pd.factorize(ticker)
-        names = np.asarray(names, dtype=object)
-        left = np.searchsorted(keys, names) if many and len(names) else np.zeros(len(names), np.int64)
-        same = np.array([i < many and keys[i] == t for i, t in zip(left.tolist(), names.tolist(), strict=True)], bool)
-        slots = np.r_[2 * left + same, 2 * many + 1]
-        return pd.Series(slots[code].astype(np.int32))  # the code of a null is -1
-
-    return slot
-
-
-def fold_sums(rows: DataFrame, features: Sequence[str], target: str, cfg: WindowConfig, cv_folds: int) -> FoldSums:
-    """For each prediction date with complete rows in its window. Two small jobs run at once: means of the features, and
-    the fold ends, of which there is one for each window and fold. rows are read several times.
+def fold_sums(rows: DataFrame, features: Sequence[str], target: str, cfg: WindowConfig, cv_folds: int) -> DataFrame:
+    """For each prediction date with complete rows in its window: date; centre, the features' means; and upto, for each
+    fold in order the sums of products of (1, features - centre, target) over the window's rows up to its end, as pairs()
+    lists them.
 
-    rows are those of model_rows. Windows count all their dates, also those without a complete row. Rows that share ticker and date stay in one fold;
-    rows without ticker come last, those without date take no part. Windows of fewer rows than folds have a fold a row.
+    rows are those of model_rows. Windows count all their dates, also those without a complete row. Rows that share ticker
+    and date stay in one fold; rows without ticker come last, those without date take no part. Windows of fewer rows than
+    folds have a fold a row.
     """
-    spark = rows.sparkSession
     order = Window.orderBy("date")  # a row for each date
     dates = rows.select("date").distinct().filter("date IS NOT NULL")
     dates = dates.select("date", (F.row_number().over(order) - 1).alias("place"), F.count(F.lit(1)).over(Window.partitionBy()).cast("int").alias("n_dates"))
     placed = rows.filter(known([*features, target])).join(dates, "date")
-    means = placed.agg(*(F.avg(c).alias(f"m_{i}") for i, c in enumerate(features))).first()
-    centre = tuple(m or 0.0 for m in means)
-    ends = _fold_ends(placed, cfg, cv_folds).collect()
-    bounds = sorted({e["ticker"] for e in ends} - {None})
-    odd = {t: 2 * i + 1 for i, t in enumerate(bounds)} | {None: 2 * len(bounds) + 1}
-    asked = spark.createDataFrame([(e["at"], e["first"], int(e["fold"]), odd[e["ticker"]], e["place"]) for e in ends], "at int, first int, fold int, end_slot int, end_place int")
+    means = placed.agg(F.array(*(F.coalesce(F.avg(c), F.lit(0.0)) for c in features)).alias("centre"))  # one row
     names = [f"x_{i}" for i in range(len(features))]
-    near = placed.select(_slot(bounds)("ticker").alias("slot"), "place", *(((F.col(c) - F.lit(m)).alias(x)) for c, m, x in zip(features, centre, names, strict=True)), F.col(target).alias("y"))
     sums = products(names, "y", F.lit(True))
-    cells = near.groupBy("place", "slot").agg(*(F.sum(p).alias(s) for s, p in sums.items()))
-    asks = asked.select("at", "fold", "end_slot", "end_place", F.explode(F.sequence(F.col("first"), F.col("at") - 1)).alias("place"))
-    asks = asks.select("at", "fold", "place", (F.col("end_slot") + (F.col("place") <= F.col("end_place")).cast("int")).alias("slot"))
-    # An ask comes before the cells of its own slot.
-    before = Window.partitionBy("place").orderBy("slot", F.col("at").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    near = placed.join(F.broadcast(means)).select("place", "ticker", *((F.col(c) - F.col("centre")[i]).alias(x) for i, (c, x) in enumerate(zip(features, names, strict=True))), F.col(target).alias("y"))
+    # Within a ticker: asks that leave out its row of the date, the row, asks that take it in.
+    cells = near.select("place", "ticker", F.lit(1).alias("turn"), *(p.alias(s) for s, p in sums.items()))
+    ends = _fold_ends(placed, cfg, cv_folds).select("at", "fold", "ticker", F.col("place").alias("end_place"), F.explode(F.sequence(F.col("first"), F.col("at") - 1)).alias("place"))
+    asks = ends.select("at", "fold", "place", "ticker", F.when(F.col("place") <= F.col("end_place"), F.lit(2)).otherwise(F.lit(0)).alias("turn"))
+    before = Window.partitionBy("place").orderBy(F.col("ticker").asc_nulls_last(), "turn").rowsBetween(Window.unboundedPreceding, 0)
     read = asks.unionByName(cells, allowMissingColumns=True).select("at", "fold", *(F.coalesce(F.sum(s).over(before), F.lit(0.0)).alias(s) for s in sums)).filter("at IS NOT NULL")
     upto = read.groupBy("at", "fold").agg(F.array(*(F.sum(s) for s in sums)).alias("sums"))
     whole = upto.groupBy("at").agg(F.transform(F.sort_array(F.collect_list(F.struct("fold", "sums"))), lambda f: f["sums"]).alias("upto"))
-    return FoldSums(whole.join(dates.select(F.col("place").alias("at"), "date"), "at"), centre)
+    return whole.join(dates.select(F.col("place").alias("at"), "date"), "at").join(F.broadcast(means)).select("date", "centre", "upto")

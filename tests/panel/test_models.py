@@ -189,3 +189,15 @@ def test_rankings(spark):
             ranking.RankingConfig(**bad)
     with pytest.raises(KeyError):
         ranking.convert_predictions_to_rankings(df.drop("prediction"))
+
+
+def test_regularized_frames_start_no_job(spark):
+    panel = random_panel(spark, seed=8)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "building a frame")
+    try:
+        out = rolling.regularized_columns(panel, ["x0", "x1"], {"a": rolling.RegularizedModelConfig(cv_folds=3), "b": rolling.RegularizedModelConfig(model_type="lasso", cv_folds=3)}, window_config=linear.WindowConfig(4, 6))
+        assert len(tracker.getJobIdsForGroup("lazy")) == 0
+        assert out.count() > 0 and len(tracker.getJobIdsForGroup("lazy")) > 0
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
