@@ -191,7 +191,9 @@ def turns_as_tools(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     """Calls, results and other messages: those embedded as JSON, and user turns as calls that the next turn answers.
 
     An assistant message without embedded calls is an answer as it is, whatever its text; one with calls has its content,
-    if any, as answer beside them.
+    if any, as answer beside them. Null texts are calls and answers with a null text; a null role is another message; null
+    conversations and turns stay null, and such turns answer nothing. Repeated messages each give their rows; an empty
+    table gives empty ones.
     """
     call_id = lambda turn: F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.lit(":"), turn.cast("string"))
     users = messages.filter("role = 'user'").select(

@@ -45,7 +45,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(u, v) for each node u that is not the smallest of its component, v being that smallest node.
 
     Each batch of edges is first contracted to a forest. The rounds then number about the logarithm of the longest path;
-    each is written to the shared folder, so a lost executor costs one round at most. No edges give no rows.
+    each is written to the shared folder, so a lost executor costs one round at most. Nodes are longs without nulls; repeated
+    edges and those from a node to itself change nothing. No edges give no rows.
     """
     spark = edges.sparkSession
     edges, path = written(edges.mapInArrow(_contract, EDGE).distinct(), "cc-edges")

@@ -112,7 +112,11 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def by_position(taken: DataFrame) -> DataFrame:
-    """What mixed() takes, range-sorted by training position: a row for each epoch of a document."""
+    """What mixed() takes, range-sorted by training position: a row for each epoch of a document.
+
+    Documents that the mix leaves out have no row, nor has an empty table; repeated rows keep rows of their own, and rows of
+    one position stand in any order.
+    """
     rows = taken.select("*", F.explode("positions").alias("position")).drop("positions")
     parts = int(taken.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartitionByRange(parts, "position").sortWithinPartitions("position")
@@ -122,7 +126,8 @@ def in_order(taken: DataFrame) -> DataFrame:
     """What mixed() returns, a row for each document, range-sorted by its first training position.
 
     positions has the later epochs; by_position() gives them rows of their own. Documents that the mix leaves out come
-    last, dealt by a hash of their columns, so that they don't meet in one range.
+    last, dealt by a hash of their columns, so that they don't meet in one range. Null ids and sources and repeated rows
+    stay as they are; rows that are equal in all columns stand in any order; an empty table gives an empty one.
     """
     taken = materialise(taken, "mix-taken")  # the range sort reads it twice
     parts = int(taken.sparkSession.conf.get("spark.sql.shuffle.partitions"))

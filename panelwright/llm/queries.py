@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import centroids, chat_tools, compression_rules, decontaminate, license_scan, mixing, personal_data, resampling, secret_scan, simhash_dedup, suffix_dedup, token_counts, warc
 from .license_texts import SPELLINGS, TEXTS
-from .shared import exists, fresh_path
+from .shared import exists, fresh_path, gone_at_exit
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,8 +36,11 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    tokenizer = token_counts.JsonTokenizer.from_path(public_tokenizers.path(TOKENIZER))
-    counts = token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer, spark.conf.get(TOKEN_CACHE, None) or fresh_path(spark, "token-cache"))
+    tokenizer, kept = token_counts.JsonTokenizer.from_path(public_tokenizers.path(TOKENIZER)), spark.conf.get(TOKEN_CACHE, None)
+    cache = kept or fresh_path(spark, "token-cache")
+    counts = token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer, cache)
+    if not kept:
+        gone_at_exit(spark, cache)
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > OVER_LIMIT).alias("over_limit"))
 
 

@@ -53,8 +53,7 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    system, at = _hadoop(spark, path)
-    system.deleteOnExit(at)
+    gone_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -62,6 +61,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return written(df, name)[0]
 
 
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete what stands at path when the driver's process ends."""
+    system, at = _hadoop(spark, path)
+    system.deleteOnExit(at)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete written files that nothing reads any more."""
     system, at = _hadoop(spark, path)

@@ -178,7 +178,10 @@ def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprint_links(fps: DataFrame, *, paired_bucket: int = PAIRED_BUCKET) -> DataFrame:
-    """Edges (u, v) whose components are those of the distinct fingerprints fp linked at 3 or fewer differing bits."""
+    """Edges (u, v) whose components are those of the distinct fingerprints fp linked at 3 or fewer differing bits.
+
+    Fingerprints are longs without nulls; repeated ones count once. One fingerprint, or an empty table, has no edges.
+    """
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = fps.select("fp").distinct().mapInArrow(_keyed, "bucket long, fp long")
     met = materialise(keyed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_links(paired_bucket), "bucket long, u long, v long"), "simhash-met")

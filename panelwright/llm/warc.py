@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 from pyspark.sql.types import Row, StructType
 
-from .shared import fresh_path, hot_join, written
+from .shared import fresh_path, gone_at_exit, hot_join, written
 
 #: Column and the header field it is read from.
 HEADERS = {
@@ -156,8 +156,11 @@ def scan_members(stream: BufferedReader, wanted: Wanted) -> Iterator[tuple[dict[
         at = top.tell()
         if wanted(fields):
             rest = stream.read(left)
-            text += inflate.decompress(inflate.unconsumed_tail + rest)
-            if zlib.crc32(text) != struct.unpack("<I", inflate.unused_data[:4])[0]:
+            try:
+                text += inflate.decompress(inflate.unconsumed_tail + rest)
+            except zlib.error as e:
+                raise ValueError(f"a damaged record: {fields.get('warc-record-id')}") from e
+            if len(inflate.unused_data) < 8 or zlib.crc32(text) != struct.unpack("<I", inflate.unused_data[:4])[0]:
                 raise ValueError(f"a damaged record: {fields.get('warc-record-id')}")
             yield fields, text[at : at + int(fields["content-length"])]
         else:
@@ -346,6 +349,9 @@ def write_pages(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col
 
 
 def read_warc(spark, path: str, *, payloads: bool = True) -> DataFrame:
+    """Records of all archives in a folder, a row for each, repeated ones too; headers that a record lacks are null, and so
+    are payloads of revisits, or all where payloads is false. A folder without archives, or none at all, gives no rows; a
+    damaged record is an error that names it."""
     register(spark)
     return spark.read.format("warc").option("payloads", str(payloads).lower()).load(path)
 
@@ -355,11 +361,15 @@ def page_records(pages: DataFrame, path: str | None = None, *, id_col: str = "pa
 
     Responses are read with their payloads, and size and digest are taken from these; revisits have neither payload nor
     need for one: their header has both, and nothing but headers is parsed. Ids have the type of id_col. For nulls, ties
-    and repeated rows see write_pages; an empty table gives an empty one.
+    and repeated rows see write_pages; an empty table gives an empty one. Without path, archives go when the driver's
+    process ends.
     """
     spark = pages.sparkSession
+    own = path is None
     path = path or fresh_path(spark, "warc")
     write_pages(pages, path, id_col=id_col, **kw)
+    if own:
+        gone_at_exit(spark, path)
     kind = pages.schema[id_col].dataType.simpleString()
     own = lambda c: F.when(F.col(c) != _NO_ID, F.expr(f"try_cast(substring({c}, 11, length({c}) - 11) AS {kind})"))
     responses = read_warc(spark, path).filter("record_type = 'response'")

@@ -183,7 +183,7 @@ def test_secret_scan(spark):
     found = secret_scan.secret_counts(docs).collect()
     assert len(found) == len(rows)
     assert sorted(r.doc_id for r in found if r.n_secrets) == [0, 0, 1, 2, 202, 203]
-    masked = secret_scan.mask_secrets(docs.drop("secrets")).collect()
+    masked = secret_scan.mask_secrets(docs).collect()
     text = {r.doc_id: r.text for r in masked}
     assert text[202] == "é [SECRET] é" and 'token = "[SECRET]"' in text[0] and "wJalr" not in text[2] and "hunter2" not in text[1]
     assert all(text[i] == t for i, t, *_ in rows if i is not None and 100 <= i < 202)

@@ -53,3 +53,14 @@ def test_a_page_with_a_third_of_all_rows(spark, tmp_path):
 
 def test_no_pages(spark, tmp_path):
     assert warc.page_records(spark.createDataFrame([], PAGES), f"file://{tmp_path}/w").collect() == []
+
+
+def test_a_damaged_last_member_is_named():
+    from io import BufferedReader, BytesIO
+
+    fields = {"WARC-Type": "response", "WARC-Record-ID": "<urn:page:7>", "WARC-Payload-Length": "3"}
+    whole = warc.gzip_member(warc.record_bytes(fields, warc.http_block(b"abc" * 900)))
+    assert len(list(warc.scan_members(BufferedReader(BytesIO(whole * 2)), lambda f: True))) == 2
+    for cut in (1, 6, 9, 40):
+        with pytest.raises(ValueError, match="urn:page:7|ends in its header"):
+            list(warc.scan_members(BufferedReader(BytesIO(whole + whole[:-cut])), lambda f: True))
