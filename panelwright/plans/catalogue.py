@@ -36,8 +36,8 @@ def significant(df: DataFrame, digits: int = 9) -> DataFrame:
 
 
 class Panel:
-    """Frames of one folder; each is a plan, computed when a query runs. Only `monthly` is written, for queries that read
-    the monthly panel more than once: daily rows are read and put together once in each of these."""
+    """Frames of one folder; each is a plan, computed when a query runs. Only `monthly` and `modeling` are written,
+    for queries that read these panels more than once: daily rows are put together once in each of them."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.source = spark, Adapter(folder)
@@ -85,6 +85,11 @@ class Panel:
         characteristics = self.monthly.na.drop("all", subset=FEATURES).select("ticker", "date", *FEATURES)
         return dataset.assemble_modeling_dataset(self.returns(), characteristics, self.loadings(EXPOSURES), **kw)
 
+    @cached_property
+    def modeling(self) -> DataFrame:
+        """full_panel() written, for models whose plans read it several times."""
+        return stored_by_ticker(self.full_panel(), "modeling")
+
     def deciles(self, **kw) -> DataFrame:
         return portfolios.compute_decile_portfolio_returns(self.signals(), model_cols=MODELS, **kw)
 
@@ -128,7 +133,7 @@ def _gross(p: Panel) -> performance.Performance:
 
 def _regularized(kind: str, **kw) -> Callable[[Panel], DataFrame]:
     how = rolling.RegularizedModelConfig(model_type=kind, cv_folds=3, **kw)
-    return lambda p: rolling.rolling_regularized_predictions(p.full_panel(), COLUMNS, window_config=WINDOWS, model_config=how)
+    return lambda p: rolling.rolling_regularized_predictions(p.modeling, COLUMNS, window_config=WINDOWS, model_config=how)
 
 
 def _candidates() -> list[rolling.CandidateModel]:
@@ -137,7 +142,7 @@ def _candidates() -> list[rolling.CandidateModel]:
 
 
 def _all_models(p: Panel) -> DataFrame:
-    return rolling.generate_oos_predictions_all_models(p.full_panel(), COLUMNS, window_config=WINDOWS)
+    return rolling.generate_oos_predictions_all_models(p.modeling, COLUMNS, window_config=WINDOWS)
 
 
 def _study(p: Panel) -> DataFrame:
@@ -241,12 +246,12 @@ PANEL: dict[str, Callable[[Panel], DataFrame]] = {
     "rolling_ridge": _regularized("ridge"),
     "rolling_lasso": _regularized("lasso"),
     "rolling_elasticnet": _regularized("elasticnet", l1_ratios=(0.5, 0.9)),
-    "rolling_forest": lambda p: rolling.rolling_forest_predictions(p.full_panel(), COLUMNS, window_config=WINDOWS),
-    "rolling_tuning": lambda p: rolling.rolling_time_series_tuning(p.full_panel(), COLUMNS, candidates=_candidates(), window_config=WINDOWS).best_models,
+    "rolling_forest": lambda p: rolling.rolling_forest_predictions(p.modeling, COLUMNS, window_config=WINDOWS),
+    "rolling_tuning": lambda p: rolling.rolling_time_series_tuning(p.modeling, COLUMNS, candidates=_candidates(), window_config=WINDOWS).best_models,
     "all_models_oos": _all_models,
-    "xs_forest": lambda p: tree_models.cross_sectional_random_forest(p.full_panel(), COLUMNS),
+    "xs_forest": lambda p: tree_models.cross_sectional_random_forest(p.modeling, COLUMNS),
     "xs_tree": lambda p: tree_models.cross_sectional_random_forest(p.model_panel(), list(MODELS), config=tree_models.RandomForestConfig(n_estimators=1, max_depth=2, min_samples_leaf=TREE_LEAF, bootstrap=False)),
-    "xs_boosting": lambda p: tree_models.cross_sectional_gradient_boosting(p.full_panel(), COLUMNS),
+    "xs_boosting": lambda p: tree_models.cross_sectional_gradient_boosting(p.modeling, COLUMNS),
     "bootstrap_sharpe": lambda p: inference.bootstrap_sharpe_ratio_difference(p.spreads(), model_1="momentum", model_2="value", random_state=123),
     "sharpe_table": lambda p: _report(p, "sharpe_table").drop("p_value"),
     "dm_table": lambda p: _report(p, "dm_table").drop("p_value"),
