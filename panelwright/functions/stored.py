@@ -20,7 +20,12 @@ def shared_folder(spark: SparkSession) -> str:
     return ONE_MACHINE
 
 
-def _gone_at_exit(spark: SparkSession, path: str) -> None:
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete what stands at path when the driver's process ends."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
 
@@ -28,9 +33,9 @@ def _gone_at_exit(spark: SparkSession, path: str) -> None:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back; the files go when the driver's process ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
-    _gone_at_exit(spark, path)
+    gone_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -45,5 +50,5 @@ def stored_by_ticker(df: DataFrame, name: str) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Dealt by ticker before, so that a bucket is one file and stays sorted.
     df.repartition(buckets, "ticker").write.bucketBy(buckets, "ticker").sortBy("ticker", "date").option("path", path).saveAsTable(table)
-    _gone_at_exit(spark, path)
+    gone_at_exit(spark, path)
     return spark.table(table)

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.panel import is_after
-from ..functions.stored import stored_by_ticker
+from ..functions.stored import fresh_path, gone_at_exit, stored_by_ticker
 from ..functions.xsec import with_buckets, with_percentile_rank, zscore
 from ..operators import dataset, exposures, features, forecast_eval, inference, linear, performance, portfolios, ranking, rolling, tree_models
-from ..sources.readers import Adapter, factors_from_panel, numbers, sample_tickers, tail_rows
+from ..sources.readers import Adapter, factors_from_panel, numbers, read_daily_csv, read_factors, read_symbols, sample_tickers, tail_rows, write_csv, write_daily_csv
 from . import reports, study
 from .panel_sql import FALLBACK, ORACLES, TRAIN_MAX, TRAIN_MIN, TREE_LEAF
 
@@ -145,6 +145,31 @@ def _all_models(p: Panel) -> DataFrame:
     return rolling.generate_oos_predictions_all_models(p.modeling, COLUMNS, window_config=WINDOWS)
 
 
+def _csv_panel(p: Panel) -> DataFrame:
+    """The daily panel written as a file for each ticker and read back."""
+    path = fresh_path(p.spark, "csv-panel")
+    write_daily_csv(p.daily, path)
+    gone_at_exit(p.spark, path)
+    return read_daily_csv(p.spark, path).withColumn("ticker", F.col("ticker").cast(p.daily.schema["ticker"].dataType))
+
+
+def _csv_factors(p: Panel) -> DataFrame:
+    """The factor series written as one CSV table and read back as factors in percent are."""
+    path = fresh_path(p.spark, "csv-factors")
+    write_csv(p.factors().select("date", *((100 * F.col(c)).alias(c) for c in ("MKT", "SMB", "HML", "RF"))), path, single=True)
+    gone_at_exit(p.spark, path)
+    return read_factors(p.spark, path, scale=0.01)
+
+
+def _csv_symbols(p: Panel) -> DataFrame:
+    """Symbols of two lists of tickers that overlap, written and read back."""
+    paths = [fresh_path(p.spark, "csv-symbols") for _ in range(2)]
+    for k, path in enumerate(paths):
+        write_csv(p.daily.filter(F.col("ticker") % 3 != k).select(F.col("ticker").alias("Symbol"), F.lit("x, y").alias("Name")), path)
+        gone_at_exit(p.spark, path)
+    return read_symbols(p.spark, *paths)
+
+
 def _study(p: Panel) -> DataFrame:
     """The whole study over the adapter's daily rows: what portfolios of ranks and of least squares earn after costs."""
     return study.study(p.daily, config=study.StudyConfig(exposures=EXPOSURES, windows=WINDOWS)).performance_rank.metrics
@@ -177,6 +202,9 @@ PANEL: dict[str, Callable[[Panel], DataFrame]] = {
     "daily_panel": lambda p: p.daily,
     "ticker_sample": lambda p: sample_tickers(p.daily, 0.5),
     "tail_rows": lambda p: tail_rows(p.daily, 100).select("ticker", "date", "adj_close"),
+    "csv_panel": _csv_panel,
+    "csv_factors": _csv_factors,
+    "csv_symbols": _csv_symbols,
     "daily_return": lambda p: features.with_daily_volatility(p.daily, features.FeatureConfig()).select("ticker", "date", "ret"),
     "realized_vol": lambda p: features.with_daily_volatility(p.daily, features.FeatureConfig()).select("ticker", "date", F.col("realized_vol").alias("rvol")),
     "monthly_resample_last": lambda p: p.months().filter("price IS NOT NULL").select("ticker", "date", "price", "volume", "vol"),

@@ -312,6 +312,8 @@ ORACLES = {
     ),
 }
 ORACLES["sharpe_table"] = ORACLES["jk_stat"].replace("SELECT round(s1, 6)", "SELECT 'momentum' AS model_1, 'value' AS model_2, round(s1, 6)", 1)
+ORACLES["csv_panel"], ORACLES["csv_factors"] = ORACLES["daily_panel"], ORACLES["factor_series"]
+ORACLES["csv_symbols"] = query("SELECT DISTINCT CAST(ticker AS VARCHAR) AS ticker FROM daily")
 ORACLES["pct_rank_ranged"], ORACLES["decile_ranged"], ORACLES["modeling_panel_ranged"] = ORACLES["pct_rank_average"], ORACLES["decile_qcut"], ORACLES["modeling_panel"]
 
 

@@ -9,18 +9,21 @@ be told so, which read_daily_csv finds out beforehand for the files that are cut
 from __future__ import annotations
 
 import csv
+import io
 import json
 import os
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import date
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
+from pyspark.sql import Row, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 SPLIT_BYTES = 64 << 20
@@ -319,6 +322,49 @@ def _rows(raw: pa.NativeFile, piece: Piece, body: int) -> Iterator[list[str]]:
         yield from (r for r in rows if r)
 
 
+@dataclass
+class WrittenFiles(WriterCommitMessage):
+    """(temporary, final) of each file that a task wrote."""
+
+    files: list[tuple[str, str]]
+
+
+class PanelWriter(DataSourceWriter):
+    """A file for each ticker from rows (ticker, date, columns) that come by ticker: under a name of its own until the job
+    commits, so that a task that is run twice or killed leaves nothing that is read."""
+
+    def __init__(self, options: dict, schema: StructType):
+        self.path, self.names = options["path"], schema.names
+
+    def write(self, iterator: Iterator[Row]) -> WrittenFiles:
+        system, root = _located(self.path)
+        system.create_dir(root, recursive=True)
+        mark, done = uuid.uuid4().hex[:12], []
+        for number, (ticker, rows) in enumerate(groupby(iterator, key=lambda r: r[0])):
+            if ticker is None or "/" in ticker:
+                raise ValueError(f"{ticker!r} is no name of a file")
+            temporary = f"{root}/_{mark}-{number}.tmp"
+            with system.open_output_stream(temporary) as out, io.TextIOWrapper(out, "utf-8", newline="") as text:
+                writer = csv.writer(text, lineterminator="\n")
+                writer.writerow(self.names[1:])
+                writer.writerows(r[1:] for r in rows)
+            done.append((temporary, f"{root}/{ticker}.csv"))
+        return WrittenFiles(done)
+
+    def commit(self, messages: list[WrittenFiles | None]) -> None:
+        system, _ = _located(self.path)
+        for m in filter(None, messages):
+            for temporary, final in m.files:
+                system.move(temporary, final)
+
+    def abort(self, messages: list[WrittenFiles | None]) -> None:
+        system, _ = _located(self.path)
+        for m in filter(None, messages):
+            for temporary, _ in m.files:
+                if system.get_file_info(temporary).type == fs.FileType.File:
+                    system.delete_file(temporary)
+
+
 class PanelCsv(DataSource):
     """Options: path, columns (a JSON list), date_col, split_bytes; kind rows (ticker, date, columns as text), files (a row
     for each piece of a file: what it holds and what is wrong with it) or quotes."""
@@ -338,6 +384,9 @@ class PanelCsv(DataSource):
     def reader(self, schema: StructType) -> PanelReader:
         return PanelReader(self.options, schema)
 
+    def writer(self, schema: StructType, overwrite: bool) -> PanelWriter:
+        return PanelWriter(self.options, schema)
+
 
 def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

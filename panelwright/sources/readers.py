@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.panel import finite
-from .panel_csv import SPLIT_BYTES, starts_inside
+from .panel_csv import SPLIT_BYTES, register, starts_inside
 
 FACTORS = ("MKT", "SMB", "HML", "RF")
 
@@ -56,6 +56,17 @@ def read_daily_csv(spark: SparkSession, folder: str, *, columns: Sequence[str] =
     return source.load().select("ticker", "date", *(numbers(F.trim(F.col(f"`{c}`"))).alias(c) for c in wanted))
 
 
+def write_daily_csv(daily: DataFrame, folder: str) -> None:
+    """A CSV file for each ticker, named after it, with its rows by date: what read_daily_csv reads. Files of tickers that
+    are there already are replaced; rows without ticker are an error."""
+    spark = daily.sparkSession
+    register(spark)
+    columns = ["date", *(c for c in daily.columns if c not in ("ticker", "date"))]
+    rows = daily.select("ticker", *columns).select(*(F.col(f"`{c}`").cast("string").alias(c) for c in ("ticker", *columns)))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(parts, "ticker").sortWithinPartitions("ticker", "date").write.format("panelcsv").mode("append").option("path", folder).save()
+
+
 def scan_files(spark: SparkSession, folder: str, *, price_col: str = "adj_close", date_col: str = "date", split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """A row for each file: ticker, bytes, n_rows (with a date), n_usable (with a price too), problem (null: none)."""
     inside = starts_inside(spark, folder, split_bytes)

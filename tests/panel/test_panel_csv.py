@@ -88,3 +88,15 @@ def test_bad_files_are_listed(spark, tmp_path):
 def test_dates():
     cases = {"2020-01-02": date(2020, 1, 2), "2020-1-2 10:00": date(2020, 1, 2), "2020-01-02T09": date(2020, 1, 2), " 2020-02 ": date(2020, 2, 1), "2020": date(2020, 1, 1), "2020-02-30": None, "x": None, "": None, "01/02/2020": None}
     assert {k: panel_csv.iso_date(k) for k in cases} == cases
+
+
+def test_files_by_ticker_come_back(spark, tmp_path):
+    rows = [(t, date(2020, 1, 1) + timedelta(i), None if i == 3 else i / 7, float(i)) for t in ("A", "B, x", 'say "C"') for i in range(30)]
+    daily = spark.createDataFrame(rows, "ticker string, date date, adj_close double, volume double")
+    for _ in range(2):
+        readers.write_daily_csv(daily.repartition(5), f"{tmp_path}/d")
+    assert sorted(p.name for p in (tmp_path / "d").iterdir()) == ["A.csv", "B, x.csv", 'say "C".csv']
+    assert sorted(map(tuple, readers.read_daily_csv(spark, f"{tmp_path}/d").collect()), key=str) == sorted(rows, key=str)
+    with pytest.raises(Exception, match="no name of a file"):
+        readers.write_daily_csv(spark.createDataFrame([("D", date(2020, 1, 1), 1.0), ("a/b", date(2020, 1, 1), 1.0)], "ticker string, date date, adj_close double").coalesce(1), f"{tmp_path}/d")
+    assert "D.csv" not in {p.name for p in (tmp_path / "d").iterdir()}
