@@ -127,31 +127,36 @@ def _lines() -> list[tuple[str, str]]:
 
 _FULL = [(name, version) for name, text in FILES.items() for version in sorted(_versions(text))]
 
-#: (licence, text); a licence may have several texts.
-TEXTS = (
+#: (licence, text) of whole licences; a licence may have several texts.
+WHOLE = (
     *_FULL,
+    ("0BSD", ISC.replace(", provided that the above copyright notice and this permission notice appear in all copies", "")),
+    ("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL),
+    ("BSD-3-Clause", _BSD_HEAD + _BSD_THIRD + _BSD_TAIL),
+    ("ISC", ISC),
+    ("ISC", "ISC License\n" + ISC),
+    ("MIT", MIT),
+    ("MIT", "MIT License\n" + MIT),
+    ("MIT", "The MIT License\n" + MIT),
+    ("Unlicense", UNLICENSE),
+    ("Zlib", ZLIB),
+)
+
+#: (licence, text) of notices and lines that state a licence without being its text.
+STATEMENTS = (
     *_notices(),
     *_lines(),
-    ("0BSD", ISC.replace(", provided that the above copyright notice and this permission notice appear in all copies", "")),
     ("Apache-2.0", APACHE_NOTICE),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL),
-    ("BSD-3-Clause", _BSD_HEAD + _BSD_THIRD + _BSD_TAIL),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("ISC", ISC),
-    ("ISC", "ISC License\n" + ISC),
-    ("MIT", MIT),
-    ("MIT", "MIT License\n" + MIT),
-    ("MIT", "The MIT License\n" + MIT),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
-    ("Unlicense", UNLICENSE),
-    ("Zlib", ZLIB),
 )
+TEXTS = (*WHOLE, *STATEMENTS)
 
 #: (variant, word): spellings that licence matching treats as equal, in lower case.
 SPELLINGS = (

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import centroids, chat_tools, compression_rules, decontaminate, license_scan, mixing, personal_data, resampling, secret_scan, simhash_dedup, suffix_dedup, token_counts, warc
-from .license_texts import SPELLINGS, TEXTS
+from .license_texts import SPELLINGS, STATEMENTS, WHOLE
 from .shared import exists, fresh_path, gone_at_exit
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -232,14 +232,27 @@ def _canonical_sql(column: str) -> str:
 
 
 def op9_sql() -> str:
-    known = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in TEXTS)
+    known = ", ".join("('{}', '{}', {})".format(name, text.replace("'", "''"), str(whole).lower()) for texts, whole in ((WHOLE, True), (STATEMENTS, False)) for name, text in texts)
+    quoted = {n: getattr(license_scan, n).replace("'", "''") for n in ("DEFINED_TERM", "WHERE_TO_FIND", "IDENTIFIERS", "IDENTIFIER_ENDS")}
+    operators = ", ".join(f"'{o}'" for o in license_scan.OPERATORS)
     return f"""
-WITH known AS (SELECT digest, min(licence) AS licence FROM (SELECT licence, {_canonical_sql("licence_text")} AS digest FROM (VALUES {known}) AS t(licence, licence_text)) GROUP BY digest),
+WITH known AS (
+  SELECT digest, coalesce(min(licence) FILTER (WHERE whole), min(licence)) AS licence, bool_or(whole) AS whole
+  FROM (SELECT licence, whole, {_canonical_sql("licence_text")} AS digest FROM (VALUES {known}) AS t(licence, licence_text, whole)) GROUP BY digest),
 texts AS (SELECT doc_id, row_number() OVER () AS r, text, {_canonical_sql("text")} AS digest FROM documents),
 lines AS (SELECT r, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM texts),
-stated AS (SELECT r, {_canonical_sql("line")} AS digest FROM lines WHERE trim(line) <> ''),
-notices AS (SELECT r, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices FROM stated JOIN known USING (digest) GROUP BY r)
-SELECT doc_id, digest, licence, coalesce(notices, '') AS notices FROM texts LEFT JOIN known USING (digest) LEFT JOIN notices USING (r)
+shorter AS (
+  SELECT r, line, regexp_replace(regexp_replace(line, '{quoted["DEFINED_TERM"]}', '', 'g'), '{quoted["WHERE_TO_FIND"]}', '') AS short FROM lines WHERE trim(line) <> ''),
+parted AS (SELECT r, line, short, regexp_extract(short, '{quoted["IDENTIFIERS"]}', 1) AS expression FROM shorter),
+said AS (
+  SELECT r, unnest(CASE WHEN expression = '' THEN list_distinct([line, short]) ELSE list_distinct(list_concat([line], list_transform(
+    list_filter(regexp_split_to_array(expression, '{quoted["IDENTIFIER_ENDS"]}'), lambda t: regexp_matches(t, '[A-Za-z0-9]') AND lower(t) NOT IN ({operators})),
+    lambda t: 'SPDX-License-Identifier: ' || t))) END) AS line FROM parted),
+stated AS (
+  SELECT r, licence FROM (SELECT r, {_canonical_sql("line")} AS digest FROM said) JOIN known USING (digest)
+  UNION ALL SELECT r, licence FROM texts JOIN known USING (digest) WHERE NOT whole),
+notices AS (SELECT r, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices FROM stated GROUP BY r)
+SELECT doc_id, digest, CASE WHEN whole THEN licence END AS licence, coalesce(notices, '') AS notices FROM texts LEFT JOIN known USING (digest) LEFT JOIN notices USING (r)
 """
 
 

@@ -7,12 +7,14 @@ import re
 import pytest
 
 from panelwright.llm import license_scan
-from panelwright.llm.license_texts import FILES
+from panelwright.llm.license_texts import APACHE_NOTICE, FILES
 
 LINES = {
     "SPDX-License-Identifier: AGPL-3.0-or-later": "AGPL-3.0", "This program is licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1", "Released under the GPLv3": "GPL-3.0", "# License: Apache License 2.0": "Apache-2.0",
     "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0", "Licensed under the Mozilla Public License 2.0": "MPL-2.0",
     "This project is licensed under the 3-Clause BSD License.": "BSD-3-Clause", "Licensed under a permit.": "", "Licensed under the MIT": "MIT",
+    'Licensed under the Apache License, Version 2.0 (the "License").': "Apache-2.0", "SPDX-License-Identifier: MIT OR Apache-2.0": "Apache-2.0,MIT", "// SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) AND MIT */": "GPL-2.0,MIT",
+    "This project is licensed under the MIT License - see LICENSE.md": "MIT", "Licensed under the MIT License, please see the [LICENSE](LICENSE) file for details.": "MIT", "SPDX-License-Identifier: AGPL-3.0-only": "AGPL-3.0", "SPDX-License-Identifier: NONE OR ()": "",
 }
 
 
@@ -42,3 +44,14 @@ def test_whole_licences(found):
 def test_lines_that_name_a_licence(found):
     _, got = found
     assert {k: got[k].notices for k in LINES} == LINES
+
+
+def test_what_states_a_licence_is_not_its_text(found):
+    _, got = found
+    assert {got[k].licence for k in LINES} == {None}
+
+
+def test_a_wrapped_notice_alone_is_a_statement(spark):
+    wrapped = APACHE_NOTICE.replace(", ", ",\n")
+    row = license_scan.scan_licences(spark.createDataFrame([(1, wrapped)], "doc_id long, text string")).first()
+    assert row.licence is None and row.notices == "Apache-2.0"
