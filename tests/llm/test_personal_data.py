@@ -8,6 +8,7 @@ import time
 
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import types as T
 
 from panelwright.llm import personal_data
 
@@ -73,7 +74,7 @@ def test_scores_follow_the_words_nearby():
 
 
 def test_rows(spark):
-    docs = spark.createDataFrame([(*d, "own") for d in documents()], SCHEMA.add("spans", "string")).repartition(3)
+    docs = spark.createDataFrame([(*d, "own") for d in documents()], T.StructType([*SCHEMA.fields, T.StructField("spans", T.StringType())])).repartition(3)
     found = personal_data.find_personal_data(docs).collect()
     assert len(found) == len(documents())
     assert all([(s.kind, s.start, s.end) for s in r.spans if s.base] == brute(r.text or "") for r in found)
