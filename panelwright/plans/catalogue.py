@@ -90,11 +90,11 @@ class Panel:
         """full_panel() written, for models whose plans read it several times."""
         return stored_by_ticker(self.full_panel(), "modeling")
 
-    def deciles(self, **kw) -> DataFrame:
-        return portfolios.compute_decile_portfolio_returns(self.signals(), model_cols=MODELS, **kw)
+    def deciles(self, *, once: bool = False, **kw) -> DataFrame:
+        return portfolios.compute_decile_portfolio_returns(self.signals_once() if once else self.signals(), model_cols=MODELS, **kw)
 
-    def weights(self, **kw) -> DataFrame:
-        return portfolios.compute_decile_portfolio_weights(self.signals(), model_cols=MODELS, **kw)
+    def weights(self, *, once: bool = False, **kw) -> DataFrame:
+        return portfolios.compute_decile_portfolio_weights(self.signals_once() if once else self.signals(), model_cols=MODELS, **kw)
 
     def spreads(self) -> DataFrame:
         return portfolios.compute_long_short_returns(self.deciles())
@@ -231,13 +231,13 @@ PANEL: dict[str, Callable[[Panel], DataFrame]] = {
     "modeling_panel_ranks": lambda p: p.full_panel(standardize="rank"),
     "decile_qcut": _buckets(10),
     "decile_cut_fallback": _buckets(FALLBACK),
-    "decile_returns_ew": lambda p: p.deciles(),
-    "decile_returns_vw": lambda p: p.deciles(weight_col="dollar_volume").filter(~portfolios.is_spread()),
+    "decile_returns_ew": lambda p: p.deciles(once=True),
+    "decile_returns_vw": lambda p: p.deciles(once=True, weight_col="dollar_volume").filter(~portfolios.is_spread()),
     "decile_pivot": _decile_pivot,
     "long_short": lambda p: p.spreads(),
     "long_short_capped": lambda p: portfolios.compute_long_short_returns(p.deciles(), cap=0.05),
-    "decile_weights_ew": lambda p: p.weights(),
-    "decile_weights_vw": lambda p: p.weights(weight_col="dollar_volume"),
+    "decile_weights_ew": lambda p: p.weights(once=True),
+    "decile_weights_vw": lambda p: p.weights(once=True, weight_col="dollar_volume"),
     "turnover": lambda p: portfolios.compute_turnover_from_weights(p.weights()),
     "net_returns": _net("reference_precomputed"),
     "ls_cost_correct": _net("correct"),
