@@ -162,26 +162,29 @@ def _ratios(level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=level)
         for batch in batches:
-            for part in X.slices(batch.column(0)):
+            for part in X.slices(batch.column(1)):
                 raw, b = memoryview(part.data), part.bounds
                 found = [_ratio(packer, raw[b[i] : b[i + 1]]) for i in range(len(part))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.diff(b)), pa.array(found, pa.float64())], names=["size", "ratio"])
+                ids = batch.column(0).slice(part.first, len(part))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(b)), pa.array(found, pa.float64())], names=["id", "size", "ratio"])
 
     return run
 
 
-def fitted_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", good_col: str = "quality", rules: CompressionRules = CompressionRules(), max_labelled: int = 20_000, least: int = 20, margin: float = 0.03) -> CompressionRules:
-    """rules whose low limits are, by length, the smallest ratio of the documents labelled good, less a margin.
+def fitted_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", good_col: str = "quality", rules: CompressionRules = CompressionRules(), least: int = 20, margin: float = 0.03) -> CompressionRules:
+    """rules whose low limits are, by length, the smallest ratio of all documents labelled good, less a margin.
 
-    Labels: rows (id_col, good_col 0 or 1); max_labelled ids of good ones are used at most, those with the smallest
-    digests. Lengths with fewer than `least` good documents keep their limit, and no limit is lowered. The driver gets
-    one row for each length. Without labels, the rules stay.
+    Labels: rows (id_col, good_col 0 or 1), as many as there are; null and repeated ids in either table do no harm.
+    Lengths with fewer than `least` good documents keep their limit, and no limit is lowered. Texts stay where they are
+    read: ids with ratios meet the labels, first one row for each id and length. The driver gets one row for each length.
+    Without labels, the rules stay.
     """
-    good = labels.filter((F.col(good_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(max_labelled)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("length(text) > 0").join(F.broadcast(good), "id", "left_semi")
-    ratios = texts.select("text").mapInArrow(_ratios(rules.level), "size long, ratio double")
+    good = labels.filter((F.col(good_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND length(text) > 0")
+    sizes = T.StructType([texts.schema["id"], T.StructField("size", T.LongType()), T.StructField("ratio", T.DoubleType())])
     of = sum((F.col("size") > b).cast("int") for b in FITTED_BYTES)
-    found = {r.of: r for r in ratios.groupBy(of.alias("of")).agg(F.count("*").alias("n"), F.min("ratio").alias("ratio")).collect()}
+    by_id = texts.mapInArrow(_ratios(rules.level), sizes).groupBy("id", of.alias("of")).agg(F.count("*").alias("n"), F.min("ratio").alias("ratio"))
+    found = {r.of: r for r in by_id.join(good, "id", "left_semi").groupBy("of").agg(F.sum("n").alias("n"), F.min("ratio").alias("ratio")).collect()}
     bands = []
     ends = sorted({*FITTED_BYTES, *(b.max_bytes for b in rules.bands if b.max_bytes is not None)})
     for end in (*ends, None):

@@ -8,8 +8,9 @@ import string
 
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
-from panelwright.llm import compression_rules
+from panelwright.llm import compression_rules, queries
 
 RULES = compression_rules.CompressionRules()
 PACKER = compression_rules.zstandard.ZstdCompressor(level=RULES.level)
@@ -98,3 +99,39 @@ def test_low_limits_are_fitted_to_labels(spark):
     assert compression_rules.fitted_rules(docs, labels.limit(0)).band(3000) == compression_rules.Band(3072, 0.18, 0.63)
     few = compression_rules.fitted_rules(docs, labels, least=10_000)
     assert [(few.band(n).low, few.band(n).high) for n in (1, 600, 5000, 10**7)] == [(RULES.band(n).low, RULES.band(n).high) for n in (1, 600, 5000, 10**7)]
+
+
+def many_labels(spark, folder: str, n: int = 20_040) -> set[int]:
+    """Writes n documents labelled good to the folder; returns the 40 ids of greatest digest, whose texts compress best."""
+    rng = random.Random(13)
+    plain = [prose(rng, rng.randint(1100, 1400)) for _ in range(50)]
+    marked = [" ".join(w + rng.choice(["***", "$$$", "%%%"]) for w in prose(rng, 850).split()) for _ in range(40)]
+    last = {r.id: t for r, t in zip(spark.range(n).orderBy(F.xxhash64("id").desc()).limit(40).collect(), marked, strict=True)}
+    docs = [(i, last.get(i, plain[i % 50])) for i in range(n)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.range(n).selectExpr("id doc_id", "1 quality").write.parquet(f"{folder}/labels.parquet")
+    return set(last)
+
+
+def test_every_label_counts_for_the_limits(spark, tmp_path):
+    last = many_labels(spark, str(tmp_path))
+    rows = queries.op7_quality_rules(spark, str(tmp_path)).collect()
+    assert len(rows) == 20_040 and len(last) == 40
+    assert [r.doc_id for r in rows if r.doc_id in last and not r.kept] == [] and all(r.kept for r in rows)
+
+
+def test_limits_are_the_smallest_ratios_by_length_of_a_plain_version(spark):
+    """Repeated rows of a document count, repeated labels of it don't, and null ids have no label."""
+    rng = random.Random(14)
+    docs = [(i, prose(rng, rng.randint(300, 3000))) for i in range(150)] + [(None, "again " * 150)] * 30 + [(150, prose(rng, 4500))] * 25 + [(151 + i, prose(rng, 7000)) for i in range(15)]
+    labels = [(i, 1) for i in range(0, 166) if i % 5] * 2 + [(150, 1), (None, 1)] + [(i, 0) for i in range(0, 150, 5)]
+    rules = compression_rules.fitted_rules(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    good, seen = {i for i, q in labels if q and i is not None}, {}
+    for i, t in docs:
+        if i in good:
+            end = next(b for b in compression_rules.FITTED_BYTES if len(t.encode()) <= b)
+            seen.setdefault(end, []).append(len(zstandard.ZstdCompressor(level=3).compress(t.encode())) / len(t.encode()))
+    assert len(seen[6144]) == 25 and len(seen[8192]) < 20 and sum(len(v) >= 20 for v in seen.values()) > 2
+    for end in compression_rules.FITTED_BYTES:
+        few, old = len(seen.get(end, [])) < 20, RULES.band(end).low
+        assert rules.band(end).low == (old if few else pytest.approx(max(old, min(seen[end]) * 0.97)))
