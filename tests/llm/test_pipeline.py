@@ -14,6 +14,7 @@ import corpus_pipeline
 from panelwright.llm import compression_rules, secret_scan
 from panelwright.llm import textops as X
 
+from .test_bands import many_labels
 from .test_rows import brute_components, brute_fingerprint, water_fill
 from .test_search import ALNUM, lowered
 from .texts import SCHEMA, documents, prose
@@ -93,3 +94,10 @@ def test_pipeline_of_no_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_quality_stage_fits_every_label(spark, tmp_path):
+    last = many_labels(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.quality(spark, docs, str(tmp_path)).select("doc_id").collect()}
+    assert last <= kept and len(kept) == 20_040
