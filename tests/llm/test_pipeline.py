@@ -101,3 +101,13 @@ def test_quality_stage_fits_every_label(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     kept = {r.doc_id for r in corpus_pipeline.quality(spark, docs, str(tmp_path)).select("doc_id").collect()}
     assert last <= kept and len(kept) == 20_040
+
+
+def test_pipeline_keeps_documents_that_the_last_labels_speak_for(spark, tmp_path):
+    last = many_labels(spark, f"{tmp_path}/made")
+    docs = spark.read.parquet(f"{tmp_path}/made/documents.parquet")
+    docs.selectExpr("doc_id", "text", "'en' lang", "'a' source", "cast(length(text) as int) n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/made/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "no phrase of these texts")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    mix = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()]
+    assert last <= set(mix) and len(mix) == len(set(mix))
